@@ -9,10 +9,13 @@ missed less.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,7 +128,8 @@ def cell_links(members: DataFrame, least: float, tables: int, probes: int, scale
 
     A pair counts once: in the first table in which the two meet. ``links`` adds the copies of the
     linked nodes, ``root`` is the least node reached within the cell. Cells of more than ``block_rows``
-    rows are dealt to several tasks, block against block, so none holds a whole hot cell.
+    rows are dealt to several groups, block against block, so none holds a whole hot cell. Groups lie
+    side by side in sorted partitions and are compared as their rows come by.
     """
     coded = members.select("node", "label", "copies", F.size("vector").alias("dim"), _codes(F.col("vector"), tables, probes, scale).alias("codes"))
     places = coded.select("node", "label", "copies", "dim", F.posexplode("codes").alias("at", "cell")).select(
@@ -142,15 +146,13 @@ def cell_links(members: DataFrame, least: float, tables: int, probes: int, scale
         *key, F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "node", "copies", "own", "vector"
     )
 
-    def compare(group_key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        table, cell, a, b = int(group_key[2]), int(group_key[3]), int(group_key[4]), int(group_key[5])
-        pdf = pdf.sort_values("node", kind="stable").reset_index(drop=True)
-        unit, own, block = _unit(pdf["vector"]), pdf["own"].to_numpy(), pdf["block"].to_numpy()
+    def compare(table: int, cell: int, group: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        unit, own, block, node = group["unit"], group["own"], group["block"], group["node"]
         left, right = [], []
-        for at in range(0, len(pdf), 1024):
+        for at in range(0, len(unit), 1024):
             near = unit[at : at + 1024] @ unit.T >= least
             near &= own[at : at + 1024, None] | own[None, :]
-            if a != b:
+            if group["a"][0] != group["b"][0]:
                 near &= block[at : at + 1024, None] != block[None, :]
             i, j = np.nonzero(near)
             i += at
@@ -158,19 +160,51 @@ def cell_links(members: DataFrame, least: float, tables: int, probes: int, scale
             right.append(j[i < j])
         i, j = np.concatenate(left), np.concatenate(right)
         if not len(i):
-            return pd.DataFrame({"node": [], "links": [], "root": []})
+            return None
         used = np.unique(np.concatenate([i, j]))
         i, j = np.searchsorted(used, i), np.searchsorted(used, j)
-        codes, node, copies = cells(unit[used], tables, probes, scale), pdf["node"].to_numpy()[used], pdf["copies"].to_numpy()[used]
+        codes, node, copies = cells(unit[used], tables, probes, scale), node[used], group["copies"][used]
         links = np.zeros(len(used), np.int64)
         for at in range(0, len(i), 1 << 18):
             p, q = i[at : at + (1 << 18)], j[at : at + (1 << 18)]
             fresh = ~_earlier(codes, p, q, table, cell)
             np.add.at(links, p[fresh], copies[q[fresh]])
             np.add.at(links, q[fresh], copies[p[fresh]])
-        return pd.DataFrame({"node": node, "links": links, "root": node[star(len(used), i, j, node)]})
-
-    return dealt.groupBy(*key, "a", "b").applyInPandas(compare, "node long, links long, root long")
+        return node, links, node[star(len(used), i, j, node)]
+
+    names = [*key, "a", "b"]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted rows come in; each group is compared when it is whole, the last of a batch with the next."""
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                batch = pa.Table.from_batches([batch])
+                rest = batch if rest is None else pa.concat_tables([rest, batch])
+            if rest is None or not rest.num_rows:
+                continue
+            rest = rest.combine_chunks()
+            col = {n: rest[n].to_numpy() for n in [*names, "block", "node", "copies", "own"]}
+            change = np.any([col[n][1:] != col[n][:-1] for n in names], axis=0)
+            cuts = np.concatenate([[0], np.flatnonzero(change) + 1, [rest.num_rows]])
+            if batch is not None:
+                cuts = cuts[:-1]
+            vectors = rest["vector"].chunk(0)
+            flat, offsets = vectors.values.to_numpy(zero_copy_only=False), vectors.offsets.to_numpy()
+            out = []
+            for at, upto in itertools.pairwise(cuts.tolist()):
+                if upto - at < 2:
+                    continue
+                x = flat[offsets[at] : offsets[upto]].reshape(upto - at, -1).astype(np.float64)
+                group = {n: v[at:upto] for n, v in col.items()} | {"unit": x / np.linalg.norm(x, axis=1, keepdims=True)}
+                if (found := compare(int(col["table"][at]), int(col["cell"][at]), group)) is not None:
+                    out.append(found)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["node", "links", "root"])
+            rest = rest.slice(int(cuts[-1])) if batch is not None else None
+
+    ordered = dealt.repartition(*names).sortWithinPartitions(*names, "node")
+    return ordered.mapInArrow(walk, "node long, links long, root long")
 
 
 def near_duplicates(
