@@ -26,7 +26,7 @@ from linkloom.scratch import materialise
 LEAST_COSINE = 0.93
 TABLES = 6
 PROBES = 3
-SCALE = 4.0
+SCALE = 0.5
 BLOCK_ROWS = 2048
 _DIM = 8
 
@@ -62,8 +62,8 @@ def nearest_points(x: np.ndarray, many: int) -> np.ndarray:
 
 @lru_cache(maxsize=8)
 def _projections(dim: int, tables: int, scale: float) -> np.ndarray:
-    """(tables, dim, 8) with columns of about ``scale`` length; the same in every task."""
-    return np.random.default_rng(811 + dim).normal(0, scale / np.sqrt(max(dim, 1)), (tables, dim, _DIM))
+    """(tables, dim, 8), normal with deviation ``scale``, so distances between points don't depend on ``dim``; the same in every task."""
+    return np.random.default_rng(811 + dim).normal(0, scale, (tables, dim, _DIM))
 
 
 @lru_cache(maxsize=1)
