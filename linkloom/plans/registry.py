@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.plans import graph_queries, tenure_queries
+from linkloom.plans import graph_queries, tenure_queries, text_queries
 
-_PARTS = (graph_queries, tenure_queries)
+_PARTS = (graph_queries, tenure_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
