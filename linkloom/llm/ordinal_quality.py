@@ -59,15 +59,15 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         return np.empty(0, np.int32), np.empty(0)
     total = sum(tokens.values())
     present: set[int] = set()
-    share: Counter[int] = Counter()
+    share: Counter[tuple[int, int]] = Counter()
     for token, n in tokens.items():
         says, marks = _slots(token)
         present.update(says)
-        for slot in marks:
-            share[slot] += n
+        share[marks] += n
     x = dict.fromkeys(present, 1.0)
-    for slot, n in share.items():
-        x[slot] = x.get(slot, 0.0) + 10.0 * n / total
+    for marks, n in share.items():
+        for slot in marks:
+            x[slot] = x.get(slot, 0.0) + 10.0 * n / total
     x[_slot(b"repeat", b"%d" % min(9, int(10 * (1 - len(tokens) / total))))] = 5.0
     at = np.fromiter(x.keys(), np.int32, len(x))
     order = np.argsort(at)
@@ -129,7 +129,7 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> OrdinalModel | None:
     """Fit on about ``sample`` rated documents (documented bound), a third for each grade where there are so many.
 
-    A row is taken where a hash of its id falls under its grade's rate. Texts become features in their
+    A row is taken where a hash of its id falls under its grade's rate; so few ids are broadcast. Texts become features in their
     own tasks, buckets that occur in too few of the sample's texts to teach anything are left out by a
     count, and what remains of the sample meets on the driver. None without ratings.
     """
@@ -139,7 +139,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     rates = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, sample / GRADES / n))])
     share = F.pmod(F.xxhash64("doc_id", F.lit("rated")), F.lit(1 << 30)) / float(1 << 30)
     chosen = ratings.filter(share < rates[F.col("grade")]).select(F.col("doc_id").alias("_id"), "grade")
-    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(chosen, "_id")
+    texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
 
     @F.pandas_udf("at array<int>, x array<float>")
     def sparse(column: pd.Series) -> pd.DataFrame:
@@ -176,10 +176,10 @@ def rate(docs: DataFrame, model: OrdinalModel | None, text: Column, tail_from: i
 
     @F.pandas_udf("expected double, tail double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        found = [features(t) for t in texts]
-        raw = np.array([x @ held.value.weights[at] for at, x in found])
-        expected, tail = expected_and_tail(held.value, raw, tail_from) if len(raw) else (raw, raw)
-        empty = np.array([len(at) == 0 for at, _ in found], bool)
+        weights = held.value.weights
+        raw = np.fromiter((x @ weights[at] if len(at) else np.nan for at, x in map(features, texts)), np.float64, len(texts))
+        empty = np.isnan(raw)
+        expected, tail = expected_and_tail(held.value, np.where(empty, 0.0, raw), tail_from)
         return pd.DataFrame({"expected": np.where(empty, 0.0, expected), "tail": np.where(empty, 0.0, tail)})
 
     return (
