@@ -37,8 +37,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
     """The packed ids of each text, with their number and the digests of ids and decoded bytes."""
     vocabulary = byte_bpe.load_vocabulary(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    encoded = byte_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
-    return byte_bpe.decode_ids(encoded, vocabulary).select(
+    encoded = byte_bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), vocabulary, decoded="decoded")
+    return encoded.select(
         "doc_id",
         "lang",
         "source",

@@ -10,19 +10,23 @@ from __future__ import annotations
 
 import base64
 import heapq
+import itertools
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET_LOAD = 4
-CACHE_TOKENS = 1 << 19
+CACHE_TOKENS = 1 << 18
+SLICE_BYTES = 4 << 20
 CACHE_BYTES = 64
 
 
@@ -180,8 +184,10 @@ class Vocabulary:
             out.append(packed)
         return b"".join(out)
 
-    def decode(self, ids: bytes) -> bytes:
-        """The bytes that packed ids stand for."""
+    def decode(self, ids: bytes | None) -> bytes | None:
+        """The bytes that packed ids stand for; null for null."""
+        if ids is None:
+            return None
         if self._by_id is None:
             self._by_id = dict(zip(self.ids, self.keys, strict=True))
         return b"".join(map(self._by_id.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -193,24 +199,46 @@ def load_vocabulary(path: str, pattern: str) -> Vocabulary:
         return Vocabulary.parse(f.read(), pattern)
 
 
-def _each(name: str, vocabulary_of, column: Column) -> Column:
-    @F.pandas_udf("binary")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = vocabulary_of.value
+def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows of about ``SLICE_BYTES``, so that what Python makes of one stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(sizes) // SLICE_BYTES
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(sizes)]]).tolist()
+    for at, upto in itertools.pairwise(cuts):
+        yield batch.slice(at, upto - at)
+
+
+def _apply(df: DataFrame, source: str, steps: list[tuple[str, str, str]], vocabulary: Vocabulary, drop: list[str]) -> DataFrame:
+    """``df`` with a binary column for each step (method, from, to), without ``drop``. Other columns pass as they are."""
+    held = df.sparkSession.sparkContext.broadcast(vocabulary)
+    kept = [c for c in df.columns if c not in drop and c not in {to for _, _, to in steps}]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
         for batch in batches:
-            yield pd.Series([getattr(own, name)(x) for x in batch], dtype=object)
+            for part in _slices(batch, source):
+                values = {source: part[source].to_pylist()}
+                for method, at, to in steps:
+                    values[to] = list(map(getattr(own, method), values[at]))
+                made = [pa.array(values[to], pa.binary()) for _, _, to in steps]
+                yield pa.RecordBatch.from_arrays([part[c] for c in kept] + made, kept + [to for _, _, to in steps])
 
-    return apply(column)
+    fields = [df.schema[c] for c in kept] + [T.StructField(to, T.BinaryType()) for _, _, to in steps]
+    return df.mapInArrow(run, T.StructType(fields))
 
 
-def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each whole text, packed as little-endian unsigned 32-bit integers; null as empty."""
-    return docs.withColumn(ids, _each("encode", docs.sparkSession.sparkContext.broadcast(vocabulary), F.col(text)))
+def encode_texts(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
+    """``docs`` with the ids of each whole text in place of it, packed as little-endian unsigned 32-bit integers.
+
+    A null text has no ids. With ``decoded``, what the ids stand for comes along, from the same pass.
+    """
+    steps = [("encode", text, ids)] + ([("decode", ids, decoded)] if decoded else [])
+    return _apply(docs, text, steps, vocabulary, [text])
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``encoded`` with the bytes that the packed ids stand for."""
-    return encoded.withColumn(decoded, _each("decode", encoded.sparkSession.sparkContext.broadcast(vocabulary), F.col(ids)))
+    return _apply(encoded, ids, [("decode", ids, decoded)], vocabulary, [])
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -219,8 +247,7 @@ def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     Null and empty texts have no tokens; repeated rows each give a row; other columns aren't read; an
     empty table gives no rows.
     """
-    both = decode_ids(encode_texts(docs.select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
-    return both.select(
+    return encode_texts(docs.select("doc_id", "text"), vocabulary, decoded="decoded").select(
         "doc_id",
         F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
