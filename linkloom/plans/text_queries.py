@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
-from linkloom.operators import evidence, intervals, judgments, provenance, search, tenure
+from linkloom.operators import evidence, intervals, judgments, layout, neighbourhood, provenance, search, tenure
 from linkloom.sources import tables, transactions
 
 
@@ -214,3 +214,62 @@ SQL = {
     "evidence_classes": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'unresolved' WHEN o_orderkey % 6 = 0 THEN 'directly-evidenced'
       WHEN (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 5 = 0 THEN 'cross-referenced' ELSE 'inferred' END AS evidence_class FROM orders""",
 }
+
+
+def _nodes(spark, sf_dir):
+    c = tables.table(spark, sf_dir, "customer")
+    return c.select(tables.player_id(F.col("c_custkey")).alias("id"), F.when(F.col("c_custkey") % 10 != 0, (1950 + F.col("c_custkey") % 60).cast("int")).alias("debut"))
+
+
+def era_lane_layout(spark, sf_dir):
+    return layout.era_lanes(_nodes(spark, sf_dir)).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def concentric_layout(spark, sf_dir):
+    edges = intervals.overlap_pairs(tables.tenures(spark, sf_dir))
+    weighted = edges.groupBy("a", "b").agg(F.sum("days").cast("double").alias("weight"), F.min("team").alias("primary_team"))
+    links = evidence.adjacency(edges)
+    hops = neighbourhood.focus_hops(links, "P000000001")
+    found = layout.concentric(_nodes(spark, sf_dir), weighted, links, hops, "P000000001")
+    return found.select("id", "ring", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
+def path_ring_layout(spark, sf_dir):
+    found = layout.path_rings(_nodes(spark, sf_dir), "P000000002", ["P000000001", "P000000002"])
+    return found.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def nearest_nodes(spark, sf_dir):
+    points = layout.era_lanes(_nodes(spark, sf_dir))
+    clicks = points.select(F.col("id").alias("click"), (F.col("x") + 30).alias("x"), (F.col("y") - 20).alias("y"))
+    return layout.nearest_node(points, clicks).select("click", "id", F.round("distance", 6).alias("distance"))
+
+
+def zoom_tiers(spark, sf_dir):
+    o = tables.table(spark, sf_dir, "orders")
+    scale = (F.col("o_orderkey") % 100) / F.lit(100.0)
+    tier = layout.zoom_tier(scale)
+    radius = layout.node_radius(tier, F.col("o_custkey"), F.col("o_orderkey") % 2 == 0)
+    return o.select("o_orderkey", tier.alias("tier"), F.round(radius, 6).alias("radius"), F.round(layout.zoom_blend(scale, 0.25), 6).alias("blend"))
+
+
+QUERIES |= {f.__name__: f for f in (era_lane_layout, concentric_layout, path_ring_layout, nearest_nodes, zoom_tiers)}
+
+_LANES = """b AS (SELECT 'P' || lpad(c_custkey::VARCHAR, 9, '0') AS id, CASE WHEN c_custkey % 10 <> 0 THEN 1950 + c_custkey % 60 ELSE 1980 END AS year FROM customer),
+  h AS (SELECT id, year, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, 11), lambda i: ord(id[i])::BIGINT)), lambda x, y: (xor(x, y) * 16777619) % 4294967296) AS h FROM b),
+  p AS (SELECT id, (year - 1947) * 110.0::DOUBLE + (h % 1000) / 1000.0::DOUBLE * 105.0::DOUBLE AS x, (((h // 1000) % 10000) / 10000.0::DOUBLE - 0.5::DOUBLE) * 5200.0::DOUBLE AS y FROM h)"""
+SQL |= {
+    "era_lane_layout": f"WITH {_LANES} SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM p",
+    "path_ring_layout": """WITH n AS (SELECT 'P' || lpad(c_custkey::VARCHAR, 9, '0') AS id FROM customer),
+      r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM n WHERE id NOT IN ('P000000001', 'P000000002')),
+      a AS (SELECT id, 150.0::DOUBLE + (k // 12) * 100.0::DOUBLE AS radius, 2 * pi() * (k % 12) / least(n - (k // 12) * 12, 12) - pi() / 2 AS angle FROM r)
+      SELECT id, CASE id WHEN 'P000000001' THEN 0.0::DOUBLE ELSE 170.0::DOUBLE END AS x, 0.0::DOUBLE AS y FROM n WHERE id IN ('P000000001', 'P000000002')
+      UNION ALL SELECT id, round(170 + radius * cos(angle), 6), round(radius * sin(angle), 6) FROM a""",
+    "nearest_nodes": f"""WITH {_LANES}, m AS (SELECT c.id AS click, p.id, sqrt((c.x + 30 - p.x) ** 2 + (c.y - 20 - p.y) ** 2) AS d FROM p c JOIN p ON abs(c.x + 30 - p.x) <= 80 AND abs(c.y - 20 - p.y) <= 80)
+      SELECT click, id, round(d, 6) AS distance FROM m WHERE d <= 80 QUALIFY row_number() OVER (PARTITION BY click ORDER BY d, id) = 1""",
+    "zoom_tiers": """WITH s AS (SELECT o_orderkey, o_custkey, (o_orderkey % 100) / 100.0::DOUBLE AS s FROM orders),
+      t AS (SELECT *, CASE WHEN s < 0.25 THEN 'macro' WHEN s < 0.75 THEN 'meso' ELSE 'micro' END AS tier, least(greatest((s - 0.25::DOUBLE) / 0.08::DOUBLE, 0), 1) AS u FROM s)
+      SELECT o_orderkey, tier, round(least(greatest(CASE tier WHEN 'macro' THEN 1.1 WHEN 'meso' THEN 1.8 ELSE 2.3 END::DOUBLE
+        + log2(1.0::DOUBLE + o_custkey) * CASE tier WHEN 'macro' THEN 0.13 WHEN 'meso' THEN 0.4 ELSE 0.5 END::DOUBLE + CASE WHEN o_orderkey % 2 = 0 THEN 1.4 ELSE 0 END::DOUBLE, 1.1::DOUBLE), 9.0::DOUBLE), 6) AS radius,
+        round(u * u * (3 - 2 * u), 6) AS blend FROM t""",
+}
