@@ -41,24 +41,32 @@ class SortedLists:
         """Ids and scores of the k best rows but the query's own, ties to smaller ids.
 
         The bound after depth d is the sum over dimensions of query times the component at d. The walk
-        ends when the bound is below the k-th score; at equality a row with a smaller id could still come.
+        ends when the bound is below the k-th score, as at equality a row with a smaller id could still
+        come, or when every row has been scored.
         """
-        n = len(self.ids)
+        n, left = len(self.ids), len(self.ids)
         dims = np.flatnonzero(query)
-        lists = self.falling[:, dims]
-        down = query[dims] < 0
+        down = query < 0
         seen = np.zeros(n, bool)
         best_rows, best_scores = np.empty(0, np.int64), np.empty(0, self.vectors.dtype)
         depth, stride = 0, STRIDE
-        while depth < n and len(dims):
+        while left and len(dims):
             upto = min(n, depth + stride)
-            met = np.where(down[None, :], lists[n - upto : n - depth][::-1], lists[depth:upto])
-            fresh = np.unique(met)
-            fresh = fresh[~seen[fresh]]
-            seen[fresh] = True
+            met = np.where(down[None, :], self.falling[n - upto : n - depth][::-1], self.falling[depth:upto])
+            met = met if len(dims) == len(query) else met[:, dims]
+            new = np.zeros(n, bool)
+            new[met.ravel()] = True
+            new &= ~seen
+            seen |= new
+            fresh = np.flatnonzero(new)
+            left -= len(fresh)
             fresh = fresh[self.ids[fresh] != own_id]
-            rows = np.concatenate([best_rows, fresh])
-            scores = np.concatenate([best_scores, self.vectors[fresh] @ query])
+            scores = self.vectors[fresh] @ query
+            least = best_scores[-1] if len(best_scores) == k else -np.inf
+            if len(scores) > k:
+                least = max(least, np.partition(scores, -k)[-k])
+            near = scores >= least
+            rows, scores = np.concatenate([best_rows, fresh[near]]), np.concatenate([best_scores, scores[near]])
             first = np.lexsort((rows, -scores))[:k]
             best_rows, best_scores = rows[first], scores[first]
             bound = int(self.vectors[met[-1], dims] @ query[dims])
@@ -114,14 +122,17 @@ def top_k(
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy()
         ids = pdf["vec_id"].to_numpy()
-        out = []
+        asked, found_ids, found_scores = [], [], []
         if asks.any() and not asks.all():
             x = _exact(np.stack(pdf["x"].to_numpy()))
             lists = SortedLists(ids[~asks], x[~asks])
             for query_id, query in zip(ids[asks], x[asks], strict=True):
                 found, scores = lists.top(query, query_id, k)
-                out.append(pd.DataFrame({"query_id": query_id, "vec_id": found, "score": scores}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                asked.append(np.full(len(found), query_id))
+                found_ids.append(found)
+                found_scores.append(scores)
+        columns = {"query_id": asked, "vec_id": found_ids, "score": found_scores}
+        return pd.DataFrame({name: np.concatenate(parts) if parts else np.empty(0, np.int64) for name, parts in columns.items()})
 
     found = candidates.union(queries).groupBy("dim", "block", "query_block").applyInPandas(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
