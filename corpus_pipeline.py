@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import byte_bpe, language_id, mixing, ordinal_quality, simhash
+from linkloom.llm import byte_bpe, language_id, mixing, ordinal_quality, shingle_dedup
 from linkloom.scratch import materialise
 
 
@@ -25,8 +25,8 @@ def grade_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves one document of each group of near duplicates."""
-    return simhash.keep_one(docs)
+    """Leaves one document of each group that pairs of five-word Jaccard similarity 0.8 or more join."""
+    return shingle_dedup.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,24 +29,31 @@ TILE_ROWS = 1024
 _SLICE = 1 << 16
 
 
-def fingerprint_of(text: str | None, words: int = WORDS) -> int:
-    """The 64-bit fingerprint of a whole text as an unsigned integer; null or wordless texts have zero.
+def shingle_hashes(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """The 64-bit hashes of a whole text's runs of ``words`` words, slice by slice; none for a null or wordless text.
 
-    Only A-Z are lower-cased and only ASCII white space parts words, as bytes.lower and bytes.split do.
+    A text of fewer words is one run. Only A-Z are lower-cased and only ASCII white space parts words, as
+    bytes.lower and bytes.split do.
     """
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     span = min(words, len(tokens))
     n = len(tokens) - span + 1
-    ones = np.zeros(64, np.int64)
     for at in range(0, n, _SLICE):
         upto = min(n, at + _SLICE)
         pieces = map(joined.__getitem__, map(slice, starts[at:upto].tolist(), ends[at + span - 1 : upto + span - 1].tolist()))
-        h = np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, upto - at)
+        yield np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(SEED)), np.uint64, upto - at)
+
+
+def fingerprint_of(text: str | None, words: int = WORDS) -> int:
+    """The 64-bit fingerprint of a whole text as an unsigned integer; null or wordless texts have zero."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, words):
+        n += len(h)
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 

@@ -256,3 +256,42 @@ def test_pipeline_stages_take_and_return_documents(spark):
     assert mixed.columns == docs.columns
     assert corpus_pipeline.tokenize(spark, mixed, "").filter(F.col("n_tokens") > 0).count() == mixed.count()
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "simhash_near_dedup", "source_mixing", "byte_level_bpe"]
+
+
+def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(4000)]
+    runs = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))}
+    rows = []
+    for i in range(60):
+        base = [rng.choice(words) for _ in range(300)]
+        rows.append((i, " ".join(base), "en", "s"))
+        for k in range(6):
+            other = list(base)
+            for _ in range(2 * k + 1):
+                other[rng.randrange(300)] = f"new{rng.randrange(10**6)}"
+            rows.append((1000 + 10 * i + k, " ".join(other), "en", "s"))
+    sets = {i: runs(t) for i, t, *_ in rows}
+    prints = {i: _print(t) for i, t, *_ in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    apart = 0
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+                apart += (prints[a] ^ prints[b]).bit_count() > 2
+    odd = [(9000, None, None, "s"), (9001, "", None, "s"), (None, rows[0][1], None, None), (9002, "one two", None, "s"), (9003, "One  two", None, "s"), rows[0]]
+    got = corpus_pipeline.drop_near_duplicates(spark, _docs(spark, rows + odd), "")
+    assert apart and got.columns == _docs(spark, []).columns
+    assert sorted(r["doc_id"] for r in got.filter("doc_id is not null").collect()) == sorted({find(i) for i in sets} | {9000, 9002})
+    assert got.filter("doc_id is null").count() == 1
+    assert corpus_pipeline.drop_near_duplicates(spark, _docs(spark, []), "").collect() == []
