@@ -84,11 +84,18 @@ def expected_and_tail(model: OrdinalModel, score: np.ndarray, tail_from: int) ->
     return (1 - below).sum(1), 1 - below[:, tail_from - 1]
 
 
-def fit(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3) -> OrdinalModel:
-    """Maximum likelihood by Adam on the whole sample; fixed start and steps, so the fit is the same each time."""
+def fit(
+    at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, grades: int = GRADES, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3,
+    weight: np.ndarray | None = None,
+) -> OrdinalModel:
+    """Maximum likelihood by Adam on the whole sample; fixed start and steps, so the fit is the same each time.
+
+    ``weight`` tells how many rated documents each row stands for; one each without it.
+    """
     rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
     cols, val = np.concatenate(at), np.concatenate(x)
-    share = np.array([(grade <= k).mean() for k in range(grades - 1)]).clip(0.01, 0.99)
+    stands = np.ones(len(grade)) if weight is None else weight / weight.mean()
+    share = np.array([np.average(grade <= k, weights=stands) for k in range(grades - 1)]).clip(0.01, 0.99)
     first = np.log(share / (1 - share))
     theta = np.concatenate([[first[0]], np.log(np.maximum(np.diff(first), 0.05)), np.zeros(BUCKETS)])
     m, v, n = np.zeros_like(theta), np.zeros_like(theta), len(grade)
@@ -102,10 +109,10 @@ def fit(at: list[np.ndarray], x: list[np.ndarray], grade: np.ndarray, grades: in
         pdf = cdf * (1 - cdf)
         i = np.arange(n)
         p = np.maximum(cdf[i, grade + 1] - cdf[i, grade], 1e-12)
-        d_score = (pdf[i, grade + 1] - pdf[i, grade]) / p
+        d_score = stands * (pdf[i, grade + 1] - pdf[i, grade]) / p
         d_threshold = np.zeros(cut)
-        np.add.at(d_threshold, grade[grade < cut], -(pdf[i, grade + 1] / p)[grade < cut])
-        np.add.at(d_threshold, grade[grade > 0] - 1, (pdf[i, grade] / p)[grade > 0])
+        np.add.at(d_threshold, grade[grade < cut], -(stands * pdf[i, grade + 1] / p)[grade < cut])
+        np.add.at(d_threshold, grade[grade > 0] - 1, (stands * pdf[i, grade] / p)[grade > 0])
         after = np.cumsum(d_threshold[::-1])[::-1]
         g = np.concatenate([after * np.concatenate([[1.0], np.exp(theta[1:cut])]), np.bincount(cols, val * d_score[rows], BUCKETS)]) / n
         g[cut:] += penalty * w
@@ -129,14 +136,16 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> OrdinalModel | None:
     """Fit on about ``sample`` rated documents (documented bound), a third for each grade where there are so many.
 
-    A row is taken where a hash of its id falls under its grade's rate; so few ids are broadcast. Texts become features in their
+    A row is taken where a hash of its id falls under its grade's rate; so few ids are broadcast. Rows weigh one by their
+    grade's rate, so thresholds and probabilities stand for all ratings at every size. Texts become features in their
     own tasks, buckets that occur in too few of the sample's texts to teach anything are left out by a
     count, and what remains of the sample meets on the driver. None without ratings.
     """
     sizes = {r["grade"]: r["n"] for r in ratings.groupBy("grade").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return None
-    rates = F.create_map(*[F.lit(v) for k, n in sizes.items() for v in (k, min(1.0, sample / GRADES / n))])
+    rate = {k: min(1.0, sample / GRADES / n) for k, n in sizes.items()}
+    rates = F.create_map(*[F.lit(v) for pair in rate.items() for v in pair])
     share = F.pmod(F.xxhash64("doc_id", F.lit("rated")), F.lit(1 << 30)) / float(1 << 30)
     chosen = ratings.filter(share < rates[F.col("grade")]).select(F.col("doc_id").alias("_id"), "grade")
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(chosen), "_id")
@@ -161,7 +170,9 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.toPandas().sort_values(["_id", "grade"], kind="stable")
     if rows.empty:
         return None
-    return fit([np.asarray(a, np.int32) for a in rows["at"]], [np.asarray(a, np.float64) for a in rows["x"]], rows["grade"].to_numpy().astype(int))
+    grade = rows["grade"].to_numpy().astype(int)
+    weight = np.array([1 / rate[g] for g in grade.tolist()])
+    return fit([np.asarray(a, np.int32) for a in rows["at"]], [np.asarray(a, np.float64) for a in rows["x"]], grade, weight=weight)
 
 
 def rate(docs: DataFrame, model: OrdinalModel | None, text: Column, tail_from: int = GRADES - 1) -> DataFrame:

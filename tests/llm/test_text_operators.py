@@ -295,3 +295,26 @@ def test_pipeline_drops_near_copies_of_five_word_similarity(spark):
     assert sorted(r["doc_id"] for r in got.filter("doc_id is not null").collect()) == sorted({find(i) for i in sets} | {9000, 9002})
     assert got.filter("doc_id is null").count() == 1
     assert corpus_pipeline.drop_near_duplicates(spark, _docs(spark, []), "").collect() == []
+
+
+def test_kept_sets_hold_with_and_without_the_sample_bound(spark):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for i in range(2400):
+        grade = 0 if i % 100 == 0 else 1 if i % 100 < 12 else 2
+        words = [f"good{j}" for j in range(20)]
+        # of the doubtful texts three quarters are of the top grade, but few in a sample of equal parts
+        if rng.random() < (0.3 if grade == 2 else 0.7):
+            words[3] = "doubtful"
+        elif grade < 2:
+            words[4] = "insult"
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, int(grade > 0), int(grade < 2) if grade else 1))
+    docs = _docs(spark, rows)
+    ratings = ordinal_quality.graded(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = []
+    for sample in (900, 10**9):
+        model = ordinal_quality.train(docs, ratings, sample=sample)
+        rated = ordinal_quality.rate(docs.select("doc_id", "text"), model, F.col("text")).collect()
+        kept.append({r["doc_id"] for r in rated if r["p_tail"] >= 0.5})
+    assert 2000 < len(kept[1]) < 2390 and len(kept[0] ^ kept[1]) <= 0.02 * len(rows)
