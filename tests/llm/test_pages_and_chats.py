@@ -211,3 +211,18 @@ def test_walk_tells_of_cut_files():
     with pytest.raises(ValueError):
         list(warc.walk(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"])))
     assert json.dumps(list(warc.walk(iter([])))) == "[]"
+
+
+def test_loss_is_read_from_written_examples(spark):
+    df = spark.createDataFrame([(*r, None, None) for r in _chat_rows()], CHATS)
+    formatted = chat_format.format_turns(df).cache()
+    made = chat_format.examples(formatted)
+    text = {}
+    for r in sorted(formatted.collect(), key=lambda r: r["place"]):
+        text[r["conv_id"]] = text.get(r["conv_id"], "") + r["segment"]
+    for r in made.collect():
+        assert text[r["conv_id"]][r["context_end"] : r["end"]] == r["own"]
+    whole = {r["conv_id"]: r for r in chat_format.conversation_digests(formatted, made).collect()}
+    fewer = {r["conv_id"]: r for r in chat_format.conversation_digests(formatted, made.filter("conv_id <> 99")).collect()}
+    assert (whole[99]["n_examples"], fewer[99]["n_examples"], fewer[99]["loss_chars"]) == (1500, 0, 0)
+    assert fewer[99]["turns_sha256"] == whole[99]["turns_sha256"]
