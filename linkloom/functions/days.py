@@ -59,19 +59,37 @@ def interval_text(start: Column, end: Column) -> Column:
     return F.concat(F.lit("["), date_of(start).cast("string"), F.lit(", "), date_of(end).cast("string"), F.lit(")"))
 
 
-def era_label(season: Column) -> Column:
-    """The decade a season falls in; null seasons have none."""
-    return F.concat((F.floor(season / 10) * 10).cast("string"), F.lit("s"))
+# The eras, their leagues and their seasons.
+ERAS = (
+    ("BAA 1946-49", "BAA", None, None),
+    ("1950-66", "NBA", 1950, 1966),
+    ("1967-80", "NBA", 1967, 1980),
+    ("1981-99", "NBA", 1981, 1999),
+    ("2000-2025/26", "NBA", 2000, 2026),
+)
+
+
+def era_label(league: Column, season: Column) -> Column:
+    """The era of a league's season; null outside all eras."""
+    out = F.lit(None).cast("string")
+    for name, own, first, last in ERAS:
+        out = F.when((league == own) & (F.lit(True) if first is None else season.between(first, last)), name).otherwise(out)
+    return out
 
 
 def date_precision(text: Column) -> tuple[Column, Column]:
-    """How exactly a written date is known (precise, month, year, unknown), and its ISO form if to the day."""
-    full = F.regexp_extract(text, r"([A-Z][a-z]+ \d{1,2}, \d{4})", 1)
-    iso = F.when(full != "", F.try_to_date(full, "MMMM d, yyyy"))
-    kind = (
-        F.when(iso.isNotNull(), "precise")
-        .when(text.rlike(r"[A-Z][a-z]+ \?, \d{4}|^[A-Z][a-z]+,? \d{4}"), "month")
-        .when(text.rlike(r"\b\d{4}\b"), "year")
-        .otherwise("unknown")
+    """How exactly a written date is known (precise, fuzzy, unknown), and its ISO form as far as it is: a day, a month or a year.
+
+    The whole text, its white space collapsed, must be a date: ``January 5, 2001``, ``January ?, 2001``, ``2001`` or ``? 2001``.
+    """
+    t = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    month = "January|February|March|April|May|June|July|August|September|October|November|December"
+    number = lambda name: F.lpad(F.array_position(F.array(*[F.lit(m) for m in month.split("|")]), name).cast("string"), 2, "0")
+    day, fuzzy, year = rf"^({month}) (\d{{1,2}}), ?(\d{{4}})$", rf"^({month}) \?+, ?(\d{{4}})$", r"^\?? ?(\d{4})$"
+    part = lambda form, i: F.regexp_extract(t, form, i)
+    iso = (
+        F.when(t.rlike(day), F.concat_ws("-", part(day, 3), number(part(day, 1)), F.lpad(part(day, 2), 2, "0")))
+        .when(t.rlike(fuzzy), F.concat_ws("-", part(fuzzy, 2), number(part(fuzzy, 1))))
+        .when(t.rlike(year), part(year, 1))
     )
-    return kind, iso
+    return F.when(t.rlike(day), "precise").when(iso.isNotNull(), "fuzzy").otherwise("unknown"), iso

@@ -21,11 +21,14 @@ BATCH = 4
 
 @dataclass(frozen=True)
 class Policy:
-    """Thresholds of acceptance."""
-
-    probability: float = 0.6
-    confidence: float = 0.6
-    margin: float = 0.2
+    """Thresholds of acceptance: of a choice, of a candidate's being meant at all, and of a score."""
+
+    # Fixed values of the calibrated policy.
+    probability: float = 0.95
+    confidence: float = 0.95
+    margin: float = 0.25
+    existence: float = 0.5
+    ranking: float = 0.25
     sum_slack: float = 0.02
     mean_slack: float = 0.03
 
@@ -85,24 +88,25 @@ def usable(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & x.between(0.0, 1.0)
 
 
-def accepted_choice(probabilities: Column, confidence: Column, keys: Column, policy: Policy = Policy()) -> Column:
-    """The chosen key of a map of probabilities, null unless the answer is well-formed and clear.
+def accepted_choice(selected: Column, probabilities: Column, confidence: Column, keys: Column, policy: Policy = Policy()) -> Column:
+    """The key that the provider selected, null unless its map of probabilities is well-formed and clear.
 
     Its keys are the options' exactly, each probability lies in 0 to 1, they sum to one within the slack,
-    and probability, confidence and lead over the second reach the thresholds.
+    and the selected key's probability, the confidence and the lead over every other key reach the thresholds.
     """
     p = F.map_values(probabilities)
-    entries = F.sort_array(F.transform(F.map_entries(probabilities), lambda e: F.struct((-e["value"]).alias("v"), e["key"].alias("k"))))
-    best, second = -entries[0]["v"], F.when(F.size(entries) > 1, -F.try_element_at(entries, F.lit(2))["v"]).otherwise(0.0)
+    own = F.try_element_at(probabilities, selected)
+    others = F.map_values(F.map_filter(probabilities, lambda k, _: k != selected))
+    lead = own - F.coalesce(F.array_max(others), F.lit(0.0))
     total = F.aggregate(p, F.lit(0.0), lambda a, x: a + x)
     well = (
         (F.array_sort(F.map_keys(probabilities)) == F.array_sort(keys)) & F.forall(p, usable) & usable(confidence) & (F.abs(total - 1) <= policy.sum_slack)
     )
-    clear = (best >= policy.probability) & (confidence >= policy.confidence) & (best - second >= policy.margin)
-    return F.when(F.coalesce(well & clear, F.lit(False)), entries[0]["k"])
+    clear = (own >= policy.probability) & (confidence >= policy.confidence) & (lead >= policy.margin)
+    return F.when(F.coalesce(well & clear, F.lit(False)), selected)
 
 
-def valid_score(probabilities: Column, mean: Column, levels: int, policy: Policy = Policy()) -> Column:
+def valid_score(probabilities: Column, mean: Column, levels: Column | int, policy: Policy = Policy()) -> Column:
     """Whether an array of level probabilities is one: of the right length, summing to one, with the mean it claims."""
     total = F.aggregate(probabilities, F.lit(0.0), lambda a, x: a + x)
     weighed = F.aggregate(F.transform(probabilities, lambda x, i: x * i), F.lit(0.0), lambda a, x: a + x)

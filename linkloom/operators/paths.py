@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from linkloom.scratch import materialise
 
-LIMBS = 16
 LIMB = 10**9
+_CHUNK = 4000
 MOST_PAGE = 500
 U64 = 2**64 - 1
 
@@ -102,30 +102,31 @@ def all_shortest_chains(adjacency: DataFrame, start: str, goal: str) -> DataFram
     return paths.select("path", (F.size("path") - 1).alias("degree"))
 
 
-def _carry(limbs: list[Column]) -> list[Column]:
-    """Limb sums brought below 10^9, what is over handed up."""
+def _carry(limbs: list[Column]) -> Column:
+    """Limb sums brought below 10^9, what is over handed up to two limbs more; without zeros at the end."""
     out, over = [], F.lit(0).cast("long")
-    for x in limbs:
+    for x in [*limbs, F.lit(0).cast("long"), F.lit(0).cast("long")]:
         total = x + over
         out.append(total % LIMB)
-        over = F.floor(total / F.lit(float(LIMB))).cast("long")
-    return out
+        over = F.call_function("div", total, F.lit(LIMB).cast("long"))
+    last = F.array_max(F.array(*[F.when(x != 0, i + 1).otherwise(1) for i, x in enumerate(out)]))
+    return F.slice(F.array(*out), F.lit(1), last)
 
 
 def chain_counts(dag: DataFrame, goal: str, degree: int) -> DataFrame:
     """(node, left, limbs): how many shortest chains go on from each node to the goal, exactly.
 
-    A count is an array of base 10^9 limbs, least first, summed limb by limb and carried: as large as
-    10^144, beyond any built-in number.
+    A count is an array of base 10^9 limbs, least first, summed limb by limb and carried; arrays grow as counts do.
     """
     spark = dag.sparkSession
-    done = spark.createDataFrame([(goal, 0, [1] + [0] * (LIMBS - 1))], "node string, left int, limbs array<long>")
-    level, out = done, done
+    done = spark.createDataFrame([(goal, 0, [1])], "node string, left int, limbs array<long>")
+    level, out, width = done, done, 1
     for left in range(1, degree + 1):
         step = dag.filter(F.col("left") == left).join(level.select(F.col("node").alias("other"), "limbs"), "other")
-        sums = step.groupBy("node").agg(*[F.sum(F.col("limbs")[i]).alias(f"s{i}") for i in range(LIMBS)])
-        limbs = F.array(*_carry([F.col(f"s{i}") for i in range(LIMBS)]))
+        sums = step.groupBy("node").agg(*[F.sum(F.coalesce(F.get("limbs", F.lit(i)), F.lit(0))).alias(f"s{i}") for i in range(width)])
+        limbs = _carry([F.col(f"s{i}") for i in range(width)])
         level = materialise(sums.select("node", F.lit(left).alias("left"), limbs.alias("limbs")), "counts")
+        width = level.agg(F.max(F.size("limbs"))).first()[0] or 1
         out = out.union(level)
     return out
 
@@ -134,11 +135,24 @@ def count_of(limbs: list[int]) -> int:
     return sum(x * LIMB**i for i, x in enumerate(limbs))
 
 
-def parse_cursor(cursor: str) -> int:
-    """The rank in a cursor ``v1:<digits>``."""
-    if not re.fullmatch(r"v1:[0-9]{1,144}", cursor):
-        raise ValueError(f"not a cursor: {cursor}")
-    return int(cursor[3:])
+def parse_cursor(cursor: str, most_digits: int) -> int:
+    """The rank in a cursor ``v1:<digits>`` of at most ``most_digits``, the number of nodes."""
+    if not re.fullmatch(r"v1:[0-9]+", cursor) or len(cursor) - 3 > most_digits:
+        raise ValueError(f"not a cursor: {cursor[:200]}")
+    rank = 0
+    for at in range(3, len(cursor), _CHUNK):
+        part = cursor[at : at + _CHUNK]
+        rank = rank * 10 ** len(part) + int(part)
+    return rank
+
+
+def decimal(n: int) -> str:
+    """A number in decimal digits, also where it has more of them than ``str`` writes at once."""
+    parts = []
+    while n >= 10**_CHUNK:
+        n, low = divmod(n, 10**_CHUNK)
+        parts.append(f"{low:0{_CHUNK}d}")
+    return "".join([str(n), *reversed(parts)])
 
 
 @dataclass(frozen=True)
@@ -158,7 +172,7 @@ def chain_page(adjacency: DataFrame, nodes: DataFrame, start: str, goal: str, li
         raise ValueError(f"limit must be from 1 to {MOST_PAGE}")
     if offset is not None and cursor is not None:
         raise ValueError("offset and cursor exclude each other")
-    rank = parse_cursor(cursor) if cursor is not None else offset or 0
+    rank = parse_cursor(cursor, max(1, nodes.count())) if cursor is not None else offset or 0
     if rank < 0:
         raise ValueError("offset must not be negative")
     if nodes.filter(F.col("id").isin(start, goal)).select("id").distinct().count() < len({start, goal}):
@@ -191,7 +205,7 @@ def chain_page(adjacency: DataFrame, nodes: DataFrame, start: str, goal: str, li
         open_ = grown
     end = rank + len(open_)
     more = end < total
-    return ChainPage([p for p, _, _ in open_], min(total, U64), str(total), end if more and end <= U64 else None, f"v1:{end}" if more else None)
+    return ChainPage([p for p, _, _ in open_], min(total, U64), decimal(total), end if more and end <= U64 else None, f"v1:{decimal(end)}" if more else None)
 
 
 def chain_links(path: DataFrame, edge_rows: DataFrame) -> DataFrame:

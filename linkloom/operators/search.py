@@ -18,33 +18,29 @@ def catalog_names(catalog: DataFrame) -> DataFrame:
     return rows.select("id", "place", "name", normalized(F.col("name")).alias("form"), (F.col("place") > 0).alias("is_alias"))
 
 
-def in_era(first: Column, last: Column, era: int) -> Column:
-    """Whether a career touches a decade; the last is open-ended; unknown seasons never match."""
+def in_era(first: Column, era: int) -> Column:
+    """Whether a career began in a decade; the last is open-ended; unknown seasons never match."""
     if era not in ERAS:
         raise ValueError(f"no such era: {era}")
-    upto = F.lit(True) if era == ERAS[-1] else first < era + 10
-    return F.coalesce(upto & (last >= era), F.lit(False))
+    return F.coalesce((first >= era) & (F.lit(True) if era == ERAS[-1] else first < era + 10), F.lit(False))
 
 
 def filtered_catalog(catalog: DataFrame, era: int | None = None, franchise: str | None = None) -> DataFrame:
     if franchise is not None and catalog.filter(F.array_contains("teams", franchise)).isEmpty():
         raise ValueError(f"no such franchise: {franchise}")
     if era is not None:
-        catalog = catalog.filter(in_era(F.col("first_season"), F.col("last_season"), era))
+        catalog = catalog.filter(in_era(F.col("first_season"), era))
     return catalog if franchise is None else catalog.filter(F.array_contains("teams", franchise))
 
 
-def _score(form: Column, is_alias: Column, query: str, squeezed: str, words: list[str]) -> tuple[Column, Column]:
-    """Kind and score of one name in the second phase."""
+def _score(form: Column, query: str, one: bool) -> tuple[Column, Column]:
+    """Kind and score of one name in the second phase; ``one`` says that the query is a single word."""
     tokens = F.split(form, " ")
-    one = len(words) == 1
-    all_tokens = F.lit(True)
-    for w in words:
-        all_tokens = all_tokens & F.array_contains(tokens, w)
+    token = F.lit(one) & F.array_contains(tokens, query)
     whole_most = 2 if len(query) >= 8 else 1
     whole = osa(form, F.lit(query), whole_most) if len(query) >= 4 else F.lit(None).cast("int")
-    kind = F.when(all_tokens, F.lit("token")).when(form.startswith(query), F.lit("prefix"))
-    score = F.when(all_tokens, F.lit(850)).when(form.startswith(query), F.lit(800))
+    kind = F.when(token, F.lit("token")).when(form.startswith(query), F.lit("prefix"))
+    score = F.when(token, F.lit(850)).when(form.startswith(query), F.lit(800))
     if one and len(query) >= 3:
         begins = F.exists(tokens, lambda t: t.startswith(query))
         kind, score = kind.when(begins, F.lit("prefix")), score.when(begins, F.lit(750))
@@ -55,8 +51,8 @@ def _score(form: Column, is_alias: Column, query: str, squeezed: str, words: lis
 def search(catalog: DataFrame, names: DataFrame, text: str, limit: int = 20, era: int | None = None, franchise: str | None = None) -> DataFrame:
     """(id, match_kind, matched_name, score, status, matches_total, has_more) by falling score, then id.
 
-    ``names`` is ``catalog_names`` of the whole catalog. Typing errors and the like are looked for only
-    when no name or alias is hit. The status is settled before the list is cut. An empty query lists the
+    ``names`` is ``catalog_names`` of the whole catalog. A name is hit as it is, an alias also by other spaces. Words,
+    beginnings and typing errors are looked for only when nothing is hit, by queries of two letters or more. The status is settled before the list is cut. An empty query lists the
     filtered catalog if there is a filter, else nothing.
     """
     if not 1 <= limit <= 50 or len(text) > MOST_QUERY:
@@ -71,13 +67,14 @@ def search(catalog: DataFrame, names: DataFrame, text: str, limit: int = 20, era
             found = kept.select("id", F.lit("context").alias("match_kind"), F.col("name").alias("matched_name"), F.lit(0).alias("score"))
     else:
         squeezed, words = query.replace(" ", ""), query.split(" ")
-        hit = (F.col("form") == query) | (F.replace("form", F.lit(" "), F.lit("")) == squeezed)
         exact = ~F.col("is_alias") & (F.col("form") == query)
+        hit = exact | (F.col("is_alias") & (F.replace("form", F.lit(" "), F.lit("")) == squeezed))
+        # of equal aliases the first one tells
         scored = own.filter(hit).select(
-            "id", "place", "name", F.when(exact, "exact_name").otherwise("alias").alias("match_kind"), F.when(exact, 1000).otherwise(950).alias("score")
+            "id", (-F.col("place")).alias("place"), "name", F.when(exact, "exact_name").otherwise("alias").alias("match_kind"), F.when(exact, 1000).otherwise(950).alias("score")
         )
-        if scored.isEmpty():
-            kind, score = _score(F.col("form"), F.col("is_alias"), query, squeezed, words)
+        if len(query) >= 2 and scored.isEmpty():
+            kind, score = _score(F.col("form"), query, len(words) == 1)
             by_name = own.select("id", "place", "name", kind.alias("match_kind"), score.alias("score"))
             parts = own.filter(F.lit(len(query) >= 4 and len(words) == 1)).select("id", "place", "name", F.explode(F.split("form", " ")).alias("word"))
             by_word = parts.select("id", "place", "name", F.lit("typo").alias("match_kind"), (550 - 20 * osa(F.col("word"), F.lit(query), 1)).alias("score"))

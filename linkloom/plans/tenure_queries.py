@@ -1,7 +1,7 @@
 """Queries of the tenure and reconciliation operators on the driver's tables.
 
-Users move in and out of an event type's team: an event whose id leaves 0 of 3 is an arrival, 1 a
-departure, on the event's day. Customers buying from suppliers are the memberships two sources differ on:
+Users move in and out of an event type's team: some events are arrivals, departures or moves, on the
+event's day. Customers buying from suppliers are the memberships two sources differ on:
 by the order's date and by the shipping date.
 """
 
@@ -15,28 +15,49 @@ from linkloom.operators import intervals, reconcile, tenure
 from linkloom.sources import tables
 
 
-def _moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    on = days.day_number(F.col("ts"))
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a month as three seasons of ten days, 2000 to 2002; the last three days of each have no games."""
+    k = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
     return tables.table(spark, sf_dir, "events").select(
-        tables.player_id(F.col("user_id")).alias("player"), F.when(F.col("event_id") % 3 == 1, F.col("event_type")).alias("depart"),
-        F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("arrive"), days.season_of(F.col("ts")).alias("season"), on.alias("day"),
-    ).filter("depart is not null or arrive is not null")
+        "event_id", tables.player_id(F.col("user_id")).alias("player"), F.col("event_type").alias("team"), (2000 + F.floor(k / 10)).cast("int").alias("season"),
+        (k % 10).alias("of_season"), days.day_number(F.col("ts")).alias("day"), F.date_format("ts", "yyyyMMddHH").alias("game_id"),
+    )
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of 12 event ids two are arrivals, one is a departure and one a move to another team; some are flagged."""
+    k = F.col("event_id") % 12
+    return _events(spark, sf_dir).filter(k.isin(0, 1, 3, 5)).select(
+        "player", F.when(k.isin(1, 5), F.col("team")).alias("depart"), F.when(k.isin(0, 3), F.col("team")).when(k == 5, "click").alias("arrive"), "season", "day",
+        F.when(F.col("event_id") % 41 == 7, "outside-page-window").when(F.col("event_id") % 43 == 7, "no-player-anchor").alias("leg_flags"),
+    )
 
 
 def _games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "events").select(
-        F.col("event_type").alias("team"), days.season_of(F.col("ts")).alias("season"), F.date_format("ts", "yyyyMMddHH").alias("game_id"), days.day_number(F.col("ts")).alias("day")
-    ).distinct()
+    """A game is an hour of a team; one team lacks the games of the last season."""
+    return _events(spark, sf_dir).filter("of_season < 7 and not (team = 'error' and season = 2002)").select("team", "season", "game_id", "day").distinct()
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table(spark, sf_dir, "events").select(
-        tables.player_id(F.col("user_id")).alias("player"), F.col("event_type").alias("team"), days.season_of(F.col("ts")).alias("season")
-    ).distinct()
+    league = F.when(F.col("season") == 2000, "BAA").otherwise("NBA")
+    return _events(spark, sf_dir).select("player", "team", "season", league.alias("league")).distinct()
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    usable = _legs(spark, sf_dir).filter("leg_flags is null").drop("leg_flags")
+    return tenure.anchors(usable.union(tenure.carry_arrivals(usable, _members(spark, sf_dir), season_windows(spark, sf_dir))))
 
 
 def _reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tenure.reconstruct(_members(spark, sf_dir), tenure.season_windows(_games(spark, sf_dir)), tenure.anchors(_moves(spark, sf_dir)))
+    fuzzy = _events(spark, sf_dir).filter("event_id % 47 = 11").select("player", "season")
+    return tenure.reconstruct(_members(spark, sf_dir), season_windows(spark, sf_dir), _legs(spark, sf_dir), fuzzy)
+
+
+def _appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Games of each player and of each team, all hours counted, so that a schedule may lack some."""
+    hours = _events(spark, sf_dir)
+    team_games = hours.groupBy("team", "season").agg(F.count_distinct("game_id").alias("team_games"))
+    return hours.groupBy("player", "team", "season").agg(F.count_distinct("game_id").alias("games")).join(team_games, ["team", "season"])
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -52,11 +73,11 @@ def season_windows(spark, sf_dir):
 
 
 def anchors(spark, sf_dir):
-    return tenure.anchors(_moves(spark, sf_dir))
+    return _days(spark, sf_dir)
 
 
 def stints(spark, sf_dir):
-    return tenure.stints(anchors(spark, sf_dir).join(season_windows(spark, sf_dir), ["team", "season"], "left"))
+    return tenure.stints(_days(spark, sf_dir).join(season_windows(spark, sf_dir), ["team", "season"], "left"))
 
 
 def reconstructed_tenures(spark, sf_dir):
@@ -64,7 +85,7 @@ def reconstructed_tenures(spark, sf_dir):
 
 
 def tenure_coverage(spark, sf_dir):
-    return tenure.coverage(_reconstructed(spark, sf_dir), days.era_label(F.col("season")))
+    return tenure.coverage(_reconstructed(spark, sf_dir), days.era_label(F.col("league"), F.col("season")))
 
 
 def certified_tenures(spark, sf_dir):
@@ -75,14 +96,18 @@ def coverage_gaps(spark, sf_dir):
     return tenure.certified(_reconstructed(spark, sf_dir))[1].groupBy("evidence_class").agg(F.count("*").alias("excluded"))
 
 
+def fetch_failures(spark, sf_dir):
+    """Two pages could not be read: that of a season of one league, and one that nothing asks for."""
+    failed = spark.createDataFrame([("NBA_2001",), ("BAA_1949",)], "page string")
+    return tenure.fetch_failures(_reconstructed(spark, sf_dir), failed)
+
+
 def capacity_audit(spark, sf_dir):
-    games = _games(spark, sf_dir)
-    team_games = games.groupBy("team", "season").agg(F.count_distinct("game_id").cast("int").alias("team_games"))
-    hours = tables.table(spark, sf_dir, "events").select(
-        tables.player_id(F.col("user_id")).alias("player"), F.col("event_type").alias("team"), days.season_of(F.col("ts")).alias("season"), F.date_format("ts", "yyyyMMddHH").alias("g")
-    )
-    played = hours.groupBy("player", "team", "season").agg(F.count_distinct("g").cast("int").alias("games")).join(team_games, ["team", "season"])
-    return tenure.capacity_audit(_reconstructed(spark, sf_dir), games, played)
+    return tenure.capacity_audit(_reconstructed(spark, sf_dir), _games(spark, sf_dir), _appearances(spark, sf_dir))
+
+
+def appearance_conflicts(spark, sf_dir):
+    return tenure.appearance_conflicts(_reconstructed(spark, sf_dir), _games(spark, sf_dir), _appearances(spark, sf_dir))
 
 
 def pair_classes(spark, sf_dir):
@@ -95,13 +120,12 @@ def active_contracts(spark, sf_dir):
 
 
 def carried_arrivals(spark, sf_dir):
-    w = season_windows(spark, sf_dir).withColumn("window_end", F.col("window_end") - 5)
-    later = w.select("team", (F.col("season") + 1).alias("season"), (F.col("window_start") + 365).alias("window_start"), (F.col("window_end") + 365).alias("window_end"))
-    return tenure.carry_arrivals(anchors(spark, sf_dir), w.union(later.select(*w.columns)))
+    usable = _legs(spark, sf_dir).filter("leg_flags is null").drop("leg_flags")
+    return tenure.carry_arrivals(usable, _members(spark, sf_dir), season_windows(spark, sf_dir))
 
 
 def games_inside_stints(spark, sf_dir):
-    return intervals.games_inside(_games(spark, sf_dir).select("team", "game_id", "day"), stints(spark, sf_dir).filter("start_day is not null"))
+    return intervals.games_inside(_games(spark, sf_dir).select("team", "game_id", "day"), stints(spark, sf_dir).filter("start_day is not null").drop("day"))
 
 
 def membership_difference(spark, sf_dir):
@@ -173,7 +197,7 @@ def day_arithmetic(spark, sf_dir):
     m, y = days.month_window(F.year(d), F.month(d)), days.year_window(F.year(d))
     return tables.table(spark, sf_dir, "orders").select(
         "o_orderkey", days.day_number(d).alias("day"), days.season_of(d).alias("season"), m[0].alias("month_low"), m[1].alias("month_high"),
-        y[0].alias("year_low"), y[1].alias("year_high"), days.interval_text(days.day_number(d), days.day_number(d) + 30).alias("span"), days.era_label(F.year(d)).alias("era"),
+        y[0].alias("year_low"), y[1].alias("year_high"), days.interval_text(days.day_number(d), days.day_number(d) + 30).alias("span"), days.era_label(F.when(F.col("o_orderkey") % 5 == 0, "BAA").otherwise("NBA"), F.year(d) - (F.col("o_orderkey") % 50).cast("int")).alias("era"),
     )
 
 
@@ -200,63 +224,100 @@ def bounded_texts(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        season_windows, anchors, stints, reconstructed_tenures, tenure_coverage, certified_tenures, coverage_gaps, capacity_audit, pair_classes, active_contracts,
+        season_windows, anchors, stints, reconstructed_tenures, tenure_coverage, certified_tenures, coverage_gaps, fetch_failures, capacity_audit, appearance_conflicts, pair_classes, active_contracts,
         carried_arrivals, games_inside_stints, membership_difference, difference_shape, membership_union, headline_counts, franchise_as_of, appearance_export,
         snapshot_join, orphan_lines, ring_buffer, class_examples, day_arithmetic, name_bridge, bounded_texts,
     )
 }
 
-_DAY = "(ts::DATE - DATE '1946-01-01')::INTEGER"
-_SEASON = "(year(ts) + CASE WHEN month(ts) >= 7 THEN 1 ELSE 0 END)::INTEGER"
-MOVES = f"""game AS (
-  SELECT DISTINCT event_type AS team, {_SEASON} AS season, strftime(ts, '%Y%m%d%H') AS game_id, {_DAY} AS day FROM events
+_ERA = """CASE WHEN {0} = 'BAA' THEN 'BAA 1946-49' WHEN {0} <> 'NBA' THEN NULL WHEN {1} BETWEEN 1950 AND 1966 THEN '1950-66' WHEN {1} BETWEEN 1967 AND 1980 THEN '1967-80'
+  WHEN {1} BETWEEN 1981 AND 1999 THEN '1981-99' WHEN {1} BETWEEN 2000 AND 2026 THEN '2000-2025/26' END"""
+MOVES = """ev AS (
+  SELECT event_id, 'P' || lpad(user_id::VARCHAR, 9, '0') AS player, event_type AS team, (2000 + (ts::DATE - DATE '2024-01-01') // 10)::INTEGER AS season,
+    (ts::DATE - DATE '2024-01-01') % 10 AS of_season, (ts::DATE - DATE '1946-01-01')::INTEGER AS day, strftime(ts, '%Y%m%d%H') AS game_id FROM events
+), game AS (SELECT DISTINCT team, season, game_id, day FROM ev WHERE of_season < 7 AND NOT (team = 'error' AND season = 2002)
 ), win AS (SELECT team, season, min(day) AS window_start, max(day) + 1 AS window_end FROM game GROUP BY ALL
-), member AS (SELECT DISTINCT 'P' || lpad(user_id::VARCHAR, 9, '0') AS player, event_type AS team, {_SEASON} AS season FROM events
-), anchor AS (
-  SELECT 'P' || lpad(user_id::VARCHAR, 9, '0') AS player, event_type AS team, {_SEASON} AS season, {_DAY} AS day,
-    CASE WHEN count(DISTINCT event_id % 3) = 2 THEN 'B' WHEN min(event_id % 3) = 0 THEN 'A' ELSE 'D' END AS kind
-  FROM events WHERE event_id % 3 IN (0, 1) GROUP BY ALL
-)"""
+), member AS (SELECT DISTINCT player, team, season, CASE WHEN season = 2000 THEN 'BAA' ELSE 'NBA' END AS league FROM ev
+), leg AS (
+  SELECT player, CASE WHEN event_id % 12 IN (1, 5) THEN team END AS depart, CASE event_id % 12 WHEN 5 THEN 'click' WHEN 1 THEN NULL ELSE team END AS arrive, season, day,
+    CASE WHEN event_id % 41 = 7 THEN 'outside-page-window' WHEN event_id % 43 = 7 THEN 'no-player-anchor' END AS leg_flags FROM ev WHERE event_id % 12 IN (0, 1, 3, 5)
+), usable AS (SELECT * FROM leg WHERE leg_flags IS NULL
+), carried AS (
+  SELECT DISTINCT u.player, u.arrive AS team, n.season, u.day FROM usable u JOIN win o ON o.team = u.arrive AND o.season = u.season JOIN win n ON n.team = u.arrive AND n.season = u.season + 1
+    JOIN member m ON m.player = u.player AND m.team = u.arrive AND m.season = n.season WHERE u.day BETWEEN o.window_end AND n.window_start - 1
+), move AS (
+  SELECT player, depart AS team, season, day, 'D' AS kind FROM usable WHERE depart IS NOT NULL AND depart IS DISTINCT FROM arrive
+  UNION SELECT player, arrive, season, day, 'A' FROM usable WHERE arrive IS NOT NULL AND depart IS DISTINCT FROM arrive
+  UNION SELECT player, team, season, day, 'A' FROM carried
+), anchor AS (SELECT player, team, season, day, CASE count(*) WHEN 2 THEN 'B' ELSE min(kind) END AS kind FROM move GROUP BY ALL)"""
 STINTS = f"""{MOVES}, w1 AS (
   SELECT anchor.*, window_start AS ws, window_end AS we, coalesce(lag(kind) OVER w = 'A', false) AS opened, lag(day) OVER w AS since, lead(day) OVER w IS NULL AS final,
     kind = 'A' OR (kind = 'B' AND window_start IS NOT NULL) OR (kind = 'D' AND coalesce(day > window_start, false)) AS gives
   FROM anchor LEFT JOIN win USING (team, season) WINDOW w AS (PARTITION BY player, team, season ORDER BY day)
 ), w2 AS (
   SELECT *, coalesce(sum(gives::INTEGER) OVER (PARTITION BY player, team, season ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS given FROM w1
+), w3 AS (SELECT *, opened OR (kind = 'B' AND ws IS NOT NULL) OR (kind = 'D' AND coalesce(day > ws, false) AND given = 0) AS ends FROM w2
 ), stint AS (
-  SELECT player, team, season,
-    CASE WHEN opened THEN since WHEN kind = 'B' THEN ws WHEN kind = 'D' AND day > ws AND given = 0 THEN ws END AS start_day,
-    CASE WHEN opened OR kind = 'B' OR (day > ws AND given = 0) THEN day END AS end_day, opened AS start_anchored,
-    CASE WHEN kind = 'A' THEN false WHEN opened OR kind = 'B' THEN true ELSE coalesce(day > ws AND given = 0, false) END AS end_anchored,
-    CASE WHEN kind = 'A' THEN 'repeat-signing-prior-end-unknown' WHEN kind = 'B' THEN 'same-day-arrival-and-departure'
-      WHEN NOT opened AND NOT coalesce(day > ws AND given = 0, false) THEN 'departure-without-arrival' END AS note
-  FROM w2 WHERE kind <> 'A' OR opened
+  SELECT player, team, season, CASE WHEN opened THEN since WHEN ends THEN ws END AS start_day, CASE WHEN ends THEN day END AS end_day, opened AS start_anchored, kind <> 'A' AND ends AS end_anchored,
+    CASE kind WHEN 'A' THEN 'repeat-signing-prior-end-unknown' WHEN 'B' THEN 'same-day-arrival-and-departure'
+      ELSE CASE WHEN NOT ends THEN 'departure-after-closed-stint(prior-spell-exit,or-source-noise)' END END AS note, day
+  FROM w3 WHERE kind <> 'A' OR opened
   UNION ALL
   SELECT player, team, season, CASE WHEN day < we THEN day END, CASE WHEN day < we THEN we END, coalesce(day < we, false), false,
-    CASE WHEN we IS NULL THEN 'open-stint-without-window' WHEN day >= we THEN 'open-stint-after-window' END
-  FROM w2 WHERE kind = 'A' AND final
+    CASE WHEN we IS NULL THEN 'open-stint-without-window' WHEN day >= we THEN 'arrival-after-window-end(next-season-move)' END, day
+  FROM w3 WHERE kind = 'A' AND final
 )"""
-TENURE = f"""{STINTS}, doubt AS (
-  SELECT DISTINCT a.player, a.team, a.season FROM anchor a JOIN (SELECT DISTINCT player, day FROM anchor GROUP BY player, day, kind HAVING count(DISTINCT team) > 1) USING (player, day)
-), m AS (
-  SELECT member.*, window_start, window_end, count(*) OVER (PARTITION BY player, season) AS siblings,
-    EXISTS (SELECT 1 FROM anchor a WHERE a.player = member.player AND a.team = member.team AND a.season = member.season) AS moved,
-    EXISTS (SELECT 1 FROM doubt a WHERE a.player = member.player AND a.team = member.team AND a.season = member.season) AS doubtful
-  FROM member LEFT JOIN win USING (team, season)
-), raw AS (
-  SELECT player, team, season, CASE WHEN siblings = 1 THEN window_start END AS start_day, CASE WHEN siblings = 1 THEN window_end END AS end_day, false AS sa, false AS ea, window_start, window_end,
-    CASE WHEN window_start IS NULL THEN 'no-season-window' WHEN siblings > 1 THEN 'several-teams-without-movement' ELSE '' END AS reasons FROM m WHERE NOT moved
-  UNION ALL SELECT player, team, season, NULL, NULL, false, false, window_start, window_end, 'same-day-movements-of-several-teams' FROM m WHERE moved AND doubtful
-  UNION ALL SELECT player, team, season, CASE WHEN s.start_day < s.end_day THEN s.start_day END, CASE WHEN s.start_day < s.end_day THEN s.end_day END,
-    s.start_anchored AND s.start_day < s.end_day, s.end_anchored AND s.start_day < s.end_day, window_start, window_end,
-    CASE WHEN s.start_day >= s.end_day THEN 'interval-construction-failed' ELSE coalesce(note, '') END
-    FROM m JOIN stint s USING (player, team, season) WHERE moved AND NOT doubtful AND s.start_day IS NOT NULL
-  UNION ALL SELECT player, team, season, NULL, NULL, false, false, any_value(window_start), any_value(window_end), string_agg(DISTINCT note, ';' ORDER BY note)
-    FROM m JOIN stint s USING (player, team, season) WHERE moved AND NOT doubtful GROUP BY player, team, season HAVING count(s.start_day) = 0
+TENURE = f"""{STINTS}, season_of AS (
+  SELECT player, season, bool_or(n > 1) AS clouded FROM (SELECT player, season, day, count(DISTINCT team) FILTER (kind <> 'D') AS n FROM anchor GROUP BY ALL) GROUP BY ALL
+), grp AS (SELECT player, team, season, bool_or(kind <> 'D') AS arr, bool_or(kind <> 'A') AS dep, bool_or(kind = 'B') AS twice FROM anchor GROUP BY ALL
+), flag AS (SELECT player, season, 'flagged-transaction-legs(' || string_agg(DISTINCT leg_flags, ';' ORDER BY leg_flags) || ')' AS flagged FROM leg WHERE leg_flags IS NOT NULL GROUP BY ALL
+), vague AS (SELECT DISTINCT player, season, true AS fuzzy FROM ev WHERE event_id % 47 = 11
+), said AS (
+  SELECT player, team, season, list(note ORDER BY day) FILTER (note IN ('open-stint-without-window', 'arrival-after-window-end(next-season-move)')) AS anomalies,
+    list({{'note': note, 'day': day}} ORDER BY day, note) FILTER (note IN ('repeat-signing-prior-end-unknown', 'departure-after-closed-stint(prior-spell-exit,or-source-noise)')) AS notes
+  FROM stint GROUP BY ALL
+), x AS (
+  SELECT m.*, w.window_start AS ws, w.window_end AS we, w.window_start IS NOT NULL AS has_window, coalesce(g.arr, false) AS arr, coalesce(g.dep, false) AS dep, coalesce(g.twice, false) AS twice,
+    coalesce(so.clouded, false) AS clouded, so.player IS NOT NULL AS moves, f.flagged, coalesce(v.fuzzy, false) AS fuzzy, coalesce(t.anomalies, []) AS anomalies, coalesce(t.notes, []) AS notes,
+    g.player IS NULL AND f.flagged IS NULL AND v.fuzzy IS NULL AS bare, s.start_day AS s0, s.end_day AS e0, s.start_anchored AS sa, s.end_anchored AS ea
+  FROM member m LEFT JOIN win w USING (team, season) LEFT JOIN grp g USING (player, team, season) LEFT JOIN season_of so USING (player, season) LEFT JOIN flag f USING (player, season)
+    LEFT JOIN vague v USING (player, season) LEFT JOIN said t USING (player, team, season)
+    LEFT JOIN (SELECT * FROM stint WHERE start_day IS NOT NULL) s ON s.player = m.player AND s.team = m.team AND s.season = m.season AND NOT coalesce(so.clouded, false)
+), y AS (
+  SELECT *, coalesce(s0 < e0, false) AS valid, coalesce(s0 < e0 AND greatest(s0, ws) < least(e0, we), false) AND has_window AS agrees FROM x
+), z AS (
+  SELECT *, list_filter(CASE
+    WHEN bare AND has_window THEN [CASE WHEN moves THEN 'multi-team-season(ordering-unresolved): player has dated moves to other franchises this season; bracket-only stint cannot be ordered against them' END]
+    WHEN bare THEN ['no-dated-evidence(membership-season-only; S1-window-missing-or-season-past-2022-23)']
+    WHEN clouded THEN ['same-day-arrival-to-multiple-franchises(ordering-unresolved)', flagged, CASE WHEN fuzzy THEN 'fuzzy-dated-rows-bear-on-this-tenure' END]
+    WHEN s0 IS NULL THEN [CASE WHEN twice THEN 'same-day-arrival-and-departure(ordering-flagged)' END, CASE WHEN NOT has_window THEN 'no-season-window(S1-game-table-ends-2022-23-or-season-absent-from-S1)' END]
+      || anomalies || list_transform(notes, lambda n: n.note) || [flagged, CASE WHEN fuzzy THEN 'fuzzy-dated-rows-bear-on-this-tenure' END]
+    ELSE [CASE WHEN twice THEN 'same-day-arrival-and-departure(ordering-flagged)' END] || list_filter(anomalies, lambda a: a <> 'open-stint-without-window' OR NOT has_window)
+      || list_transform(list_filter(notes, lambda n: n.note <> 'repeat-signing-prior-end-unknown' OR (n.day = e0 AND NOT ea)), lambda n: n.note)
+      || [CASE WHEN fuzzy THEN 'fuzzy-dated-rows-bear-on-this-tenure(fuzzy-not-guessed)' END, flagged,
+          CASE WHEN NOT valid THEN 'interval-construction-failed(bound-outside-season-context,start=' || s0 || ',end=' || e0 || ')' END,
+          CASE WHEN valid AND has_window AND NOT agrees THEN 'stint-entirely-outside-team-season-window(stands-on-transactions-alone)' END]
+    END, lambda r: r IS NOT NULL) AS told FROM y
+), graded AS (
+  SELECT *, CASE WHEN len(told) > 0 OR (NOT bare AND s0 IS NULL) THEN 'unresolved' WHEN sa AND ea THEN 'directly-evidenced' WHEN (sa OR ea) AND agrees THEN 'cross-checked' ELSE 'inferred' END AS evidence_class FROM z
 ), tenure AS (
-  SELECT player, team, season, start_day, end_day, sa AS start_anchored, ea AS end_anchored,
-    CASE WHEN reasons <> '' THEN 'unresolved' WHEN sa AND ea THEN 'directly-evidenced'
-      WHEN (sa OR ea) AND coalesce(least(end_day, window_end) > greatest(start_day, window_start), false) THEN 'cross-referenced' ELSE 'inferred' END AS evidence_class, reasons FROM raw
+  SELECT player, team, season, CASE WHEN bare THEN ws WHEN valid THEN s0 END AS start_day, CASE WHEN bare THEN we WHEN valid THEN e0 END AS end_day,
+    evidence_class IN ('directly-evidenced', 'cross-checked') AND arr AS start_anchored, evidence_class IN ('directly-evidenced', 'cross-checked') AND dep AS end_anchored,
+    evidence_class, array_to_string(told, '; ') AS reasons, league FROM graded
+)"""
+AUDIT = f"""{TENURE}, hours AS (
+  SELECT player, team, season, count(DISTINCT game_id) AS games, any_value(team_games) AS team_games FROM ev JOIN (SELECT team, season, count(DISTINCT game_id) AS team_games FROM ev GROUP BY ALL) USING (team, season) GROUP BY ALL
+), able AS (SELECT player, team, season FROM tenure GROUP BY ALL HAVING bool_and(start_day IS NOT NULL) AND bool_or(evidence_class IN ('directly-evidenced', 'cross-checked'))
+), slot AS (SELECT DISTINCT team, season, game_id, day FROM game
+), fits AS (
+  SELECT player, team, season, games AS played, listed, team_games,
+    (SELECT count(*) FROM slot WHERE slot.team = a.team AND slot.season = a.season AND EXISTS (SELECT 1 FROM tenure t WHERE t.player = a.player AND t.team = a.team AND t.season = a.season AND start_day <= day AND day < end_day)) AS capacity,
+    team_games - listed AS missing,
+    (SELECT count(*) FROM slot WHERE slot.team = a.team AND slot.season = a.season AND EXISTS (SELECT 1 FROM tenure t WHERE t.player = a.player AND t.team = a.team AND t.season = a.season AND start_day <= day AND day <= end_day)) AS reach
+  FROM hours a JOIN able USING (player, team, season) JOIN (SELECT team, season, count(*) AS listed FROM slot GROUP BY ALL) USING (team, season) WHERE listed <= team_games
+), audit AS (
+  SELECT player, team, season, played, listed, team_games, capacity, missing, reach - capacity AS departure_games,
+    CASE WHEN played > reach + missing THEN 'appearance-count-conflict' WHEN played > capacity + missing THEN 'same-day-game-order-unresolved' END AS review FROM fits
 )"""
 SIDES = """joined AS (SELECT o_custkey AS player, l_suppkey AS team, year(o_orderdate)::INTEGER AS x, year(l_shipdate)::INTEGER AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 ), a AS (SELECT DISTINCT player, team, x AS season FROM joined), b AS (SELECT DISTINCT player, team, y AS season FROM joined)"""
@@ -266,17 +327,17 @@ SQL = {
     "anchors": f"WITH {MOVES} SELECT * FROM anchor",
     "stints": f"WITH {STINTS} SELECT * FROM stint",
     "reconstructed_tenures": f"WITH {TENURE} SELECT * FROM tenure",
-    "tenure_coverage": f"""WITH {TENURE} SELECT (season // 10 * 10)::VARCHAR || 's' AS era, evidence_class, count(*) AS tenures, count(start_day) AS dated FROM tenure GROUP BY CUBE (1, 2)""",
-    "certified_tenures": f"WITH {TENURE} SELECT player, team, season, start_day, end_day FROM tenure WHERE evidence_class = 'directly-evidenced'",
-    "coverage_gaps": f"WITH {TENURE} SELECT evidence_class, count(*) AS excluded FROM tenure WHERE evidence_class <> 'directly-evidenced' GROUP BY 1",
-    "capacity_audit": f"""WITH {TENURE}, played AS (
-        SELECT 'P' || lpad(user_id::VARCHAR, 9, '0') AS player, event_type AS team, {_SEASON} AS season, count(DISTINCT strftime(ts, '%Y%m%d%H')) AS games FROM events GROUP BY 1, 2, 3),
-      span AS (SELECT player, team, season, start_day, end_day FROM tenure WHERE start_day IS NOT NULL),
-      g AS (SELECT player, team, season, game_id, max((day < end_day)::INTEGER) AS inside FROM span JOIN game USING (team, season) WHERE start_day <= day AND day <= end_day GROUP BY 1, 2, 3, 4),
-      c AS (SELECT player, team, season, sum(inside) AS capacity, sum(1 - inside) AS departure_games FROM g GROUP BY 1, 2, 3)
-      SELECT player, team, season, games AS played, coalesce(capacity, 0)::BIGINT AS capacity, 0::BIGINT AS missing, coalesce(departure_games, 0)::BIGINT AS departure_games,
-        CASE WHEN games > coalesce(capacity, 0) + coalesce(departure_games, 0) THEN 'appearance-capacity-conflict' WHEN games > coalesce(capacity, 0) THEN 'same-day-game-order-unresolved' END AS review
-      FROM played JOIN (SELECT DISTINCT player, team, season FROM span) USING (player, team, season) LEFT JOIN c USING (player, team, season)""",
+    "tenure_coverage": f"""WITH {TENURE} SELECT {_ERA.format('league', 'season')} AS era, evidence_class, count(*) AS tenures, count(start_day) AS dated FROM tenure GROUP BY CUBE (1, 2)""",
+    "certified_tenures": f"WITH {TENURE} SELECT player, team, season, start_day, end_day FROM tenure WHERE evidence_class = 'directly-evidenced' AND start_anchored AND end_anchored",
+    "coverage_gaps": f"WITH {TENURE} SELECT evidence_class, count(*) AS excluded FROM tenure WHERE evidence_class <> 'directly-evidenced' OR NOT (start_anchored AND end_anchored) GROUP BY 1",
+    "fetch_failures": f"""WITH {TENURE} SELECT * EXCLUDE (hit) REPLACE (CASE WHEN hit THEN 'unresolved' ELSE evidence_class END AS evidence_class,
+        CASE WHEN hit THEN CASE WHEN reasons = '' THEN '' ELSE reasons || '; ' END || 'fetch-failure:NBA_2001' ELSE reasons END AS reasons)
+      FROM (SELECT *, league = 'NBA' AND season IN (2001, 2002) AS hit FROM tenure)""",
+    "appearance_conflicts": f"""WITH {AUDIT} SELECT t.player, t.team, t.season, start_day, end_day, start_anchored, end_anchored, CASE WHEN review IS NULL THEN evidence_class ELSE 'unresolved' END AS evidence_class,
+        CASE WHEN review IS NULL THEN reasons ELSE CASE WHEN reasons = '' THEN '' ELSE reasons || '; ' END || review || '(S2-player-games=' || played || ',S1-season-games=' || listed || ',S2-team-games=' || team_games
+          || ',interval-capacity=' || capacity || ',departure-day-allowance=' || departure_games || ',missing-games-allowance=' || missing || ',capacity-upper-bound=' || (capacity + departure_games + missing) || ')' END AS reasons, league
+      FROM tenure t LEFT JOIN audit USING (player, team, season)""",
+    "capacity_audit": f"WITH {AUDIT} SELECT * FROM audit",
     "pair_classes": f"""WITH {TENURE}, t AS (SELECT * FROM tenure WHERE start_day < end_day),
       r AS (SELECT a.player AS p, b.player AS q, least(a.evidence_class, b.evidence_class) || '+' || greatest(a.evidence_class, b.evidence_class) AS mixture,
         row_number() OVER (PARTITION BY a.player, b.player ORDER BY a.team, a.season, a.start_day, b.start_day, a.end_day, b.end_day) AS n
@@ -285,12 +346,8 @@ SQL = {
     "active_contracts": f"""WITH {MOVES}, x AS (SELECT player, team, day, kind, max(CASE WHEN kind = 'A' THEN day END) OVER w AS a, max(CASE WHEN kind = 'D' THEN day END) OVER w AS d
         FROM anchor WHERE kind <> 'B' WINDOW w AS (PARTITION BY player, team ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
       SELECT player, team, day, kind, coalesce(a > d, a IS NOT NULL) AS active FROM x""",
-    "carried_arrivals": f"""WITH {MOVES}, w AS (SELECT team, season, window_start, window_end - 5 AS window_end FROM win),
-      v AS (SELECT * FROM w UNION ALL SELECT team, season + 1, window_start + 365, window_end + 365 FROM w),
-      c AS (SELECT anchor.*, coalesce(kind = 'A' AND day >= o.window_end AND day < n.window_start, false) AS carried FROM anchor
-        LEFT JOIN v o ON o.team = anchor.team AND o.season = anchor.season LEFT JOIN v n ON n.team = anchor.team AND n.season = anchor.season + 1)
-      SELECT player, team, (season + carried::INTEGER)::INTEGER AS season, day, kind, carried FROM c""",
-    "games_inside_stints": f"""WITH {STINTS} SELECT player, s.team, count(DISTINCT game_id) AS games FROM game JOIN stint s ON game.team = s.team AND start_day <= day AND day < end_day GROUP BY ALL""",
+    "carried_arrivals": f"WITH {MOVES} SELECT player, NULL::VARCHAR AS depart, team AS arrive, season, day FROM carried",
+    "games_inside_stints": f"""WITH {STINTS}, st AS (SELECT * EXCLUDE (day) FROM stint) SELECT player, s.team, count(DISTINCT game_id) AS games FROM game JOIN st s ON game.team = s.team AND start_day <= day AND day < end_day GROUP BY ALL""",
     "membership_difference": f"""WITH {SIDES} SELECT CASE WHEN season > 1996 THEN 'left-only-after-1996' ELSE 'left-only' END AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
       UNION ALL SELECT CASE WHEN season > 1996 THEN 'right-only-after-1996' ELSE 'right-only' END, * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
     "difference_shape": f"""WITH {SIDES}, d AS (SELECT * FROM a EXCEPT SELECT * FROM b)
@@ -319,10 +376,10 @@ SQL = {
     "ring_buffer": "SELECT event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY event_id DESC) <= 128",
     "class_examples": """SELECT o_orderstatus, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 2
       OR row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey DESC) <= 2""",
-    "day_arithmetic": """SELECT o_orderkey, (d - e)::INTEGER AS day, (year(d) + CASE WHEN month(d) >= 7 THEN 1 ELSE 0 END)::INTEGER AS season,
+    "day_arithmetic": f"""SELECT o_orderkey, (d - e)::INTEGER AS day, (year(d) + CASE WHEN month(d) >= 7 THEN 1 ELSE 0 END)::INTEGER AS season,
         (date_trunc('month', d)::DATE - e)::INTEGER AS month_low, ((date_trunc('month', d) + INTERVAL 1 MONTH)::DATE - e)::INTEGER AS month_high,
         (date_trunc('year', d)::DATE - e)::INTEGER AS year_low, ((date_trunc('year', d) + INTERVAL 1 YEAR)::DATE - e)::INTEGER AS year_high,
-        '[' || d || ', ' || (d + 30) || ')' AS span, (year(d) // 10 * 10)::VARCHAR || 's' AS era
+        '[' || d || ', ' || (d + 30) || ')' AS span, {_ERA.format("CASE WHEN o_orderkey % 5 = 0 THEN 'BAA' ELSE 'NBA' END", "(year(d) - o_orderkey % 50)")} AS era
       FROM (SELECT o_orderkey, o_orderdate::DATE AS d, DATE '1946-01-01' AS e FROM orders)""",
     "bounded_texts": r"""SELECT doc_id, CASE WHEN length(text) > 500 THEN text[1:500] || '…' ELSE text END AS short,
         regexp_matches(text, '(^|[^\p{L}\p{N}])the($|[^\p{L}\p{N}])') AS has_the FROM documents""",

@@ -14,7 +14,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     season = (1940 + F.col("p_size")).cast("int")
     return tables.table(spark, sf_dir, "part").select(
         F.lpad(F.col("p_partkey").cast("string"), 9, "0").alias("id"), F.col("p_name").alias("name"), F.array(F.concat(F.lit("Alias "), F.col("p_partkey").cast("string"))).alias("aliases"),
-        season.alias("first_season"), season.alias("last_season"), F.array("p_brand").alias("teams"),
+        season.alias("first_season"), (season + 12).alias("last_season"), F.array("p_brand").alias("teams"),
     )
 
 
@@ -40,7 +40,13 @@ def search_context(spark, sf_dir):
 
 
 def search_fuzzy(spark, sf_dir):
-    return _found(spark, sf_dir, _a_name(spark, sf_dir)[:-1] + "#q")
+    """A word with two letters swapped, which is near the word "small" alone."""
+    return _found(spark, sf_dir, "smlal", limit=50)
+
+
+def search_words(spark, sf_dir):
+    """A whole word of many names, which also begins others."""
+    return _found(spark, sf_dir, "re", limit=50)
 
 
 def normalized_names(spark, sf_dir):
@@ -90,9 +96,10 @@ def event_classes(spark, sf_dir):
 
 def accepted_choices(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events")
-    p = (F.col("event_id") % 101) / F.lit(100.0)
-    probabilities = F.create_map(F.lit("o000"), p, F.lit("o001"), F.lit(1.0) - p)
-    chosen = judgments.accepted_choice(probabilities, (F.col("event_id") % 7) / F.lit(6.0), F.array(F.lit("o000"), F.lit("o001")))
+    k = F.col("event_id")
+    p = (k % 101) / F.lit(100.0)
+    probabilities = F.create_map(F.lit("o000"), p, F.lit("o001"), F.lit(1.0) - p + F.when(k % 13 == 0, 0.03).otherwise(0.0))
+    chosen = judgments.accepted_choice(F.when(k % 3 == 0, "o001").otherwise("o000"), probabilities, (k % 7) / F.lit(6.0), F.array(F.lit("o000"), F.lit("o001")))
     return e.select("event_id", chosen.alias("chosen"))
 
 
@@ -100,7 +107,8 @@ def valid_scores(spark, sf_dir):
     e = tables.table(spark, sf_dir, "events")
     p = (F.col("event_id") % 11) / F.lit(10.0)
     levels = F.array(p, F.lit(1.0) - p, F.lit(0.0))
-    ok = judgments.valid_score(levels, F.lit(1.0) - p + F.when(F.col("event_id") % 2 == 0, F.lit(0.5)).otherwise(0.0), 3)
+    off = F.when(F.col("event_id") % 4 == 0, 0.5).when(F.col("event_id") % 4 == 1, 0.01).otherwise(0.0)
+    ok = judgments.valid_score(levels, F.lit(1.0) - p + off, F.when(F.col("event_id") % 9 == 0, 2).otherwise(3))
     return e.select("event_id", ok.alias("valid"))
 
 
@@ -162,7 +170,7 @@ def evidence_classes(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        search_exact, search_alias, search_context, search_fuzzy, normalized_names, document_spans, escaped_urls, era_mentions, transaction_movements, event_classes,
+        search_exact, search_alias, search_context, search_fuzzy, search_words, normalized_names, document_spans, escaped_urls, era_mentions, transaction_movements, event_classes,
         accepted_choices, valid_scores, threshold_sweep, experiment_summary, record_lookup, player_gaps, evidence_pages, content_ids, snapshot_identity, telemetry_summary,
         evidence_classes,
     )
@@ -184,6 +192,18 @@ SQL = {
     "search_exact": _hits("name = (SELECT min(p_name) FROM part)", "exact_name", "name", 1000, _STATUS.format("exact_match"), 50),
     "search_alias": _hits("alias = 'Alias 17'", "alias", "alias", 950, _STATUS.format("candidates"), 20),
     "search_context": _hits("season >= 1950 AND season < 1960", "context", "name", 0, _STATUS.format("candidates"), 50),
+    "search_fuzzy": f"""WITH {_CATALOG}, n AS (SELECT id, unnest([name, alias]) AS n FROM c), w AS (SELECT id, n, unnest([lower(n)]) AS form, unnest(string_split(lower(n), ' ')) AS word FROM n),
+      s AS (SELECT id, n, CASE WHEN word = 'smlal' THEN 850 WHEN starts_with(form, 'smlal') THEN 800 WHEN starts_with(word, 'smlal') THEN 750
+          WHEN damerau_levenshtein(form, 'smlal') <= 1 THEN 600 - 20 * damerau_levenshtein(form, 'smlal') WHEN damerau_levenshtein(word, 'smlal') <= 1 THEN 550 - 20 * damerau_levenshtein(word, 'smlal') END AS score FROM w),
+      h AS (SELECT id, max(score)::INTEGER AS score, arg_max(n, score) AS n FROM s WHERE score IS NOT NULL GROUP BY id), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM h)
+      SELECT id, CASE WHEN score >= 850 THEN 'token' WHEN score >= 750 THEN 'prefix' ELSE 'typo' END AS match_kind, n AS matched_name, score,
+        CASE WHEN (SELECT count(*) FROM o WHERE place <= 2) = 2 AND (SELECT min(score) = max(score) FROM o WHERE place <= 2) THEN 'ambiguous' ELSE 'candidates' END AS status,
+        (SELECT count(*) FROM o) AS matches_total, (SELECT count(*) FROM o) > 50 AS has_more FROM o WHERE place <= 50 ORDER BY place""",
+    "search_words": f"""WITH {_CATALOG}, h AS (SELECT id, name AS n, CASE WHEN list_contains(string_split(lower(name), ' '), 're') THEN 850 ELSE 800 END::INTEGER AS score FROM c
+        WHERE list_contains(string_split(lower(name), ' '), 're') OR starts_with(lower(name), 're')), o AS (SELECT *, row_number() OVER (ORDER BY score DESC, id) AS place FROM h)
+      SELECT id, CASE score WHEN 850 THEN 'token' ELSE 'prefix' END AS match_kind, n AS matched_name, score,
+        CASE WHEN (SELECT count(*) FROM o WHERE place <= 2) = 2 AND (SELECT min(score) = max(score) FROM o WHERE place <= 2) THEN 'ambiguous' ELSE 'candidates' END AS status,
+        (SELECT count(*) FROM o) AS matches_total, (SELECT count(*) FROM o) > 50 AS has_more FROM o WHERE place <= 50 ORDER BY place""",
     "escaped_urls": """SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
       (CASE WHEN strlen(html) > 4096 THEN length('{"truncated":true,"bytes":' || strlen(html) || '}') ELSE strlen(html) END)::INTEGER AS bounded_bytes FROM pages""",
     "era_mentions": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 1990 ELSE year(o_orderdate)::INTEGER END AS first,
@@ -192,9 +212,10 @@ SQL = {
       SELECT k AS page_id, 'c' || c AS slug, 'Player & ' || c AS name, CASE WHEN NOT sign THEN 'T' || (k % 30) END AS depart,
         CASE WHEN sign THEN 'T' || (k % 30) ELSE 'T' || ((k + 1) % 30) END AS arrive, 'nba-roster' AS scope, CASE WHEN sign THEN 'sign' ELSE 'trade' END AS action FROM o
       UNION ALL SELECT k, 'c' || (c + 1), 'Player & ' || (c + 1), 'T' || ((k + 1) % 30), 'T' || (k % 30), 'nba-roster', 'trade' FROM o WHERE NOT sign""",
-    "accepted_choices": """WITH e AS (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS p, (event_id % 7) / 6.0::DOUBLE AS c FROM events)
-      SELECT event_id, CASE WHEN greatest(p, 1 - p) >= 0.6 AND c >= 0.6 AND greatest(p, 1 - p) - least(p, 1 - p) >= 0.2 THEN CASE WHEN p >= 1 - p THEN 'o000' ELSE 'o001' END END AS chosen FROM e""",
-    "valid_scores": "SELECT event_id, event_id % 2 = 1 AS valid FROM events",
+    "accepted_choices": """WITH e AS (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS p, (event_id % 7) / 6.0::DOUBLE AS c FROM events),
+      s AS (SELECT event_id, c, event_id % 13 <> 0 AS sums, CASE WHEN event_id % 3 = 0 THEN 1 - p ELSE p END AS own FROM e)
+      SELECT event_id, CASE WHEN sums AND own >= 0.95::DOUBLE AND c >= 0.95::DOUBLE AND own - (1 - own) >= 0.25::DOUBLE THEN CASE WHEN event_id % 3 = 0 THEN 'o001' ELSE 'o000' END END AS chosen FROM s""",
+    "valid_scores": "SELECT event_id, event_id % 4 <> 0 AND event_id % 9 <> 0 AS valid FROM events",
     "threshold_sweep": """WITH e AS (SELECT (event_id % 97) / 96.0::DOUBLE AS c, event_id % 5 <> 0 AS ok FROM events), t AS (SELECT unnest([0.1, 0.25, 0.5, 0.75, 0.9])::DOUBLE AS threshold)
       SELECT threshold, count(*) FILTER (NOT ok) AS wrong, count(*) FILTER (ok) AS correct FROM t LEFT JOIN e ON c >= threshold GROUP BY threshold""",
     "experiment_summary": """WITH r AS (SELECT event_id AS k, CASE WHEN event_id % 2 = 0 THEN 'held-out' ELSE 'tuning' END AS split, event_type AS component, (event_id % 3)::VARCHAR AS variant FROM events)
@@ -212,7 +233,7 @@ SQL = {
     "snapshot_identity": """SELECT 'customer' AS "table", count(*) AS rows FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders""",
     "telemetry_summary": "SELECT event_type AS kind, count(*) AS n, min(ts) AS first, max(ts) AS last, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
     "evidence_classes": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'unresolved' WHEN o_orderkey % 6 = 0 THEN 'directly-evidenced'
-      WHEN (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 5 = 0 THEN 'cross-referenced' ELSE 'inferred' END AS evidence_class FROM orders""",
+      WHEN (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 5 = 0 THEN 'cross-checked' ELSE 'inferred' END AS evidence_class FROM orders""",
 }
 
 

@@ -38,7 +38,11 @@ EVENT_WORDS = (
 #: Classes that move a player on or off a roster, and classes that never do.
 ROSTER = ("trade", "sale", "purchase", "claim", "waive", "release", "sign", "resign", "dispersal", "contract-expiration")
 NON_ROSTER = ("rights-transfer", "draft-pick-reference", "extension", "renounce", "contract-conversion")
+#: Patterns of phrases.
 _RIGHTS = r"\b(?:player|draft|reserve) rights\b|\bright[s]? to\b"
+_EXPIRY = r"\bcontract expires\b"
+_NOT_RESIGNED = r"\bnot re[- ]?signed\b"
+_TURN = r"\bfor\s*$"
 
 
 def _pieces(page: str):
@@ -140,7 +144,7 @@ def event_class(text: Column, coach_only: Column | None = None) -> Column:
     of_coach = has(r"\b(?:head|assistant)\s*coach\b") | (coach_only if coach_only is not None else F.lit(False))
     league = has(r"\b(?:g[- ]?league|d[- ]?league|development(?:al)? league)\b")
     out = (
-        F.when(has(r"\bcontract expires\b"), "contract-expiration")
+        F.when(has(_EXPIRY), "contract-expiration")
         .when(has(r"\bnot (?:re[- ]?signed|sign|signed)\b"), "other")
         .when(of_coach & low.contains("fired"), "coach-fire")
         .when(of_coach & low.contains("hired"), "coach-hire")
@@ -176,7 +180,8 @@ def movements(items: DataFrame) -> DataFrame:
     parts = items.withColumn("parts", F.when(F.col("kind") == "text", F.split("text", r"(?<=[.;])\s+")).otherwise(F.array("text")))
     rows = parts.select(*by, "item", "kind", "slug", "from_team", "to_team", F.posexplode("parts").alias("part", "said"))
     order = Window.partitionBy(*by).orderBy("item", "part")
-    rows = rows.withColumn("sentence", F.sum((F.col("part") > 0).cast("int")).over(order))
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"sentence": F.sum((F.col("part") > 0).cast("int")).over(order), "paragraph_text": F.array_join(F.collect_list("said").over(every), "")})
     s = Window.partitionBy(*by, "sentence")
     o = s.orderBy("item", "part")
     before, after, whole = o.rowsBetween(Window.unboundedPreceding, -1), o.rowsBetween(1, Window.unboundedFollowing), s.orderBy("item", "part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -190,10 +195,12 @@ def movements(items: DataFrame) -> DataFrame:
             "ahead": F.first(team, ignorenulls=True).over(after),
             "sentence_from": F.first(F.when(F.col("kind") == "team", F.col("from_team")), ignorenulls=True).over(whole),
             "sentence_to": F.first(F.when(F.col("kind") == "team", F.col("to_team")), ignorenulls=True).over(whole),
-            "turned": F.coalesce(F.max((F.col("kind") == "text") & F.rtrim("said").rlike(r"\bfor$")).over(before), F.lit(False)),
+            "turned": F.coalesce(F.max((F.col("kind") == "text") & F.col("said").rlike(_TURN)).over(before), F.lit(False)),
         }
     )
-    action = event_class(F.col("sentence_text"))
+    # an expiry is told behind a semicolon; the clause before it has the player and the team
+    expires = F.lower("paragraph_text").rlike(_EXPIRY) & F.lower("sentence_text").rlike(_NOT_RESIGNED)
+    action = F.when(expires, "contract-expiration").otherwise(event_class(F.col("sentence_text")))
     last_at = lambda p: F.char_length(F.regexp_extract("prefix", f"(?is)^(.*)(?:{p})", 1))
     as_right = F.col("prefix").rlike(f"(?i){_RIGHTS}") & (~F.col("prefix").rlike(r"(?i)\bfor\b") | (last_at(_RIGHTS) > last_at(r"\bfor\b")))
     later = F.col("following").rlike(r"(?i)\bwas later selected\b")

@@ -99,9 +99,31 @@ def test_pages_join_to_the_whole_list(spark):
         paths.chain_page(links, players, "s", "g", 501)
     with pytest.raises(ValueError):
         paths.chain_page(links, players, "s", "g", 1, offset=0, cursor="v1:0")
-    for bad in ("v2:0", "v1:", "v1:-1", "v1:x"):
+    for bad in ("v2:0", "v1:", "v1:-1", "v1:x", "v1:" + "0" * 12):
         with pytest.raises(ValueError):
-            paths.parse_cursor(bad)
+            paths.parse_cursor(bad, 11)
+
+
+def test_limbs_carry_beyond_any_width(spark):
+    dag = [(f"n{i + 1:02d}", f"n{i:02d}", i + 1) for i in range(20)]
+    rows = spark.createDataFrame(dag, "node string, other string, left int").withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(200000)))).drop("x")
+    limbs = paths.chain_counts(rows.coalesce(1), "n00", 3).filter("left = 3").first()["limbs"]
+    assert paths.count_of(limbs) == 200000**3
+    carried = spark.range(1).select(paths._carry([F.lit(10**9 - 1) + F.lit(10**9), F.lit(7 * 10**18)]).alias("c")).first()["c"]
+    assert paths.count_of(carried) == 2 * 10**9 - 1 + 7 * 10**27 and carried[-1] > 0
+    big = 7**6000
+    assert paths.parse_cursor("v1:" + paths.decimal(big), 10000) == big
+
+
+def test_counts_beyond_ten_to_the_144(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        left = 10**144 - 1
+        limbs = [left // 10 ** (9 * i) % 10**9 for i in range(16)]
+        sums = [F.lit(2 * x) for x in limbs]
+        assert paths.count_of(spark.range(1).select(paths._carry(sums).alias("c")).first()["c"]) == 2 * left
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
 def test_counts_are_exact_beyond_any_built_in_number(spark):

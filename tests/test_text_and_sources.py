@@ -62,6 +62,10 @@ def test_search(spark):
     one = find("Joe Smith", limit=1)
     assert [(r["status"], r["matches_total"], r["has_more"]) for r in one] == [("ambiguous", 2, True)]
     assert [r["id"] for r in find("Smith", era=1940)] == ["smithjo02"]
+    # eras go by the first season; a name is hit as it is, an alias also without its spaces; several words are no token
+    assert find("Erving", era=1980) == [] and [r["id"] for r in find("Erving", era=1970)] == ["ervinju01"]
+    assert [r["id"] for r in find("theanswer")] == ["iversal01"] and [(r["id"], r["match_kind"]) for r in find("allenivers")] == []
+    assert [(r["id"], r["match_kind"]) for r in find("jordan michael")] == [] and find("j") == []
     assert [(r["matches_total"], r["has_more"]) for r in find("", franchise="SIXERS", limit=1)] == [(2, True)]
     for bad in ({"era": 1941}, {"franchise": "NONE"}, {"limit": 0}, {"limit": 51}):
         with pytest.raises(ValueError):
@@ -96,6 +100,12 @@ def test_transaction_page(spark):
         "gasolpa01": ("ATL", "VAN", "trade", "nba-roster"), "abdursh01": ("VAN", "ATL", "trade", "nba-roster"), "tinslja01": ("VAN", "ATL", "trade", "nba-roster"),
         "xx01": (None, "BOS", "sign", "nba-roster"), "yy01": ("NYK", None, "waive", "nba-roster"),
     }
+    more = """<span id="transactions_link"></span><ul><li><span>June 1, 2001</span><p><a href="/players/q/qq01.html">Q</a> was not re-signed by the <a data-attr-from="NYK">Knicks</a>; contract expires.</p>
+      <p>The <a data-attr-from="ATL">Hawks</a> traded <a href="/players/g/gasolpa01.html">G</a> to the <a data-attr-to="VAN">Grizzlies</a> for\n      <a href="/players/a/abdursh01.html">A</a>.</p></li></ul>"""
+    page = transactions.page_items(spark.createDataFrame([(4, more)], "page_id int, html string"))
+    legs = {r["slug"]: (r["depart"], r["arrive"], r["action"], r["scope"]) for r in transactions.movements(page).collect()}
+    assert legs["qq01"] == ("NYK", None, "contract-expiration", "nba-roster")
+    assert legs["gasolpa01"] == ("ATL", "VAN", "trade", "nba-roster") and legs["abdursh01"] == ("VAN", "ATL", "trade", "nba-roster")
     low, high = transactions.page_window(F.col("html"))
     assert tuple(pages.filter("page_id = 1").select(low, high).first()) == ("July 1, 2000", "June 30, 2001")
 
@@ -121,9 +131,12 @@ def test_eras():
 def test_choices_and_scores(spark):
     m = lambda a, b: F.create_map(F.lit("x"), F.lit(a), F.lit("y"), F.lit(b))
     keys = F.array(F.lit("x"), F.lit("y"))
-    accept = lambda p, c, k=keys: spark.range(1).select(judgments.accepted_choice(p, F.lit(c), k).alias("k")).first()["k"]
-    assert accept(m(0.9, 0.1), 0.9) == "x" and accept(m(0.9, 0.2), 0.9) is None and accept(m(0.55, 0.45), 0.9) is None
-    assert accept(m(0.9, 0.1), 0.1) is None and accept(m(float("nan"), 0.1), 0.9) is None and accept(m(0.9, 0.1), 0.9, F.array(F.lit("x"))) is None
+    accept = lambda p, c, k=keys, s="x": spark.range(1).select(judgments.accepted_choice(F.lit(s), p, F.lit(c), k).alias("k")).first()["k"]
+    assert accept(m(0.96, 0.04), 0.96) == "x" and accept(m(0.96, 0.1), 0.96) is None and accept(m(0.9, 0.1), 0.96) is None
+    assert accept(m(0.96, 0.04), 0.1) is None and accept(m(float("nan"), 0.1), 0.96) is None and accept(m(0.96, 0.04), 0.96, F.array(F.lit("x"))) is None
+    # the provider's own choice is judged, not the likeliest one
+    assert accept(m(0.96, 0.04), 0.96, s="y") is None and accept(m(0.96, 0.04), 0.96, s="z") is None
+    assert (judgments.Policy().existence, judgments.Policy().ranking, judgments.Policy().margin) == (0.5, 0.25, 0.25)
     chains = spark.createDataFrame([(0, ["s", "b", "g"]), (1, ["s", "c", "g"])], "place int, path array<string>")
     scores = [(0, "q", [0.0, 0.0, 1.0], 2.0), (1, "q", [1.0, 0.0, 0.0], 0.0), (0, "r", [1.0, 0.0, 0.0], 0.0), (1, "r", [0.0, 0.0, 1.0], 2.0)]
     ddl = "place int, dimension string, probabilities array<double>, mean double"
