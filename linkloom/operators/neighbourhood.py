@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.paths import distances
+from linkloom.scratch import materialise
 
 MOST_LINKS = 600
 ERAS = (1940, 1950, 1960, 1970, 1980, 1990, 2000, 2010)
@@ -26,25 +27,35 @@ def edge_between(edge_rows: DataFrame, x: str, y: str) -> DataFrame:
     return edge_rows.filter((F.col("a") == min(x, y)) & (F.col("b") == max(x, y)))
 
 
-def neighbourhood(links: DataFrame, edge_rows: DataFrame, player: str, depth: int = 1, limit: int = 60, path: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, distance) of the nearest nodes and (a, b, on_path) of the links among them.
+def edge_page_facts(edge_rows: DataFrame, offset: int = 0, limit: int = 1000) -> DataFrame:
+    """One row (total, next_offset) for ``edge_page``; next_offset is null on the last page."""
+    end = F.lit(offset + limit).cast("long")
+    return edge_rows.agg(F.count("*").alias("total")).select("total", F.when(F.col("total") > end, end).alias("next_offset"))
 
-    ``depth`` 1 or 2, ``limit`` 1 to 200 nodes by distance and id, 600 links besides those on ``path``.
+
+def neighbourhood(
+    links: DataFrame, edge_rows: DataFrame, player: str, depth: int = 1, limit: int = 60, path: list[str] | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, distance) of the nearest nodes, (a, b, on_path) of the links among them, and one row (truncated).
+
+    ``depth`` 1 or 2, ``limit`` 1 to 200 nodes by distance and id; the player and those of ``path`` are there in any case,
+    without a distance if they are further off. Of the links the first 600 by (a, b) and those along ``path`` are
+    given. ``truncated`` says whether a node within reach or a link is missing.
     """
     if depth not in (1, 2) or not 1 <= limit <= 200:
         raise ValueError("depth must be 1 or 2, limit from 1 to 200")
     spark = links.sparkSession
-    near = distances(links, spark.createDataFrame([(player,)], "source string"), max_depth=depth)
-    nodes = near.select(F.col("node").alias("id"), "distance").orderBy("distance", "id").limit(limit)
-    steps = [tuple(sorted(p)) for p in zip(path or [], (path or [])[1:])]
+    near = distances(links, spark.createDataFrame([(player,)], "source string"), max_depth=depth).select(F.col("node").alias("id"), "distance")
+    named = spark.createDataFrame([(p,) for p in sorted({player, *(path or [])})], "id string")
+    ids = materialise(near.orderBy("distance", "id").limit(limit).select("id").union(named).distinct(), "near")
     on_path = F.lit(False)
-    for a, b in steps:
+    for a, b in {tuple(sorted(p)) for p in zip(path or [], (path or [])[1:])}:
         on_path = on_path | ((F.col("a") == a) & (F.col("b") == b))
-    ids = nodes.select("id")
     inside = edge_rows.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
-    marked = inside.select("a", "b", on_path.alias("on_path"))
-    others = marked.filter(~F.col("on_path")).orderBy("a", "b").limit(MOST_LINKS)
-    return nodes, marked.filter("on_path").union(others)
+    marked = materialise(inside.select("a", "b", on_path.alias("on_path")), "inside")
+    shown = marked.orderBy("a", "b").limit(MOST_LINKS).union(marked.filter("on_path")).distinct()
+    lost = near.join(ids, "id", "left_anti").select(F.lit(1).alias("x")).union(marked.join(shown, ["a", "b"], "left_anti").select(F.lit(1)))
+    return ids.join(near, "id", "left"), shown, lost.agg((F.count("*") > 0).alias("truncated"))
 
 
 def next_steps(links: DataFrame, path: list[str], target: str | None = None) -> DataFrame:

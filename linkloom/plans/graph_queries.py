@@ -75,17 +75,31 @@ def player_edges(spark, sf_dir):
     return neighbourhood.edges_of(teammate_edges(spark, sf_dir), START)
 
 
+def _first_other(rows: DataFrame) -> str:
+    """The first player linked to START by a pair that START begins."""
+    return rows.filter(F.col("a") == START).agg(F.min("b")).first()[0]
+
+
 def edge_lookup(spark, sf_dir):
-    rows = teammate_edges(spark, sf_dir)
-    return neighbourhood.edge_between(rows, GOAL, START).union(neighbourhood.edge_between(rows, START, "P000000004"))
+    rows = materialise(teammate_edges(spark, sf_dir), "rows")
+    return neighbourhood.edge_between(rows, GOAL, START).union(neighbourhood.edge_between(rows, _first_other(rows), START))
 
 
 def adjacency(spark, sf_dir):
     return evidence.adjacency(_tenure_edges(spark, sf_dir))
 
 
+def _proven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that any of the three proofs gives."""
+    return materialise(_rows(spark, sf_dir).select("a", "b").distinct(), "proven")
+
+
+def edge_page_facts(spark, sf_dir):
+    return neighbourhood.edge_page_facts(_tenure_edges(spark, sf_dir), 100, 1000)
+
+
 def degrees(spark, sf_dir):
-    return evidence.degrees(teammate_edges(spark, sf_dir).select("a", "b"), tables.players(spark, sf_dir))
+    return evidence.degrees(_proven(spark, sf_dir), tables.players(spark, sf_dir))
 
 
 def hubs(spark, sf_dir):
@@ -93,7 +107,9 @@ def hubs(spark, sf_dir):
 
 
 def isolated_players(spark, sf_dir):
-    return degrees(spark, sf_dir).filter("degree = 0").select("id")
+    """Players without a link in the view of two seasons."""
+    kept = filtered_view_edges(spark, sf_dir).select("a", "b").distinct()
+    return evidence.degrees(kept, tables.players(spark, sf_dir)).filter("degree = 0").select("id")
 
 
 def coverage_counters(spark, sf_dir):
@@ -101,8 +117,9 @@ def coverage_counters(spark, sf_dir):
 
 
 def proof_audit(spark, sf_dir):
+    """Sound edges would give no row: so the witnesses are left out of the proofs, and some pairs out of the edges."""
     rows = materialise(_rows(spark, sf_dir), "rows")
-    return evidence.proof_audit(evidence.edges(rows), [rows.filter(F.col("kind_rank") == k) for k in (0, 1, 2)])
+    return evidence.proof_audit(evidence.edges(rows).filter("not endswith(a, '3')"), [rows.filter(F.col("kind_rank") == k) for k in (0, 1)])
 
 
 def overlap_records(spark, sf_dir):
@@ -145,7 +162,7 @@ def chain_evidence(spark, sf_dir):
 def components(spark, sf_dir):
     from linkloom.operators.components import connected_components
 
-    found = connected_components(_tenure_edges(spark, sf_dir), "a", "b")
+    found = connected_components(_proven(spark, sf_dir), "a", "b")
     ids = tables.players(spark, sf_dir).select(F.col("id").alias("node"))
     return ids.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
@@ -175,8 +192,20 @@ def neighbourhood_links(spark, sf_dir):
     return neighbourhood.neighbourhood(evidence.adjacency(e), e, START, depth=1, limit=60)[1].select("a", "b")
 
 
+def neighbourhood_facts(spark, sf_dir):
+    e = _tenure_edges(spark, sf_dir)
+    found = [neighbourhood.neighbourhood(evidence.adjacency(e), e, START, depth=1, limit=n)[2].withColumn("asked", F.lit(n)) for n in (1, 200)]
+    return found[0].union(found[1])
+
+
 def next_steps(spark, sf_dir):
-    return neighbourhood.next_steps(evidence.adjacency(_tenure_edges(spark, sf_dir)), [START])
+    """Of a path of two players, without a target and towards the last player three links away."""
+    e = _tenure_edges(spark, sf_dir)
+    links = materialise(evidence.adjacency(e), "links")
+    path = [START, _first_other(e)]
+    target = paths.distances(links, spark.createDataFrame([(START,)], "source string"), max_depth=3).filter("distance = 3").agg(F.max("node")).first()[0]
+    every = neighbourhood.next_steps(links, path).withColumn("target", F.lit(False))
+    return every.union(neighbourhood.next_steps(links, path, target).withColumn("target", F.lit(True)))
 
 
 def focus_hops(spark, sf_dir):
@@ -206,10 +235,11 @@ def _records(t: DataFrame) -> DataFrame:
 
 
 def filtered_view_edges(spark, sf_dir):
+    """The edges' evidence built anew from all facts of two seasons: tenures, counts and witnesses."""
     t = tables.tenures(spark, sf_dir)
-    empty = tables.counts(spark, sf_dir).limit(0)
-    kept, _, _ = neighbourhood.view(t, empty, _witnesses(spark, sf_dir).limit(0), _records(t), first_season=1994, last_season=1995)
-    return intervals.overlap_pairs(kept)
+    kept, counts, seen = neighbourhood.view(t, tables.counts(spark, sf_dir), _witnesses(spark, sf_dir), _records(t), first_season=1994, last_season=1995)
+    rows = evidence.evidence_rows(kept, counts, seen, tables.players(spark, sf_dir))
+    return rows.select("a", "b", "kind_rank", "team", "season", "game_id", "overlap_days", "minimum_shared_games")
 
 
 def scoped_players(spark, sf_dir):
@@ -237,9 +267,9 @@ def ring_places(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        teammate_edges, pigeonhole_pairs, witness_pairs, evidence_union, edge_evidence, edge_totals, edge_page, player_edges, edge_lookup, adjacency,
+        teammate_edges, pigeonhole_pairs, witness_pairs, evidence_union, edge_evidence, edge_totals, edge_page, player_edges, edge_lookup, edge_page_facts, adjacency,
         degrees, hubs, isolated_players, coverage_counters, proof_audit, overlap_records, hop_distances, shortest_chain, all_shortest_chains, chain_page,
-        chain_evidence, components, count_graph_statistics, tenure_graph_statistics, longest_pairs, neighbourhood_nodes, neighbourhood_links, next_steps,
+        chain_evidence, components, count_graph_statistics, tenure_graph_statistics, longest_pairs, neighbourhood_nodes, neighbourhood_links, neighbourhood_facts, next_steps,
         focus_hops, edge_weights, top_links, backbone_edges, landmarks, filtered_view_edges, scoped_players, compared, ring_places,
     )
 }
@@ -256,7 +286,7 @@ DATED = f"""{PLAYERS}, {TENURES}, dated AS (
   GROUP BY ALL
 ), edge AS (SELECT DISTINCT a, b FROM dated), adj AS (SELECT a AS node, b AS other FROM edge UNION SELECT b, a FROM edge)"""
 COUNTS = """days AS (
-  SELECT DISTINCT user_id, event_type AS team, (year(ts) * 100 + month(ts))::INTEGER AS season, ts::DATE AS day FROM events
+  SELECT DISTINCT user_id, event_type AS team, (1993 + day(ts) // 8)::INTEGER AS season, ts::DATE AS day FROM events
 ), team_days AS (SELECT team, season, count(DISTINCT day)::INTEGER AS team_games FROM days GROUP BY ALL
 ), counts AS (
   SELECT 'P' || lpad(user_id::VARCHAR, 9, '0') AS player, team, season, count(*)::INTEGER AS games, any_value(team_games) AS team_games
@@ -268,7 +298,7 @@ COUNTS = """days AS (
 ), cedge AS (SELECT DISTINCT a, b FROM counted), cadj AS (SELECT a AS node, b AS other FROM cedge UNION SELECT b, a FROM cedge
 ), users AS (SELECT DISTINCT player AS id FROM counts)"""
 WITNESSES = """shown AS (
-  SELECT DISTINCT 'P' || lpad(user_id::VARCHAR, 9, '0') AS player, event_type AS team, (year(ts) * 100 + month(ts))::INTEGER AS season,
+  SELECT DISTINCT 'P' || lpad(user_id::VARCHAR, 9, '0') AS player, event_type AS team, (1993 + day(ts) // 8)::INTEGER AS season,
     strftime(ts, '%Y%m%d%H') AS game_id, ts::DATE AS date FROM events
 ), met AS (
   SELECT a.player AS a, b.player AS b, team, season, game_id, date FROM shown a JOIN shown b USING (team, season, game_id, date) WHERE a.player < b.player
@@ -305,8 +335,15 @@ CHAINS = f"""{HOPS}, back AS (
   WHERE back.distance > 0 AND d.distance = back.distance - 1
 ), chain AS (SELECT path, (len(path) - 1)::INTEGER AS degree FROM back WHERE distance = 0)"""
 RECORDS = "rec AS (SELECT *, (start_day // 365 + 1946)::INTEGER AS season FROM tenures)"
-DEGREES = f"""{DATED}, deg AS (
-  SELECT id, count(other) AS degree FROM players LEFT JOIN adj ON id = node GROUP BY id
+DEGREES = f"""{EVIDENCE}, padj AS (SELECT a AS node, b AS other FROM ev UNION SELECT b, a FROM ev), deg AS (
+  SELECT id, count(other) AS degree FROM players LEFT JOIN padj ON id = node GROUP BY id
+)"""
+VIEW = f"""{PLAYERS}, {TENURES}, {RECORDS}, {COUNTS}, {WITNESSES}, k AS (SELECT * FROM rec WHERE season BETWEEN 1994 AND 1995), vev AS (
+  SELECT a.player AS a, b.player AS b, 0 AS kind_rank, a.team, NULL::INTEGER AS season, NULL::VARCHAR AS game_id,
+    sum(least(a.end_day, b.end_day) - greatest(a.start_day, b.start_day))::BIGINT AS overlap_days, NULL::INTEGER AS minimum_shared_games
+  FROM k a JOIN k b ON a.team = b.team AND a.player < b.player AND a.start_day < b.end_day AND b.start_day < a.end_day GROUP BY ALL
+  UNION ALL SELECT a, b, 1, team, season, NULL, NULL, minimum_shared_games FROM counted WHERE season IN (1994, 1995) AND a IN (SELECT id FROM players) AND b IN (SELECT id FROM players)
+  UNION ALL SELECT a, b, 2, team, season, game_id, NULL, 1 FROM witness WHERE season IN (1994, 1995) AND a IN (SELECT id FROM players) AND b IN (SELECT id FROM players)
 )"""
 
 
@@ -332,15 +369,17 @@ SQL = {
       SELECT a, b, CASE WHEN count(days) = count(*) THEN sum(days)::BIGINT END AS overlap_days FROM t GROUP BY a, b""",
     "edge_page": f"WITH {DATED} SELECT a, b FROM edge ORDER BY a, b LIMIT 1000 OFFSET 100",
     "player_edges": f"WITH {DATED} SELECT * FROM dated WHERE a = '{START}' OR b = '{START}'",
-    "edge_lookup": f"WITH {DATED} SELECT * FROM dated WHERE (a = '{START}' AND b = '{GOAL}') OR (a = '{START}' AND b = 'P000000004')",
+    "edge_lookup": f"WITH {DATED} SELECT * FROM dated WHERE (a = '{START}' AND b = '{GOAL}') OR (a = '{START}' AND b = (SELECT min(b) FROM dated WHERE a = '{START}'))",
+    "edge_page_facts": f"WITH {DATED} SELECT count(*) AS total, CASE WHEN count(*) > 1100 THEN 1100::BIGINT END AS next_offset FROM edge",
     "adjacency": f"WITH {DATED} SELECT * FROM adj",
     "degrees": f"WITH {DEGREES} SELECT * FROM deg",
     "hubs": f"WITH {DEGREES} SELECT * FROM deg ORDER BY degree DESC, id LIMIT 10",
-    "isolated_players": f"WITH {DEGREES} SELECT id FROM deg WHERE degree = 0",
+    "isolated_players": f"WITH {VIEW} SELECT id FROM players WHERE id NOT IN (SELECT a FROM vev UNION SELECT b FROM vev)",
     "coverage_counters": f"""WITH {EVIDENCE}, p AS (SELECT a, b, bool_or(kind_rank = 1) AS c, bool_or(kind_rank = 2) AS w FROM ev GROUP BY a, b)
       SELECT count(*) AS edges, count(*) FILTER (c) AS count_proven, count(*) FILTER (w) AS witnessed,
         (SELECT count(*) FROM players WHERE id NOT IN (SELECT a FROM p UNION SELECT b FROM p)) AS isolated_players FROM p""",
-    "proof_audit": "SELECT 'admitted_only' AS side, '' AS a, '' AS b WHERE false",
+    "proof_audit": f"""WITH {EVIDENCE}, adm AS (SELECT DISTINCT a, b FROM ev WHERE right(a, 1) <> '3'), pro AS (SELECT DISTINCT a, b FROM ev WHERE kind_rank < 2)
+      SELECT 'admitted_only' AS side, a, b FROM (FROM adm EXCEPT FROM pro) UNION ALL SELECT 'proven_only', a, b FROM (FROM pro EXCEPT FROM adm)""",
     "overlap_records": f"""WITH {DATED}, r AS (SELECT *, player || ':' || team || ':' || start_day AS record FROM tenures)
       SELECT x.player AS a, y.player AS b, team, x.record AS a_record, y.record AS b_record, greatest(x.start_day, y.start_day) AS start_day, least(x.end_day, y.end_day) AS end_day
       FROM r x JOIN r y USING (team) WHERE x.player < y.player AND x.start_day < y.end_day AND y.start_day < x.end_day""",
@@ -352,8 +391,8 @@ SQL = {
     "chain_evidence": f"""{CHAINS}, s AS (SELECT array_to_string(path, '>') AS chain, unnest(range(degree)) AS step, path FROM chain),
       l AS (SELECT chain, step::INTEGER AS step, least(path[step + 1], path[step + 2]) AS a, greatest(path[step + 1], path[step + 2]) AS b FROM s)
       SELECT chain, step, a, b, sum(days)::BIGINT AS days FROM l JOIN dated USING (a, b) GROUP BY ALL""",
-    "components": f"""WITH RECURSIVE {DATED}, reach AS (
-        SELECT id AS node, id AS label FROM players UNION SELECT adj.other, label FROM reach JOIN adj ON reach.node = adj.node WHERE label < adj.other)
+    "components": f"""WITH RECURSIVE {DEGREES}, reach AS (
+        SELECT id AS node, id AS label FROM players UNION SELECT padj.other, label FROM reach JOIN padj ON reach.node = padj.node WHERE label < padj.other)
       SELECT node, min(label) AS component FROM reach GROUP BY node""",
     "count_graph_statistics": f"""WITH RECURSIVE {COUNTS}, {_pair_sql('users', 'cadj', 8)},
       h AS (SELECT distance, count(*) AS pairs FROM far GROUP BY distance)
@@ -364,7 +403,12 @@ SQL = {
     "neighbourhood_nodes": f"{HOPS} SELECT node AS id, distance FROM dist WHERE distance <= 2 ORDER BY distance, id LIMIT 200",
     "neighbourhood_links": f"""{HOPS}, n AS (SELECT node FROM dist WHERE distance <= 1 ORDER BY distance, node LIMIT 60)
       SELECT a, b FROM edge WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n) ORDER BY a, b LIMIT 600""",
-    "next_steps": f"{HOPS} SELECT node FROM dist WHERE distance = 1",
+    "neighbourhood_facts": f"""WITH {DATED}, near AS (SELECT other AS id FROM adj WHERE node = '{START}' UNION SELECT '{START}'), n AS (SELECT unnest([1, 200])::INTEGER AS asked),
+      shown AS (SELECT asked, id FROM n, (SELECT id, row_number() OVER (ORDER BY id <> '{START}', id) AS place FROM near) WHERE place <= asked)
+      SELECT asked, (SELECT count(*) FROM near) > asked OR (SELECT count(*) FROM edge WHERE a IN (SELECT id FROM shown s WHERE s.asked = n.asked) AND b IN (SELECT id FROM shown s WHERE s.asked = n.asked)) > 600 AS truncated FROM n""",
+    "next_steps": f"""{HOPS}, x AS (SELECT min(b) AS x FROM edge WHERE a = '{START}'), t AS (SELECT max(node) AS t FROM dist WHERE distance = 3),
+      o AS (SELECT other AS node FROM adj JOIN x ON adj.node = x.x JOIN dist ON dist.node = adj.other AND distance = 2)
+      SELECT node, false AS target FROM o UNION ALL SELECT DISTINCT o.node, true FROM o JOIN adj ON adj.node = o.node JOIN t ON adj.other = t.t""",
     "focus_hops": f"{HOPS} SELECT * FROM dist WHERE distance <= 2",
     "edge_weights": f"WITH {WEIGHED} SELECT a, b, weight, primary_team FROM weighed",
     "top_links": f"""WITH {WEIGHED}, s AS (SELECT a, b, weight, a AS node FROM weighed UNION ALL SELECT a, b, weight, b FROM weighed),
@@ -372,12 +416,10 @@ SQL = {
     "landmarks": f"""WITH {DEGREES}, d AS (SELECT player AS id, ((min(start_day) // 365 + 1946) // 10 * 10)::INTEGER AS decade FROM tenures GROUP BY player),
       r AS (SELECT id, decade, row_number() OVER (PARTITION BY decade ORDER BY degree DESC, id)::INTEGER AS place, count(*) OVER (PARTITION BY decade) AS n FROM d JOIN deg USING (id))
       SELECT id, decade, place FROM r WHERE place <= ceil(n * 3 / 100)""",
-    "filtered_view_edges": f"""WITH {PLAYERS}, {TENURES}, {RECORDS}, k AS (SELECT * FROM rec WHERE season BETWEEN 1994 AND 1995)
-      SELECT a.player AS a, b.player AS b, a.team, sum(least(a.end_day, b.end_day) - greatest(a.start_day, b.start_day))::BIGINT AS days
-      FROM k a JOIN k b ON a.team = b.team AND a.player < b.player AND a.start_day < b.end_day AND b.start_day < a.end_day GROUP BY ALL""",
-    "scoped_players": f"""WITH {PLAYERS}, {TENURES}, {RECORDS}
-      SELECT player AS id, count(DISTINCT team)::INTEGER AS n_teams, min(team) AS first_team, min(season) AS first_season, max(season) AS last_season
-      FROM rec WHERE season BETWEEN 1994 AND 1995 GROUP BY player""",
+    "filtered_view_edges": f"WITH {VIEW} SELECT * FROM vev",
+    "scoped_players": f"""WITH {VIEW}, f AS (SELECT player, team, season FROM k UNION ALL SELECT player, team, season FROM counts WHERE season IN (1994, 1995)
+        UNION ALL SELECT unnest([a, b]), team, season FROM witness WHERE season IN (1994, 1995))
+      SELECT player AS id, count(DISTINCT team)::INTEGER AS n_teams, min(team) AS first_team, min(season) AS first_season, max(season) AS last_season FROM f GROUP BY player""",
     "compared": f"""WITH {DEGREES} SELECT '{START}' AS first, '{GOAL}' AS second, (SELECT degree FROM deg WHERE id = '{START}') AS first_degree,
         (SELECT degree FROM deg WHERE id = '{GOAL}') AS second_degree,
         coalesce((SELECT string_agg(DISTINCT team, ',' ORDER BY team) FROM tenures WHERE player = '{START}' AND team IN (SELECT team FROM tenures WHERE player = '{GOAL}')), '') AS shared_teams""",

@@ -363,7 +363,7 @@ SQL = {
         FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)
       SELECT fact, f.league, season, f.name, CASE count(DISTINCT franchise) WHEN 0 THEN 'unresolved' WHEN 1 THEN min(franchise) ELSE 'ambiguous' END AS franchise
       FROM f LEFT JOIN e ON f.league = e.league AND (f.name = e.name OR f.name = e.abbreviation) AND season >= lo AND season <= coalesce(hi, season) GROUP BY 1, 2, 3, 4""",
-    "appearance_export": """WITH d AS (SELECT DISTINCT user_id, event_type AS team, (year(ts) * 100 + month(ts))::INTEGER AS season, ts::DATE AS day FROM events),
+    "appearance_export": """WITH d AS (SELECT DISTINCT user_id, event_type AS team, (1993 + day(ts) // 8)::INTEGER AS season, ts::DATE AS day FROM events),
       t AS (SELECT team, season, count(DISTINCT day)::INTEGER AS team_games FROM d GROUP BY ALL),
       c AS (SELECT 'P' || lpad(user_id::VARCHAR, 9, '0') AS player, team, season, count(*)::INTEGER AS games, any_value(team_games) AS team_games FROM d JOIN t USING (team, season) GROUP BY ALL)
       SELECT player, team, season, games, team_games, player || ':' || team AS player_record, team AS team_record, NULL::VARCHAR AS reason FROM c""",

@@ -199,7 +199,8 @@ def test_neighbourhood_is_cut_by_distance_then_id(spark):
     edges = [("a", x) for x in "bcd"] + [("b", "e"), ("c", "d")]
     links = _graph(spark, edges)
     edge_rows = spark.createDataFrame(edges, "a string, b string")
-    nodes, inside = neighbourhood.neighbourhood(links, edge_rows, "a", depth=2, limit=4, path=["a", "c"])
+    nodes, inside, facts = neighbourhood.neighbourhood(links, edge_rows, "a", depth=2, limit=4, path=["a", "c"])
+    assert facts.first()["truncated"] and not neighbourhood.neighbourhood(links, edge_rows, "a", depth=2)[2].first()["truncated"]
     assert sorted(map(tuple, nodes.collect())) == [("a", 0), ("b", 1), ("c", 1), ("d", 1)]
     assert {(r["a"], r["b"]): r["on_path"] for r in inside.collect()} == {("a", "b"): False, ("a", "c"): True, ("a", "d"): False, ("c", "d"): False}
     for bad in ({"depth": 3}, {"limit": 0}):
