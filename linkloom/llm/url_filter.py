@@ -21,9 +21,7 @@ from linkloom.scratch import materialise
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 BUCKETS = 1 << 16
-DICTIONARY = 20000
-LONGEST_WORD = 24
-CACHE_HOSTS = 1 << 17
+_LETTERS = r"\p{L}+"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -45,25 +43,22 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
     return name, verdict
 
 
-def word_counts(pages: DataFrame, html_col: str = "html", most: int = DICTIONARY) -> dict[str, int]:
-    """The ``most`` commonest words (a to z) of all pages outside tags, with their counts over all pages.
-
-    Counting covers every page; only the dictionary, of bounded size, comes to the driver. Ties of
-    counts go by the word.
-    """
+def word_counts(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(word, n): every word, a run of letters in lower case, of all pages outside tags, and how often it occurs."""
     text = F.lower(F.regexp_replace(html_col, "(?is)<(script|style)\\b.*?</\\1>|<[^>]*>|&[a-z]+;", " "))
-    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit("(?<![^\\x00-\\x7F])[a-z]+"), 0)).alias("word")).filter(F.length("word") <= LONGEST_WORD)
-    top = words.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most)
-    return {r["word"]: r["n"] for r in top.collect()}
+    words = pages.select(F.explode(F.regexp_extract_all(text, F.lit(_LETTERS), 0)).alias("word"))
+    return words.groupBy("word").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    """Splits a run of letters into words by Viterbi over unigram log-probabilities."""
+    """Splits a run of letters into words by Viterbi over unigram log-probabilities.
 
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
+    ``counts`` has what words occur, ``total`` how many words there are in all. Words may be of any length.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        self.total = (sum(counts.values()) if total is None else total) or 1
         self.log_p = {w: math.log(n / self.total) for w, n in counts.items()}
-        self._seen: dict[str, list[str]] = {}
 
     def _unknown(self, length: int) -> float:
         """An unknown word: rarer than any known one, and ten times rarer with each letter."""
@@ -72,8 +67,7 @@ class Segmenter:
     def split(self, run: str) -> list[str]:
         best, back = [0.0], [0]
         for end in range(1, len(run) + 1):
-            choices = ((best[at] + self.log_p.get(run[at:end], self._unknown(end - at)), -at) for at in range(max(0, end - LONGEST_WORD), end))
-            score, at = max(choices)
+            score, at = max((best[at] + self.log_p.get(run[at:end], self._unknown(end - at)), -at) for at in range(end))
             best.append(score)
             back.append(-at)
         words, end = [], len(run)
@@ -82,45 +76,77 @@ class Segmenter:
             end = back[end]
         return words[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host, marked so, and tokens of the path."""
-        found = self._seen.get(host)
-        if found is None:
-            found = [f"host:{w}" for run in re.findall(r"[a-z]+", host) for w in self.split(run)]
-            if len(self._seen) >= CACHE_HOSTS:
-                self._seen.clear()
-            self._seen[host] = found
-        return found + [f"path:{w}" for w in re.findall(r"[^\W_]+", path.lower())]
+
+def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(run, words) for each distinct ``run`` of letters, split by the unigram model of ``counts`` (word, n).
+
+    Only what a run holds is looked up: its substrings, no longer than the longest word, meet the counts in a join, so
+    the vocabulary stays a table however large it grows.
+    """
+    total, longest = counts.agg(F.sum("n"), F.max(F.char_length("word"))).first()
+    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.char_length("run"))).alias("start"))
+    lengths = F.sequence(F.lit(1), F.least(F.char_length("run") - F.col("start") + 1, F.lit(longest or 1)))
+    parts = starts.select("run", "start", F.explode(lengths).alias("length"))
+    parts = parts.select("run", F.substring("run", F.col("start"), F.col("length")).alias("word")).distinct()
+    known = parts.join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+
+    @F.pandas_udf("array<string>")
+    def split(run: pd.Series, words: pd.Series) -> pd.Series:
+        made = []
+        for r, found in zip(run, words, strict=True):
+            made.append(Segmenter({w["word"]: w["n"] for w in found} if found is not None else {}, total or 0).split(r))
+        return pd.Series(made, dtype=object)
+
+    return runs.join(known, "run", "left").select("run", split("run", "known").alias("words"))
+
+
+def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
+    """(host, tokens) for each distinct ``host``: the words of its runs of letters, and its numbers, in their order."""
+    pieces = hosts.select("host", F.posexplode(F.regexp_extract_all(F.lower("host"), F.lit(rf"{_LETTERS}|\p{{N}}+"), 0)).alias("place", "run"))
+    runs = pieces.filter(F.col("run").rlike(_LETTERS)).select("run").distinct()
+    split = pieces.join(materialise(split_runs(runs, counts), "runs"), "run", "left")
+    own = F.coalesce("words", F.array("run"))
+    placed = split.groupBy("host").agg(F.array_sort(F.collect_list(F.struct("place", own.alias("words")))).alias("all"))
+    return placed.select("host", F.transform(F.flatten(F.col("all.words")), lambda w: F.concat(F.lit("host:"), w)).alias("tokens"))
+
+
+def rule_tokens(rules: tuple[tuple[str, str], ...]) -> list[str]:
+    """The tokens that rules themselves consist of. A model learnt from what rules judge must not see these."""
+    found = set()
+    for rule, _ in rules:
+        host, _, path = rule.lower().partition("/")
+        found |= {f"host:{w}" for w in re.findall(r"[^\W_]+", host)} | {f"path:{w}" for w in re.findall(r"[^\W_]+", path)}
+    return sorted(found)
 
 
 def _buckets(tokens: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) % BUCKETS for t in tokens), np.int32, len(tokens))
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, dictionary: int = DICTIONARY) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, p_block, words) for each row of ``pages`` (page_id, url, html).
 
     The rule's verdict holds where a rule fits; else the model blocks where the probability of ``block``
-    is above one half. The model learns from all urls that a rule judges; where these have but one
-    verdict, the rest get it, and ``allow`` if no url has any. Null urls have an empty host and path.
-    Repeated rows each give a row; other columns aren't read; an empty table gives no rows.
+    is above one half. The model learns from all urls that a rule judges, without the words that rules consist of; where
+    these urls have but one verdict, the rest get it, and ``allow`` if no url has any. Null urls have an empty host and path.
+    Repeated rows each give a row; other columns aren't read; an empty table gives no rows. Hosts and pages of any
+    length are taken whole, and no word of the pages is left out of the unigram model.
     """
     spark = pages.sparkSession
-    segmenter = spark.sparkContext.broadcast(Segmenter(word_counts(pages, most=dictionary)))
+    counts = materialise(word_counts(pages), "words")
     host, path = split_url(F.col("url"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-
-    @F.pandas_udf("array<string>")
-    def words(hosts: pd.Series, paths: pd.Series) -> pd.Series:
-        return pd.Series([segmenter.value.tokens(h, p) for h, p in zip(hosts, paths, strict=True)], dtype=object)
-
-    rows = materialise(rows.select("*", rule.alias("rule"), verdict.alias("says"), words("host", "path").alias("words")), "urls")
+    named = materialise(host_tokens(rows.select("host").distinct(), counts), "hosts")
+    of_path = F.transform(F.regexp_extract_all(F.lower("path"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.concat(F.lit("path:"), w))
+    rows = rows.join(named, "host", "left").withColumn("words", F.concat(F.coalesce("tokens", F.array().cast("array<string>")), of_path))
+    seen = F.array_except("words", F.array(*map(F.lit, rule_tokens(rules)))) if rules else F.col("words")
+    rows = materialise(rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("says"), "words", seen.alias("seen")), "urls")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = {"allow": np.zeros(BUCKETS, np.int64), "block": np.zeros(BUCKETS, np.int64)}
         for batch in batches:
-            for says, tokens in zip(batch["says"], batch["words"], strict=True):
+            for says, tokens in zip(batch["says"], batch["seen"], strict=True):
                 np.add.at(total[says], _buckets(list(tokens)), 1)
         for says, n in total.items():
             at = np.flatnonzero(n)
@@ -128,7 +154,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, dictiona
 
     learn = rows.filter("says is not null")
     urls = {r["says"]: r["n"] for r in learn.groupBy("says").agg(F.count("*").alias("n")).collect()}
-    counts = learn.select("says", "words").mapInPandas(count, "says string, bucket int, n long").groupBy("says", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = learn.select("says", "seen").mapInPandas(count, "says string, bucket int, n long").groupBy("says", "bucket").agg(F.sum("n").alias("n")).toPandas()
     smooth = {}
     for says in ("allow", "block"):
         own = counts[counts["says"] == says]
@@ -147,6 +173,6 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, dictiona
         raw = np.array([start + weight[_buckets(list(t))].sum() for t in tokens], float)
         return pd.Series(1 / (1 + np.exp(-np.clip(raw, -700, 700))))
 
-    judged = rows.withColumn("p_block", p_block("words"))
+    judged = rows.withColumn("p_block", p_block("seen"))
     said = F.coalesce("says", F.when(F.col("p_block") > 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", "rule", said.alias("verdict"), "p_block", "words")

@@ -76,6 +76,63 @@ def test_unjudged_urls_follow_the_words_of_judged_ones(spark):
     assert got[1000]["words"][:2] == ["host:cheap", "host:casino"]
 
 
+def test_verdicts_equal_a_slow_model(spark):
+    """Host splits by recursion over all, naive Bayes by counting: an independent version of the whole judgment."""
+    import functools
+    import math
+    import zlib
+    from collections import Counter
+
+    rules = (("bad.test/", "block"), ("good.test/", "allow"))
+    long_word = "pneumonoultramicroscopicsilico"
+    pages = ["<p>cheap pills naïve news</p>", f"<b>garden {long_word}</b> school news", "<script>cheap</script>cheap garden", None, "pills &amp; news"]
+    names = ["cheappills", "newsgarden", long_word + "news", "naïvepills", "x1cheap", "gardennews", "school", ""]
+    rows = []
+    for i in range(60):
+        name = names[i % len(names)]
+        rows.append((i, f"http://{name}.{('bad.test', 'good.test', 'other.test')[i % 3]}/a{i % 4}/B_c", pages[i % len(pages)]))
+    rows.append((None, f"http://{long_word}.other.test/" + "p/" * 5000, "news " * 20000))
+    counts = Counter()
+    for *_, html in rows:
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1>|<[^>]*>|&[a-z]+;", " ", html or "").lower()
+        counts.update(re.findall(r"[^\W\d_]+", text))
+    total = sum(counts.values())
+
+    cost = lambda w: math.log(counts[w] / total) if w in counts else -math.log(total) - len(w) * math.log(10)
+
+    @functools.cache
+    def best(run):
+        return max(((cost(run[:i]) + best(run[i:])[0], (run[:i], *best(run[i:])[1])) for i in range(1, len(run) + 1)), key=lambda x: x[0]) if run else (0.0, ())
+
+    def split(run):
+        return list(best(run)[1])
+
+    def tokens(url):
+        host, path = _split(url)
+        own = [f"host:{w}" for run in re.findall(r"[^\W\d_]+|\d+", host) for w in (split(run) if run.isalpha() else [run])]
+        own += [f"path:{w}" for w in re.findall(r"[^\W_]+", path.lower())]
+        return list(dict.fromkeys(t for t in own if t not in ("host:bad", "host:good", "host:test")))
+
+    def judged(url):
+        host = _split(url)[0]
+        return next((says for rule, says in rules if host == rule[:-1] or host.endswith("." + rule[:-1])), None)
+
+    bucket = lambda t: zlib.crc32(t.encode()) % url_filter.BUCKETS
+    seen = {s: Counter(bucket(t) for _, u, _ in rows if judged(u) == s for t in tokens(u)) for s in ("allow", "block")}
+    size = {s: sum(c.values()) + 0.5 * url_filter.BUCKETS for s, c in seen.items()}
+    urls = Counter(judged(u) for _, u, _ in rows)
+    want = {}
+    for i, url, _ in rows:
+        raw = math.log(urls["block"] / urls["allow"])
+        for t in tokens(url):
+            raw += math.log((seen["block"][bucket(t)] + 0.5) / size["block"]) - math.log((seen["allow"][bucket(t)] + 0.5) / size["allow"])
+        want[i] = (judged(url) or ("block" if raw > 0 else "allow"), pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9))
+    got = {r["page_id"]: (r["verdict"], r["p_block"]) for r in url_filter.judge(_pages(spark, rows), rules).collect()}
+    assert got == want and {v for v, _ in got.values()} == {"allow", "block"}
+    found = {r["page_id"]: r["words"] for r in url_filter.judge(_pages(spark, rows), rules).filter("page_id < 8").collect()}
+    assert found[2][:2] == [f"host:{long_word}", "host:news"] and found[3][:2] == ["host:naïve", "host:pills"]
+
+
 def test_segmenter_finds_the_likeliest_split():
     s = url_filter.Segmenter({"the": 50, "then": 5, "ed": 5, "need": 8, "he": 9})
     assert s.split("theneed") == ["the", "need"] and s.split("") == []
