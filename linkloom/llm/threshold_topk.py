@@ -23,10 +23,15 @@ QUERY_BLOCK = 512
 STRIDE = 64
 
 
-def whole_parts(vector: Column, factor: int = FACTOR) -> Column:
-    """floor(factor * x) of each component in double precision; null if the vector has none or an unusable one."""
+def usable_parts(vector: Column) -> Column:
+    """The components as doubles; null if the vector has none or an unusable one."""
     usable = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
-    return F.when(usable & (F.size(vector) > 0), F.transform(vector, lambda v: F.floor(v.cast("double") * F.lit(float(factor))).cast("long")))
+    return F.when(usable & (F.size(vector) > 0), F.transform(vector, lambda v: v.cast("double")))
+
+
+def whole_number(x: float, factor: int) -> int:
+    """floor(factor * x) exactly, however large."""
+    return factor * int(x) if abs(x) >= 2.0**52 else math.floor(factor * x)
 
 
 class SortedLists:
@@ -79,12 +84,37 @@ class SortedLists:
         return self.ids[best_rows], best_scores.astype(np.int64)
 
 
-def _exact(vectors: np.ndarray) -> np.ndarray:
-    """The vectors in the type in which their products and sums are exact; an error if none of 64 bits is."""
-    most = float(np.abs(vectors.astype(np.float64)).max()) ** 2 * vectors.shape[1] if vectors.size else 0.0
-    if most >= 2.0**62:
-        raise ValueError("components are too large for scores in a long")
-    return vectors.astype(np.float64) if most < 2.0**52 else vectors
+def _wide(x: np.ndarray, factor: int) -> np.ndarray:
+    """Which rows have a component so large that products with the others' may not be exact in a double."""
+    return (np.abs(x) >= (2.0**26 / math.sqrt(x.shape[1]) - 1) / factor).any(1)
+
+
+def _whole_scores(query: list[int], rows: list[list[int]]) -> list[int]:
+    """Inner products in whole numbers of any size, brought to the nearest that a long holds."""
+    return [max(-(2**63), min(2**63 - 1, sum(map(int.__mul__, query, r)))) for r in rows]
+
+
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, factor: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Ids and scores of the k best rows for each query. Rows and queries with very large components are scored in whole numbers."""
+    wide, asks_wide = _wide(x, factor), _wide(queries, factor)
+    lists = SortedLists(ids[~wide], np.floor(factor * x[~wide]))
+    whole = [[whole_number(v, factor) for v in r] for r in x[wide].tolist()]
+    every = [[whole_number(v, factor) for v in r] for r in x.tolist()] if asks_wide.any() else []
+    found = []
+    for query_id, query, odd in zip(query_ids, queries, asks_wide, strict=True):
+        own = [whole_number(v, factor) for v in query.tolist()] if odd or whole else []
+        if odd:
+            near, scores = ids, np.array(_whole_scores(own, every), np.int64)
+        else:
+            near, scores = lists.top(np.floor(factor * query), query_id, k)
+            near, scores = np.concatenate([near, ids[wide]]), np.concatenate([scores, np.array(_whole_scores(own, whole), np.int64)])
+        if odd or whole:
+            other = near != query_id
+            near, scores = near[other], scores[other]
+            first = np.lexsort((near, -np.maximum(scores, -(2**63) + 1)))[:k]
+            near, scores = near[first], scores[first]
+        found.append((near, scores))
+    return found
 
 
 def top_k(
@@ -101,9 +131,10 @@ def top_k(
     length. Null vectors, empty ones and those with null or non-finite components take no part, nor do
     rows without an id. Rows with the query's id count as its own; other repeated rows are candidates
     each, so a repeated query gives one result. An empty table gives no rows. Blocks hold about
-    ``candidate_block`` and ``query_block`` rows whatever the size of the table.
+    ``candidate_block`` and ``query_block`` rows whatever the size of the table. Components of any finite size
+    count exactly; a score beyond a long is the nearest long, and such scores tie.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), whole_parts(F.col("embedding"), factor).alias("x"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), usable_parts(F.col("embedding")).alias("x"))
     rows = rows.filter("vec_id is not null and x is not null").withColumn("dim", F.size("x"))
     is_query = F.col("vec_id") % query_step == 0
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
@@ -124,10 +155,9 @@ def top_k(
         ids = pdf["vec_id"].to_numpy()
         asked, found_ids, found_scores = [], [], []
         if asks.any() and not asks.all():
-            x = _exact(np.stack(pdf["x"].to_numpy()))
-            lists = SortedLists(ids[~asks], x[~asks])
-            for query_id, query in zip(ids[asks], x[asks], strict=True):
-                found, scores = lists.top(query, query_id, k)
+            x = np.stack(pdf["x"].to_numpy())
+            results = search_block(ids[~asks], x[~asks], ids[asks], x[asks], k, factor)
+            for query_id, (found, scores) in zip(ids[asks], results, strict=True):
                 asked.append(np.full(len(found), query_id))
                 found_ids.append(found)
                 found_scores.append(scores)

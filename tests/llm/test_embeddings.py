@@ -111,6 +111,22 @@ def test_top_k_equals_brute_force_with_ties_and_odd_rows(spark):
     assert threshold_topk.top_k(df.limit(0)).collect() == []
 
 
+def test_top_k_takes_large_components_exactly(spark):
+    rng = random.Random(6)
+    rows = [(i, [rng.choice([-0.5, 0.25, 3.0]) for _ in range(3)], None, None, None) for i in range(80)]
+    rows += [(100, [1e30, 0.5, -1.0], None, None, None), (101, [200000.3, -1e9, 0.0], None, None, None), (120, [-3e5, 1e8 + 0.5, 2.0], None, None, None), (140, [3e38, 0.0, 1e-9], None, None, None)]
+    rows = [(i, [float(np.float32(x)) for x in v], *more) for i, v, *more in rows]
+    df = spark.createDataFrame(rows, SCHEMA)
+    held = lambda s: max(-(2**63), min(2**63 - 1, s))
+    numbers = {i: [64 * int(x) if abs(x) > 2**52 else math.floor(64 * x) for x in v] for i, v, *_ in rows}
+    want = []
+    for q in (i for i in numbers if i % 20 == 0):
+        found = sorted((-held(sum(a * b for a, b in zip(numbers[q], numbers[i]))), i) for i in numbers if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found[:4])]
+    for blocks in ((8192, 512), (32, 3)):
+        assert sorted(map(tuple, threshold_topk.top_k(df, k=4, candidate_block=blocks[0], query_block=blocks[1]).collect())) == sorted(want)
+
+
 def test_top_k_stops_early():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(20000, 3))
