@@ -7,12 +7,12 @@ parameters and the label set) is broadcast; texts are then scored whole, a batch
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +20,8 @@ ORDERS = (1, 2, 3)
 BUCKETS = 1 << 14
 SAMPLE_PER_LANGUAGE = 4000
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is what Unicode has in category L: no digit, fraction, circled or Roman numeral.
+_LETTER = regex.compile(r"\p{L}")
 _SLICE = 1 << 18
 _PRIME = np.uint32(0x01000193)
 
@@ -139,7 +140,11 @@ def identify(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) ->
 
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """``docs`` without those whose language can't be told: ``und``, or a posterior under ``least_score``."""
+    """``docs`` without those whose language can't be told: ``und``, or a posterior under ``least_score``.
+
+    Null, empty and letterless texts go; very long ones are scored whole. Repeated rows are each kept or not alike, an
+    empty table gives no rows, other columns pass unread and their names can't clash. Without a labelled row all go.
+    """
     model = train(docs.filter(~held_out(F.col("doc_id"))))
     columns = docs.columns
     found = predict(docs.select([F.col(c).alias(f"_{i}") for i, c in enumerate(columns)]), model, F.col(f"_{columns.index('text')}"))
