@@ -150,18 +150,23 @@ def taken_words(docs: DataFrame) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; all columns kept."""
-    taken = mix(docs).filter("copies > 0").select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"),
-        F.col("occurrence").alias("_occurrence"), F.col("copies").alias("_copies"),
-    )
+    """``docs`` with each row as often as the mix takes it; all columns kept, whatever their names.
+
+    Null and empty texts have size 0 and are never taken; very long texts count whole. Rows of one id, source and size are
+    numbered by a hash of the whole row, so reruns take the same ones. An empty table gives no rows.
+    """
     columns = docs.columns
-    key = ["_k_id", "_k_source", "_k_size"]
-    rows = docs.select("*", docs["doc_id"].alias(key[0]), docs["source"].cast("string").alias(key[1]), word_count(docs["text"]).alias(key[2]))
-    rows = rows.withColumn("_k_occurrence", F.row_number().over(Window.partitionBy(*key).orderBy(key[0])))
-    on = (
-        F.col("_k_id").eqNullSafe(F.col("_id")) & F.col("_k_source").eqNullSafe(F.col("_source"))
-        & (F.col("_k_size") == F.col("_size")) & (F.col("_k_occurrence") == F.col("_occurrence"))
-    )
-    many = rows.join(taken, on).select(*[docs[c] for c in columns], "_copies")
-    return many.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    taken = mix(docs).filter("copies > 0").select(
+        F.col("doc_id").alias("k_id"), F.col("source").alias("k_source"), F.col("size").alias("k_size"), F.col("occurrence").alias("k_occurrence"), "copies"
+    )
+    names = [f"c{i}" for i in range(len(columns))]
+    rows = docs.select([F.col(f"`{c}`").alias(n) for n, c in zip(names, columns, strict=True)])
+    at = dict(zip(columns, names, strict=True))
+    rows = rows.withColumns({"r_id": F.col(at["doc_id"]), "r_source": F.col(at["source"]).cast("string"), "r_size": word_count(F.col(at["text"]))})
+    order = F.xxhash64(F.to_json(F.struct(*names)))
+    rows = rows.withColumn("r_occurrence", F.row_number().over(Window.partitionBy("r_id", "r_source", "r_size").orderBy(order)))
+    on = F.lit(True)
+    for k in ("id", "source", "size", "occurrence"):
+        on = on & F.col(f"r_{k}").eqNullSafe(F.col(f"k_{k}"))
+    many = rows.join(taken, on).select(*names, F.explode(F.sequence(F.lit(1), "copies")).alias("copy"))
+    return many.select([F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])
