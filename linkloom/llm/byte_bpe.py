@@ -15,7 +15,6 @@ What the ids stand for is held against the text, so two stretches of one hash ca
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import itertools
 import struct
@@ -34,10 +33,9 @@ from pyspark.sql import types as T
 from linkloom.llm.hashing import run_hashes
 
 BUCKET_LOAD = 4
-CACHE_ENTRIES = 1 << 18
-_WARM: dict[str, Vocabulary] = {}
+CACHE_ENTRIES = 1 << 17
 CACHE_CHARS = 64
-STRETCHES_HELD = 1 << 20
+STRETCHES_HELD = 1 << 19
 SLICE_BYTES = 1 << 20
 BLOCK_BYTES = 1 << 20
 #: Bytes of ASCII white space; last bytes of all other white space in UTF-8, and the bytes that stand before these.
@@ -123,8 +121,6 @@ class Vocabulary:
         self.hash = PerfectHash.build(self.keys)
         self.pattern = pattern
         self.parts_at_spaces = parts_at_spaces
-        told = b"".join(b"%d %d %b" % (i, len(k), k) for k, i in tokens.items()) + f"{parts_at_spaces} {pattern}".encode()
-        self.digest = hashlib.sha256(told).hexdigest()
         self._fresh()
 
     def _fresh(self) -> None:
@@ -332,24 +328,16 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, upto - at)
 
 
-def _warm(key: str, held) -> Vocabulary:
-    """The broadcast vocabulary, with what earlier tasks of this process have found by it."""
-    if key not in _WARM:
-        _WARM.clear()
-        _WARM[key] = held.value
-    return _WARM[key]
-
-
 def _apply(df: DataFrame, source: str, ids: str, decoded: str | None, encode: bool, vocabulary: Vocabulary) -> DataFrame:
     """``df`` with binary columns ``ids`` (where ``encode``, in place of ``source``) and ``decoded``. Other columns pass as they are."""
-    held, digest = df.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.digest
+    held = df.sparkSession.sparkContext.broadcast(vocabulary)
     made = ([ids] if encode else []) + ([decoded] if decoded else [])
     kept = [c for c in df.columns if not (encode and c == source)]
     if clash := set(made) & set(kept):
         raise ValueError(f"columns of these names are there already: {sorted(clash)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _warm(digest, held)
+        own = held.value
         for batch in batches:
             for part in _slices(batch, source):
                 if encode:
