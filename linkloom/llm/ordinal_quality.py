@@ -8,12 +8,13 @@ expected grade and the probability of the tail from a chosen grade on, by which
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +26,10 @@ GRADES = 3
 PREFIXES = (4, 5)
 LEAST_SHARE = 0.005
 LEAST_TEXTS = 3
+#: Tokens that a process remembers before it starts anew; about 7 MB.
+TOKENS_HELD = 1 << 15
 _MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_STRIPPED = _MARKS.decode()
 
 
 @dataclass(frozen=True)
@@ -35,43 +39,70 @@ class OrdinalModel:
 
 
 def _slot(kind: bytes, value: bytes) -> int:
-    return zlib.crc32(kind + b"\0" + value) % BUCKETS
+    return zlib.crc32(value, zlib.crc32(kind + b"\0")) % BUCKETS
 
 
-@lru_cache(maxsize=1 << 16)
-def _slots(token: bytes) -> tuple[tuple[int, ...], tuple[int, int]]:
-    """Buckets of a token: of its lower-cased word and the word's beginnings, and of its end marks and letter case."""
-    word = token.decode("utf-8", "replace").lower().strip(_MARKS.decode())
-    says = [_slot(b"word", word.encode())] + [_slot(b"begin", word[:n].encode()) for n in PREFIXES if len(word) > n]
-    tail = token[len(token.rstrip(_MARKS)) :][:8]
-    shape = b"upper" if len(token) > 1 and token.isupper() else b"digit" if token.isdigit() else b"plain"
-    return tuple(says), (_slot(b"tail", tail), _slot(b"shape", shape))
+class _Tokens(dict):
+    """The place of each token met by this process in two tables: buckets of its word, and its end marks and letter case.
+
+    ``says`` has three buckets a token, those of the lower-cased word and of the word's beginnings
+    (``BUCKETS`` for none). ``mark`` numbers the pairs of end marks and case; there are few of these.
+    """
+
+    def __init__(self):
+        self.says, self.mark = array("i"), array("i")
+        self.pairs: dict[tuple[bytes, bytes], int] = {}
+        self.pair_slots: list[tuple[int, int]] = []
+
+    def __missing__(self, token: bytes) -> int:
+        word = token.decode("utf-8", "replace").lower().strip(_STRIPPED)
+        self.says.append(_slot(b"word", word.encode()))
+        for n in PREFIXES:
+            self.says.append(_slot(b"begin", word[:n].encode()) if len(word) > n else BUCKETS)
+        tail = token[len(token.rstrip(_MARKS)) :][:8]
+        shape = b"upper" if len(token) > 1 and token.isupper() else b"digit" if token.isdigit() else b"plain"
+        pair = self.pairs.get((tail, shape))
+        if pair is None:
+            pair = self.pairs[tail, shape] = len(self.pair_slots)
+            self.pair_slots.append((_slot(b"tail", tail), _slot(b"shape", shape)))
+        self.mark.append(pair)
+        self[token] = at = len(self)
+        return at
+
+
+_known = _Tokens()
+_last = np.zeros(BUCKETS + 1, np.int32)
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets and values of a whole text; none for a null or wordless text.
+    """Buckets and values of a whole text; none for a null or wordless text. A bucket may come twice; its values add up.
 
     Words and their beginnings count 1 where they occur; end marks and letter case count by their share
     of the words; one bucket tells how far the words repeat.
     """
+    global _known
     tokens = Counter((text or "").encode("utf-8", "surrogatepass").split())
     if not tokens:
         return np.empty(0, np.int32), np.empty(0)
-    total = sum(tokens.values())
-    present: set[int] = set()
-    share: Counter[tuple[int, int]] = Counter()
-    for token, n in tokens.items():
-        says, marks = _slots(token)
-        present.update(says)
-        share[marks] += n
-    x = dict.fromkeys(present, 1.0)
-    for marks, n in share.items():
-        for slot in marks:
-            x[slot] = x.get(slot, 0.0) + 10.0 * n / total
-    x[_slot(b"repeat", b"%d" % min(9, int(10 * (1 - len(tokens) / total))))] = 5.0
-    at = np.fromiter(x.keys(), np.int32, len(x))
-    order = np.argsort(at)
-    return at[order], np.fromiter(x.values(), np.float64, len(x))[order]
+    if len(_known) > TOKENS_HELD:
+        _known = _Tokens()
+    n = len(tokens)
+    at = np.fromiter(map(_known.__getitem__, tokens), np.int64, n)
+    times = np.fromiter(tokens.values(), np.float64, n)
+    total = times.sum()
+    says = np.frombuffer(_known.says, np.int32).reshape(-1, 1 + len(PREFIXES))[at].ravel()
+    order = np.arange(len(says), dtype=np.int32)
+    _last[says] = order
+    present = says[_last[says] == order]
+    present = present[present < BUCKETS]
+    share = np.bincount(np.frombuffer(_known.mark, np.int32)[at], weights=times)
+    x: dict[int, float] = {}
+    for pair in np.flatnonzero(share).tolist():
+        for slot in _known.pair_slots[pair]:
+            x[slot] = x.get(slot, 0.0) + 10.0 * share[pair] / total
+    repeat = _slot(b"repeat", b"%d" % min(9, int(10 * (1 - n / total))))
+    slots = np.concatenate([present, np.fromiter(x, np.int32, len(x)), [repeat]]).astype(np.int32)
+    return slots, np.concatenate([np.ones(len(present)), np.fromiter(x.values(), np.float64, len(x)), [5.0]])
 
 
 def _cumulative(model: OrdinalModel, score: np.ndarray) -> np.ndarray:
@@ -92,8 +123,15 @@ def fit(
 
     ``weight`` tells how many rated documents each row stands for; one each without it.
     """
-    rows = np.repeat(np.arange(len(at)), [len(a) for a in at])
-    cols, val = np.concatenate(at), np.concatenate(x)
+    return fit_flat(np.concatenate(at), np.concatenate(x), np.fromiter(map(len, at), np.int64, len(at)), grade, grades, rounds, rate, penalty, weight)
+
+
+def fit_flat(
+    cols: np.ndarray, val: np.ndarray, lengths: np.ndarray, grade: np.ndarray, grades: int = GRADES, rounds: int = 150, rate: float = 0.1, penalty: float = 1e-3,
+    weight: np.ndarray | None = None,
+) -> OrdinalModel:
+    """``fit`` for rows laid end to end: buckets, values, and how many each row has, none of them zero."""
+    cols, starts = cols.astype(np.int64), np.cumsum(lengths) - lengths
     stands = np.ones(len(grade)) if weight is None else weight / weight.mean()
     share = np.array([np.average(grade <= k, weights=stands) for k in range(grades - 1)]).clip(0.01, 0.99)
     first = np.log(share / (1 - share))
@@ -103,7 +141,7 @@ def fit(
     for step in range(1, rounds + 1):
         thresholds = np.cumsum(np.concatenate([[theta[0]], np.exp(theta[1:cut])]))
         w = theta[cut:]
-        score = np.bincount(rows, val * w[cols], n)
+        score = np.add.reduceat(val * w[cols], starts)
         edge = np.concatenate([[-np.inf], thresholds, [np.inf]])
         cdf = 1 / (1 + np.exp(np.clip(score[:, None] - edge[None, :], -500, 500)))
         pdf = cdf * (1 - cdf)
@@ -114,7 +152,7 @@ def fit(
         np.add.at(d_threshold, grade[grade < cut], -(stands * pdf[i, grade + 1] / p)[grade < cut])
         np.add.at(d_threshold, grade[grade > 0] - 1, (stands * pdf[i, grade] / p)[grade > 0])
         after = np.cumsum(d_threshold[::-1])[::-1]
-        g = np.concatenate([after * np.concatenate([[1.0], np.exp(theta[1:cut])]), np.bincount(cols, val * d_score[rows], BUCKETS)]) / n
+        g = np.concatenate([after * np.concatenate([[1.0], np.exp(theta[1:cut])]), np.bincount(cols, val * np.repeat(d_score, lengths), BUCKETS)]) / n
         g[cut:] += penalty * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8) * min(1.0, 2 * (1 - step / (rounds + 1)))
@@ -155,10 +193,10 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         return pd.DataFrame([(at, x.astype(np.float32)) for at, x in map(features, column)], columns=["at", "x"])
 
     rows = materialise(texts.select("_id", "grade", sparse("_text").alias("f")).select("_id", "grade", "f.at", "f.x"), "features")
-    seen = rows.filter(F.size("at") > 0).select(F.explode("at").alias("slot")).groupBy("slot").count()
+    seen = rows.filter(F.size("at") > 0).select(F.explode(F.array_distinct("at")).alias("slot")).groupBy("slot").count()
     least = max(LEAST_TEXTS, int(LEAST_SHARE * rows.count()))
     usable = np.zeros(BUCKETS, bool)
-    usable[[r["slot"] for r in seen.filter(F.col("count") >= least).collect()]] = True
+    usable[seen.filter(F.col("count") >= least).select("slot").toArrow()["slot"].to_numpy()] = True
     held = docs.sparkSession.sparkContext.broadcast(usable)
 
     @F.pandas_udf("at array<int>, x array<float>")
@@ -167,12 +205,15 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
         return pd.DataFrame({"at": [a[k] for a, k in zip(at, kept, strict=True)], "x": [v[k] for v, k in zip(x, kept, strict=True)]})
 
     rows = rows.filter(F.size("at") > 0).select("_id", "grade", known("at", "x").alias("f")).select("_id", "grade", "f.at", "f.x")
-    rows = rows.toPandas().sort_values(["_id", "grade"], kind="stable")
-    if rows.empty:
+    rows = rows.filter(F.size("at") > 0).toArrow().sort_by([("_id", "ascending"), ("grade", "ascending")]).combine_chunks()
+    if not rows.num_rows:
         return None
     grade = rows["grade"].to_numpy().astype(int)
     weight = np.array([1 / rate[g] for g in grade.tolist()])
-    return fit([np.asarray(a, np.int32) for a in rows["at"]], [np.asarray(a, np.float64) for a in rows["x"]], grade, weight=weight)
+    lengths = pc.list_value_length(rows["at"]).to_numpy().astype(np.int64)
+    cols, val = (pc.list_flatten(rows[c]).to_numpy() for c in ("at", "x"))
+    del rows
+    return fit_flat(cols, val, lengths, grade, weight=weight)
 
 
 def rate(docs: DataFrame, model: OrdinalModel | None, text: Column, tail_from: int = GRADES - 1) -> DataFrame:
@@ -212,7 +253,11 @@ def rated_documents(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` without those whose probability of the top grade is under ``least``; all columns kept."""
+    """``docs`` without those whose probability of the top grade is under ``least``; all columns kept.
+
+    Null and wordless texts go, unless there are no ratings at all, when every row stays. Very long texts are scored
+    whole; repeated rows are judged alike; an empty table gives no rows; names of other columns can't clash.
+    """
     model = train(docs, graded(labels))
     columns = docs.columns
     renamed = docs.select([F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
