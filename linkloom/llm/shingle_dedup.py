@@ -1,8 +1,8 @@
 """Near duplicates by exact Jaccard similarity of word shingles, for the pipeline.
 
 At similarity 0.8 two 64-bit SimHashes lie about ten bits apart, where tiles by bit counts skip hardly
-any pair. So candidates come from min-wise bands: each text has ``BANDS`` keys of ``BAND_ROWS`` minima,
-and texts with a common key are compared. A pair at similarity s is missed with probability
+any pair. So SimHash gives the closest candidates, and min-wise bands the others: each text has ``BANDS``
+keys of ``BAND_ROWS`` minima, and texts with a common key are compared. A pair at similarity s is missed with probability
 (1 - s^BAND_ROWS)^BANDS, which is 0.00007 at 0.8 and less above. Each candidate is linked only if
 the whole shingle sets have the similarity. Texts of one shingle set are one node.
 """
@@ -10,15 +10,16 @@ the whole shingle sets have the similarity. Texts of one shingle set are one nod
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm.simhash import shingle_hashes
+from linkloom.llm.hashing import run_hashes
+from linkloom.llm.simhash import RADIUS, fingerprint_links, rows_of
 from linkloom.operators.components import connected_components
 from linkloom.scratch import materialise
 
@@ -26,25 +27,45 @@ WORDS = 5
 LEAST = (4, 5)
 BANDS = 24
 BAND_ROWS = 5
-_ROWS = 512
-_FACTORS = np.random.default_rng(42).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64) | np.uint64(1)
-_SALTS = np.random.default_rng(43).integers(0, 1 << 64, BANDS * BAND_ROWS, np.uint64)
+BATCH_ROWS = 256
+_ROWS = 2048
+_SLICE = 1 << 16
+_FACTORS = np.random.default_rng(42).integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1)
+_SALTS = np.random.default_rng(43).integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct shingle hashes of a whole text in order."""
-    slices = list(shingle_hashes(text, words))
-    return np.unique(np.concatenate(slices)) if slices else np.empty(0, np.uint64)
+    """The distinct shingle hashes of a whole text in order; none for a null or wordless text.
+
+    Words are what SimHash takes: A-Z lower-cased, parted by ASCII white space. A text of fewer words is one shingle.
+    """
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not tokens:
+        return np.empty(0, np.uint64)
+    data = np.frombuffer(b" ".join(tokens), np.uint8)
+    spaces = np.flatnonzero(data == 32)
+    starts, ends = np.concatenate([[0], spaces + 1]), np.concatenate([spaces, [len(data)]])
+    span = min(words, len(tokens))
+    return np.unique(run_hashes(data, starts[: len(starts) - span + 1], ends[span - 1 :]))
+
+
+def print_of(shingles: np.ndarray) -> np.uint64:
+    """The 64-bit SimHash of a set of shingle hashes: bits that over half of them have."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(shingles), _SLICE):
+        part = shingles[at : at + _SLICE]
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)[0]
 
 
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """A key for each band, mixed from its minima; none for an empty set."""
     if not len(shingles):
         return np.empty(0, np.int64)
-    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), _ROWS):
-        mixed = (shingles[at : at + _ROWS, None] ^ _SALTS) * _FACTORS
-        least = np.minimum(least, mixed.min(0))
+    high = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(_FACTORS), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(high), _ROWS):
+        least = np.minimum(least, ((high[None, at : at + _ROWS] ^ _SALTS[:, None]) * _FACTORS[:, None]).min(1))
     bands = least.reshape(BANDS, BAND_ROWS)
     return np.fromiter((xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(bands)), np.uint64, BANDS).view(np.int64)
 
@@ -55,27 +76,51 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
     return least[1] * common >= least[0] * (len(a) + len(b) - common)
 
 
+def _sets(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) for each node of the pairs: its sorted set as packed 64-bit integers."""
+
+    @F.pandas_udf("binary")
+    def packed(column: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).tobytes() for t in column], dtype=object)
+
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    own = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    with _small_batches(pairs.sparkSession):
+        return materialise(own.select("node", packed("text").alias("shingles")), "shingles")
+
+
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Arrow batches of few rows, as each may hold the sets of two very long texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets are similar. ``texts`` has a text for each node."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        found = lru_cache(maxsize=64)(lambda text: shingle_set(text, words))
         for batch in batches:
-            held = [similar(found(x), found(y)) for x, y in zip(batch["a_text"], batch["b_text"], strict=True)]
-            yield batch.loc[held, ["a", "b"]]
+            sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"], batch["y"], strict=True))
+            yield batch.loc[[similar(x, y) for x, y in sets], ["a", "b"]]
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    own = materialise(own, "candidate-texts")
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("a_text")), "a").join(
-        own.select(F.col("node").alias("b"), F.col("text").alias("b_text")), "b"
+    own = _sets(pairs, texts, words)
+    both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
-    return materialise(both.mapInPandas(compare, "a long, b long"), "verified")
+    with _small_batches(pairs.sparkSession):
+        return materialise(both.mapInPandas(compare, "a long, b long"), "verified")
 
 
 def _in_reach(pairs: DataFrame) -> DataFrame:
     """Distinct pairs whose set sizes allow the similarity."""
-    return pairs.filter(F.least("a_size", "b_size") * LEAST[1] >= F.greatest("a_size", "b_size") * LEAST[0]).select("a", "b").distinct()
+    fits = F.least("a_size", "b_size") * LEAST[1] >= F.greatest("a_size", "b_size") * LEAST[0]
+    return pairs.filter(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
 
 
 def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -84,36 +129,52 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS) -> DataFrame:
+def _print_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """Pairs that SimHash finds: nodes of one fingerprint with the least of them, and the least of linked fingerprints."""
+    by_print = materialise(nodes.groupBy("print").agg(F.min(F.struct("node", "size")).alias("first")), "prints")
+    links = fingerprint_links(by_print.select(F.col("print").alias("fingerprint")), radius)
+    end = lambda e, key: by_print.select(F.col("print").alias(key), F.col("first.node").alias(e), F.col("first.size").alias(f"{e}_size"))
+    same = nodes.select("print", F.col("node").alias("a"), F.col("size").alias("a_size")).join(end("b", "print"), "print").filter("a <> b")
+    near = links.join(end("a", "src"), "src").join(end("b", "dst"), "dst")
+    columns = ["a", "b", "a_size", "b_size"]
+    return same.select(columns).union(near.select(columns))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """(least, root) for each distinct shingle set of ``docs``: its smallest id, null without one, and its component.
 
-    Candidates are met twice. First each text of a band meets the band's smallest node, which joins most of a
-    large group by few comparisons; then all of a band that are still apart meet each other. So what
-    is linked is what all pairs of a band would link. Null and wordless texts are one set and link to nothing else.
+    Candidates are met twice. First SimHash tiles give the texts within ``radius`` bits, and each text of a band meets
+    the band's smallest node; this joins most of a large group by few comparisons. Then those of a band that are not in
+    its largest component meet all of the band that are in another one. So what is linked is what all pairs of
+    a band would link. Null and wordless texts are one set and link to nothing else. An empty table gives no rows.
     """
-    shape = "node long, size int, bands array<long>"
 
-    @F.pandas_udf(shape)
+    @F.pandas_udf("node long, size int, print long, bands array<long>")
     def signed(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             own = shingle_set(text, words)
-            rows.append((np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64), len(own), band_keys(own)))
-        return pd.DataFrame(rows, columns=["node", "size", "bands"])
+            rows.append((np.uint64(xxhash.xxh64_intdigest(own.tobytes())).astype(np.int64), len(own), print_of(own).astype(np.int64), band_keys(own)))
+        return pd.DataFrame(rows, columns=["node", "size", "print", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(rows.select("id", "text", signed("text").alias("s")).select("id", "text", "s.node", "s.size", "s.bands"), "signed")
-    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
+    with _small_batches(docs.sparkSession):
+        rows = materialise(rows.select("id", "text", signed("text").alias("s")).select("id", "text", "s.*"), "signed")
+    first = [F.first(c).alias(c) for c in ("size", "print", "bands")]
+    nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), *first), "nodes")
     keyed = nodes.select("node", "size", F.explode("bands").alias("band"))
     shared = keyed.groupBy("band").agg(F.min(F.struct("node", "size")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     met = materialise(keyed.join(shared, "band").select("band", "node", "size", F.col("first.node").alias("b"), F.col("first.size").alias("b_size")), "bands")
     texts = rows.select("node", "text")
-    stars = met.filter("node <> b").select(F.col("node").alias("a"), "b", F.col("size").alias("a_size"), "b_size")
+    stars = met.select(F.col("node").alias("a"), "b", F.col("size").alias("a_size"), "b_size")
+    stars = stars.union(_print_pairs(nodes.filter("size > 0").select("node", "size", "print"), radius))
     links = _verified(materialise(_in_reach(stars), "stars"), texts, words)
     apart = met.select("band", "node", "size").join(_labelled(nodes, links), "node")
-    left, right = (apart.select("band", *[F.col(c).alias(f"{e}{c}") for c in ("node", "size", "root")]) for e in ("a_", "b_"))
-    rest = left.join(right, "band").filter("a_node < b_node and a_root <> b_root")
-    rest = materialise(_in_reach(rest.withColumnsRenamed({"a_node": "a", "b_node": "b"})), "apart")
+    roots = apart.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
+    apart = materialise(apart.join(roots.filter("roots > 1").select("band", "main"), "band"), "apart")
+    left, right = (apart.select("band", "main", *[F.col(c).alias(f"{e}{c}") for c in ("node", "size", "root")]) for e in ("a_", "b_"))
+    rest = left.filter("a_root <> main").join(right.drop("main"), "band").filter("a_root <> b_root and (b_root = main or a_node < b_node)")
+    rest = materialise(_in_reach(rest.withColumnsRenamed({"a_node": "a", "b_node": "b"})), "rest")
     links = materialise(links.union(_verified(rest, texts, words)), "links")
     return nodes.select("node", "least").join(_labelled(nodes, links), "node").select("least", "root")
 
@@ -121,8 +182,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one of smallest id, all columns kept.
 
-    Rows without an id stay, as none can be named. Of repeated rows of the kept id one stays.
+    Rows without an id stay, as none can be named. Of several rows of a kept id that one stays whose columns,
+    written as JSON, come first. An empty table gives no rows; other columns pass unread.
     """
-    kept = near_duplicates(docs, id_col, text_col).groupBy("root").agg(F.min("least").alias("_id")).select("_id").distinct()
-    named = docs.join(kept, docs[id_col] == kept["_id"], "left_semi").dropDuplicates([id_col])
-    return named.union(docs.filter(F.col(id_col).isNull()))
+    kept = near_duplicates(docs, id_col, text_col).groupBy("root").agg(F.min("least").alias("_id")).filter("_id is not null")
+    return rows_of(docs, kept.select("_id").distinct(), id_col)

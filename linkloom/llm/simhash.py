@@ -179,13 +179,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(by_print, "fingerprint").select(F.col("id").alias(id_col), "fingerprint", "component_id")
 
 
+def rows_of(docs: DataFrame, kept: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is in ``kept`` (``_id``, distinct), one for each id, and all rows without an id.
+
+    Where several rows have the id, the one stays whose columns, written as JSON, come first. Column names of ``docs`` can't
+    clash with anything.
+    """
+    columns = docs.columns
+    rows = docs.select([F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    own = f"c{columns.index(id_col)}"
+    times = rows.filter(F.col(own).isNotNull()).groupBy(own).agg(F.count("*").alias("times"))
+    named = rows.join(kept.select(F.col("_id").alias(own)).join(times, own).withColumnRenamed(own, "kept_id"), F.col(own) == F.col("kept_id"))
+    every = [f"c{i}" for i in range(len(columns))]
+    whole = F.struct(*every)
+    first = named.filter("times > 1").groupBy("kept_id").agg(F.min_by(whole, F.to_json(whole)).alias("row")).select("row.*")
+    found = named.filter("times = 1").select(every).union(first).union(rows.filter(F.col(own).isNull()))
+    return found.select([F.col(f"c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, the one of smallest id, all columns kept.
 
-    Groups whose rows have no id keep all of them, as no row can be named. Of repeated rows of the kept
-    id one stays.
+    Groups whose rows have no id keep all of them, as no row can be named. Of several rows of a kept id that
+    one stays whose columns, written as JSON, come first. An empty table gives no rows; other columns pass unread.
     """
     found = near_duplicates(docs, id_col, text_col, radius).select(F.col(id_col).alias("_id"), F.col("component_id").alias("_root"))
-    kept = found.filter("_id = _root").select("_id").distinct()
-    named = docs.join(kept, docs[id_col] == kept["_id"], "left_semi").dropDuplicates([id_col])
-    return named.union(docs.filter(F.col(id_col).isNull()))
+    return rows_of(docs, found.filter("_id = _root").select("_id").distinct(), id_col)

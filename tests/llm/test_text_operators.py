@@ -118,6 +118,78 @@ def test_language_is_learnt_and_held_out_accuracy_is_high(spark):
     assert kept.columns == _docs(spark, []).columns and {900, 901, 902}.isdisjoint(r["doc_id"] for r in kept.collect())
 
 
+def test_letters_are_those_of_category_l(spark):
+    rows = [(i, "abc abd", "aa", "s") for i in range(40)] + [(100, "½ ² Ⅷ ①", None, None), (101, "٣ 四", None, None), (102, "٣ 12", None, None), (103, "ª", None, None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(_docs(spark, rows)).collect()}
+    assert [got[i] for i in (100, 101, 102, 103)] == ["und", "aa", "und", "aa"]
+
+
+def test_language_scores_equal_a_slow_model(spark):
+    """Counts, log-probabilities and posteriors n-gram by n-gram, an independent version of training and scoring."""
+    import math
+    import zlib
+    from collections import Counter
+
+    rng = random.Random(12)
+    rows = [(i, "".join(rng.choice({"x": "abc D", "y": "cdÉ f"}[k]) for _ in range(rng.randrange(1, 30))), k, "s") for i, k in enumerate("xy" * 30)]
+    rows += [(200, "a" * 300000 + "é", "x", "s"), (201, "", "y", None), (202, None, "x", None)]
+
+    def buckets(text):
+        text = f" {text.lower()} "
+        for n in (1, 2, 3):
+            for i in range(len(text) - n + 1):
+                h = 0x811C9DC5
+                for c in text[i : i + n]:
+                    h = (h ^ ord(c)) * 0x01000193 % 2**32
+                yield (h ^ h >> 15 ^ n * 0x9E37) % language_id.BUCKETS
+
+    learn = [r for r in rows if r[1] is not None and zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    count = {k: Counter(b for _, t, lang, _ in learn if lang == k for b in buckets(t)) for k in "xy"}
+    size = {k: sum(c.values()) + 0.5 * language_id.BUCKETS for k, c in count.items()}
+    want = {}
+    for i, text, *_ in rows:
+        if text and any(c.isalpha() for c in text):
+            here = Counter(buckets(text))
+            score = {k: math.log(sum(r[2] == k for r in learn) / len(learn)) + sum(n * math.log((count[k][b] + 0.5) / size[k]) for b, n in here.items()) for k in "xy"}
+            best = max("xy", key=score.get)
+            want[i] = (best, pytest.approx(1 / sum(math.exp(min(700, s - score[best])) for s in score.values()), abs=1e-6))
+        else:
+            want[i] = ("und", 0.0)
+    assert {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(_docs(spark, rows)).collect()} == want
+
+
+def test_ratings_equal_a_slow_model(spark):
+    """Features by loops and the cumulative-link formula by hand, for a fixed model."""
+    import math
+    import zlib
+    from collections import Counter
+
+    rng = np.random.default_rng(3)
+    model = ordinal_quality.OrdinalModel(rng.normal(size=ordinal_quality.BUCKETS) * 0.2, np.array([-0.5, 0.7]))
+    texts = [None, "", " \n", "One two, two! THREE 44 é", "wordword " * 50000, "a b c d e f g " * 3 + "X" * 100000, "(quoted) [x] end."]
+    marks = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    slot = lambda kind, value: zlib.crc32(f"{kind}\0{value}".encode()) % ordinal_quality.BUCKETS
+    want = []
+    for text in texts:
+        tokens = Counter((text or "").split())
+        if not tokens:
+            want.append((0.0, 0.0))
+            continue
+        n, present, raw = sum(tokens.values()), set(), 0.0
+        for token, k in tokens.items():
+            word = token.lower().strip(marks)
+            present |= {slot("word", word)} | {slot("begin", word[:m]) for m in (4, 5) if len(word) > m}
+            ascii_only = "".join(c for c in token if c.isascii())
+            shape = "upper" if len(token.encode()) > 1 and ascii_only.isupper() else "digit" if token.isdigit() and token.isascii() else "plain"
+            raw += 10 * k / n * (model.weights[slot("tail", token[len(token.rstrip(marks)) :][:8])] + model.weights[slot("shape", shape)])
+        raw += sum(model.weights[s] for s in present) + 5 * model.weights[slot("repeat", str(min(9, int(10 * (1 - len(tokens) / n)))))]
+        above = [1 - 1 / (1 + math.exp(raw - t)) for t in model.thresholds]
+        want.append((sum(above), above[1]))
+    docs = _docs(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    got = ordinal_quality.rate(docs.select("doc_id", "text"), model, F.col("text")).orderBy("doc_id").collect()
+    assert [(r["expected_grade"], r["p_tail"]) for r in got] == [pytest.approx(w, abs=1e-6) for w in want]
+
+
 def test_ngram_slices_count_each_ngram_once():
     text = "abcdefgh" * 100
     whole = np.concatenate(list(language_id.hashed_ngrams(text)))
@@ -196,6 +268,70 @@ def test_mix_comes_near_targets_and_repeats_itself(spark):
     assert mixing.mix(docs.limit(0)).collect() == [] and mixing.apply_mix(docs.limit(0)).collect() == []
 
 
+def test_mix_equals_a_slow_walk(spark):
+    """One bucket a source: rows meet in order of size, by a plain loop over the same draws."""
+    rng = random.Random(21)
+    rows = [(i, "w " * rng.randrange(0, 40), None, rng.choice(["b", "a", None])) for i in range(400)] + [(900, "x " * 200000, None, "a"), (901, None, None, "c")]
+    docs = _docs(spark, rows)
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit(1), F.lit("mix")), 11) / float(1 << 53)
+    draws = {r["doc_id"]: r["d"] for r in docs.select("doc_id", draw.alias("d")).collect()}
+    size = {i: len((t or "").split()) for i, t, *_ in rows}
+    sources = ["a", "b", "c", None]
+    own = {s: [i for i, _, _, x in rows if x == s] for s in sources}
+    total = {s: sum(size[i] for i in own[s]) for s in sources}
+    open_, left, target = dict(zip(sources, (3, 1, 2, 3))), 1.5 * sum(total.values()), {}
+    while open_:
+        unit = left / sum(open_.values())
+        over = [s for s in open_ if unit * open_[s] > 2 * total[s]] or list(open_)
+        done = len(over) == len(open_) and all(unit * open_[s] <= 2 * total[s] for s in over)
+        for s in over:
+            target[s] = unit * open_.pop(s) if done else 2 * total[s] * open_.pop(s) ** 0
+            left -= target[s]
+    want = {}
+    for s in sources:
+        share = target[s] / total[s] if total[s] else 0.0
+        base, p = int(share), share - int(share)
+        held = None
+        for i in sorted(own[s], key=lambda i: (-size[i], draws[i], i)):
+            if not size[i] or p < 1e-9 or p > 1 - 1e-9:
+                want[i] = (base + round(p)) * size[i]
+                continue
+            if held is None:
+                held = (i, p)
+                continue
+            (j, a), b, u = held, p, draws[i]
+            a, b = ((a + b, 0.0) if u * (a + b) < a else (0.0, a + b)) if a + b < 1 else ((1.0, a + b - 1) if u * (2 - a - b) < 1 - b else (a + b - 1, 1.0))
+            held = None
+            for at, x in ((j, a), (i, b)):
+                if 1e-9 < x < 1 - 1e-9:
+                    held = (at, x)
+                else:
+                    want[at] = (base + round(x)) * size[at]
+        if held:
+            want[held[0]] = (base + (1 - draws[held[0]] < held[1])) * size[held[0]]
+    got = {r["doc_id"]: r["taken"] for r in mixing.taken_words(docs).collect()}
+    assert got == want
+
+
+def test_stages_take_clashing_columns_and_repeated_ids(spark):
+    rng = random.Random(31)
+    text = lambda: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(90)) for _ in range(60))
+    extra = ["_copies", "_copy", "_id", "_source", "copies", "c0", "r_id", "k_id", "_rating", "_language", "times", "kept_id", "tokens"]
+    rows = [(i % 40, text(), "en", f"s{i % 3}", 1, *[f"{c}{i}" for c in extra]) for i in range(80)] + [(None, text(), "en", None, 1, *extra), (None, text(), None, "s0", 1, *extra)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in extra))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(20)] + [(i, 0, 1) for i in range(20, 40)], "doc_id long, quality int, toxic int")
+    from linkloom.llm import shingle_dedup
+
+    for stage in (language_id.keep_identified, lambda d: ordinal_quality.keep_good(d, labels), simhash.keep_one, shingle_dedup.keep_one, mixing.apply_mix):
+        got = [sorted(map(str, stage(d).collect())) for d in (docs, docs.repartition(5).orderBy(F.desc("text")))]
+        assert got[0] == got[1] and stage(docs).columns == docs.columns and set(got[0]) <= set(map(str, docs.collect()))
+        assert stage(docs.limit(0)).collect() == []
+    assert shingle_dedup.keep_one(docs).filter("doc_id is not null").count() == 40
+    vocabulary = byte_bpe.load_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    with pytest.raises(ValueError, match="already"):
+        byte_bpe.encode_texts(docs.withColumn("ids", F.lit(1)), vocabulary)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.lists(st.floats(0, 1), max_size=40))
 def test_pivot_leaves_one_undecided_and_keeps_the_sum(p):
