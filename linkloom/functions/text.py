@@ -124,15 +124,15 @@ def dates_corroborate(a: Column, b: Column) -> Column:
 
 
 def mention_spans(text: Column, most_words: int = 5, most_chars: int = 160) -> Column:
-    """Distinct runs of one to five words, in order of where they begin and of their length."""
-    words = F.filter(F.split(F.trim(text), r"\s+"), lambda w: w != "")
+    """Distinct runs of one to five words as they stand in the text, in order of where they begin and of their length."""
+    words = F.regexp_extract_all(text, F.lit(r"(?U)\S+\s*"), 0)
     starts = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
     spans = F.flatten(
         F.transform(
             starts,
             lambda i: F.transform(
                 F.sequence(F.lit(1), F.least(F.lit(most_words), F.size(words) - i + 1)),
-                lambda n: F.regexp_replace(F.array_join(F.slice(words, i, n), " "), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""),
+                lambda n: F.regexp_replace(F.array_join(F.slice(words, i, n), ""), r"^[^\p{IsAlphabetic}\p{N}]+|[^\p{IsAlphabetic}\p{N}]+$", ""),
             ),
         )
     )
@@ -141,7 +141,7 @@ def mention_spans(text: Column, most_words: int = 5, most_chars: int = 160) -> C
 
 def contains_phrase(text: Column, phrase: Column) -> Column:
     """Whether a phrase stands in a text as whole words."""
-    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), phrase, F.lit(r"\E(?![\p{L}\p{N}])"))
+    quoted = F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
     return (phrase != "") & F.regexp_like(text, quoted)
 
 

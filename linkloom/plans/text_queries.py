@@ -204,6 +204,9 @@ SQL = {
       SELECT id, CASE score WHEN 850 THEN 'token' ELSE 'prefix' END AS match_kind, n AS matched_name, score,
         CASE WHEN (SELECT count(*) FROM o WHERE place <= 2) = 2 AND (SELECT min(score) = max(score) FROM o WHERE place <= 2) THEN 'ambiguous' ELSE 'candidates' END AS status,
         (SELECT count(*) FROM o) AS matches_total, (SELECT count(*) FROM o) > 50 AS has_more FROM o WHERE place <= 50 ORDER BY place""",
+    "normalized_names": "SELECT c_custkey, lower(replace(c_name, '#', ' ')) AS normalized, lower(replace(c_name, '#', ' ')) AS canonical FROM customer",
+    "document_spans": """SELECT p_partkey, array_to_string(list_filter([w[1], p_name, w[2]], lambda x, i: x IS NOT NULL AND (i < 3 OR x <> w[1])), '|') AS spans
+      FROM (SELECT p_partkey, p_name, string_split(p_name, ' ') AS w FROM part)""",
     "escaped_urls": """SELECT page_id, replace(replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS html,
       (CASE WHEN strlen(html) > 4096 THEN length('{"truncated":true,"bytes":' || strlen(html) || '}') ELSE strlen(html) END)::INTEGER AS bounded_bytes FROM pages""",
     "era_mentions": """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN 1990 ELSE year(o_orderdate)::INTEGER END AS first,

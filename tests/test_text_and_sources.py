@@ -79,6 +79,10 @@ def test_text_columns(spark):
         text.mention_spans(F.lit("(Joe) Smith, and")).alias("spans"), text.contains_phrase(F.lit("the Reds."), F.lit("Reds")).alias("yes"), text.contains_phrase(F.lit("Redskin"), F.lit("Red")).alias("no"),
         text.bounded_text(F.lit("abcdef"), 3).alias("cut"), text.bounded_json(F.lit('{"a":1}'), 3).alias("json"), text.surname(F.lit("bob jones jr")).alias("surname"),
     ).first()
+    more = spark.range(1).select(
+        text.mention_spans(F.lit("a  b\n(é)")).alias("s"), text.mention_spans(F.lit(" ")).alias("none"), text.contains_phrase(F.lit(r"the a\Eb."), F.lit(r"a\Eb")).alias("quoted")
+    ).first()
+    assert more["s"] == ["a", "a  b", "a  b\n(é", "b", "b\n(é", "é"] and more["none"] == [] and more["quoted"]
     assert r["spans"] == ["Joe", "Joe) Smith", "Joe) Smith, and", "Smith", "Smith, and", "and"]
     assert r["yes"] and not r["no"] and r["cut"] == "abc…" and r["json"] == '{"truncated":true,"bytes":7}' and r["surname"] == "jones"
 
