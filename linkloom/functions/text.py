@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Letters that decomposition leaves whole, suffixes of names.
 WHOLE_LETTERS = {"ı": "i", "ł": "l", "ø": "o", "đ": "d", "ð": "d", "ß": "ss"}
+#: Suffixes of names.
 SUFFIXES = ("jr", "sr", "ii", "iii", "iv", "v")
 
 
@@ -52,21 +53,17 @@ def osa_distance(a: str, b: str, most: int) -> int | None:
 
 
 def name_variants(name: str | None) -> list[str]:
-    """A canonical name, the same without its suffix, and with run-together initials parted or joined."""
+    """A canonical name; the same without suffixes; of three words or more also without inner initials, and first and last alone."""
     words = canonical_text(name).split()
     if not words:
         return []
-    forms = [words]
-    if len(words) > 2 and words[-1] in SUFFIXES:
-        forms.append(words[:-1])
-    for form in list(forms):
-        lead = 0
-        while lead < len(form) - 1 and len(form[lead]) == 1:
-            lead += 1
-        if lead > 1:
-            forms.append(["".join(form[:lead]), *form[lead:]])
-        if len(form[0]) == 2 and len(form) > 1 and not re.search("[aeiouy]", form[0]):
-            forms.append([*form[0], *form[1:]])
+    bare = [w for w in words if w not in SUFFIXES]
+    forms = [words, bare] if len(bare) >= 2 else [words]
+    if len(bare) >= 3:
+        ends = (bare[0], bare[-1])
+        kept = [w for w in bare if len(w) > 1 or w in ends]
+        forms += [kept, [kept[0], kept[-1]]] if len(kept) >= 2 else []
+        forms += [list(ends)] if len(bare) == 3 else []
     return list(dict.fromkeys(" ".join(f) for f in forms))
 
 
