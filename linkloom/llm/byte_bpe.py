@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 from linkloom.llm.hashing import run_hashes
 
 BUCKET_LOAD = 4
-CACHE_ENTRIES = 1 << 17
+CACHE_ENTRIES = 1 << 15
 CACHE_CHARS = 64
-STRETCHES_HELD = 1 << 19
-SLICE_BYTES = 1 << 20
-BLOCK_BYTES = 1 << 20
+STRETCHES_HELD = 1 << 18
+SLICE_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 18
 #: Bytes of ASCII white space; last bytes of all other white space in UTF-8, and the bytes that stand before these.
 _ASCII_SPACE, _SPACE_LAST, _SPACE_BEFORE = (np.zeros(256, bool) for _ in range(3))
 for _c in (_raw.encode() for _raw in map(chr, range(0x3001)) if _raw.isspace()):
