@@ -148,3 +148,36 @@ def nearest_node(points: DataFrame, clicks: DataFrame, reach: float = 80.0) -> D
     met = c.join(p, ["gx", "gy"]).withColumn("distance", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).filter(F.col("distance") <= reach)
     best = met.groupBy("click").agg(F.min(F.struct("distance", "id")).alias("b"))
     return best.select("click", "b.id", "b.distance")
+
+
+def _cells_of(low: Column, high: Column, cell: float) -> Column:
+    return F.sequence(F.floor(low / cell), F.floor(high / cell))
+
+
+def nearest_edge(segments: DataFrame, clicks: DataFrame, reach: float = 8.0, cell: float = 80.0) -> DataFrame:
+    """(click, edge, distance): the nearest line nearer than ``reach`` to each click, of equals the first by edge.
+
+    ``segments`` is (edge, x1, y1, x2, y2), ``clicks`` (click, x, y); rows with nulls take no part. A line is laid over all grid cells that it
+    comes within reach of, column by column, and a click looks into its own cell alone; so a line is met where it
+    passes, however long it is, and by no click elsewhere. A line of no length is a point.
+    """
+    able = lambda df: df.dropna()
+    s = able(segments.select("edge", *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")]))
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = s.withColumn("gx", F.explode(_cells_of(left - reach, right + reach, cell)))
+    # the part of the line over a column and its surroundings, as shares of its length
+    wide = F.col("x2") - F.col("x1")
+    share = lambda x: F.least(F.greatest(F.when(wide == 0, 0.0).otherwise((x - F.col("x1")) / F.nullif(wide, F.lit(0.0))), F.lit(0.0)), F.lit(1.0))
+    a, b = share(F.col("gx") * cell - reach), share((F.col("gx") + 1) * cell + reach)
+    at = lambda t: F.col("y1") + t * (F.col("y2") - F.col("y1"))
+    ya, yb = F.when(wide == 0, F.col("y1")).otherwise(at(a)), F.when(wide == 0, F.col("y2")).otherwise(at(b))
+    laid = columns.withColumn("gy", F.explode(_cells_of(F.least(ya, yb) - reach, F.greatest(ya, yb) + reach, cell)))
+    c = able(clicks.select("click", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
+    met = c.withColumns({"gx": F.floor(F.col("x") / cell), "gy": F.floor(F.col("y") / cell)}).join(laid, ["gx", "gy"])
+    tall = F.col("y2") - F.col("y1")
+    length = wide * wide + tall * tall
+    along = ((F.col("x") - F.col("x1")) * wide + (F.col("y") - F.col("y1")) * tall) / F.nullif(length, F.lit(0.0))
+    t = F.least(F.greatest(F.coalesce(along, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    away = F.hypot(F.col("x") - F.col("x1") - t * wide, F.col("y") - F.col("y1") - t * tall)
+    best = met.select("click", F.struct(away.alias("distance"), "edge").alias("hit")).filter(F.col("hit.distance") < reach)
+    return best.groupBy("click").agg(F.min("hit").alias("hit")).select("click", "hit.edge", "hit.distance")

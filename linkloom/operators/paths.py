@@ -1,7 +1,8 @@
 """Chains through the graph: distances, shortest chains, exact counts and pages of all of them.
 
-Adjacency is (node, other) in both directions. Searches go level by level: a frontier joins the
-adjacency, what was seen is taken out, and each level is written to the shared folder. The driver sees
+Adjacency is (node, other) in both directions. Searches go level by level: a frontier joins the adjacency, and
+as links go both ways, what it comes to is new unless it is in this level or the one before; each level is written to
+the shared folder. The driver sees
 sizes of levels, and, in paging, the successors of the few nodes on the page.
 """
 
@@ -9,6 +10,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,24 +29,21 @@ def distances(adjacency: DataFrame, sources: DataFrame, max_depth: int | None =
     ``goal`` ends the search after the level in which every source has reached it.
     """
     frontier = materialise(sources.select("source", F.col("source").alias("node")).distinct(), "level")
-    levels, seen, depth = [frontier.withColumn("distance", F.lit(0))], frontier, 0
+    before = frontier.limit(0)
+    levels, depth = [frontier.withColumn("distance", F.lit(0))], 0
     wanted = frontier.count() if goal is not None else 0
     while max_depth is None or depth < max_depth:
         depth += 1
         step = frontier.join(adjacency, "node").select("source", F.col("other").alias("node")).distinct()
-        frontier = materialise(step.join(seen, ["source", "node"], "left_anti"), "level")
+        before, frontier = frontier, materialise(step.join(frontier.union(before), ["source", "node"], "left_anti"), "level")
         if frontier.isEmpty():
             break
         levels.append(frontier.withColumn("distance", F.lit(depth)))
-        seen = seen.union(frontier)
         if goal is not None:
             wanted -= frontier.filter(F.col("node") == goal).count()
             if not wanted:
                 break
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.union(level)
-    return out
+    return reduce(DataFrame.union, levels)
 
 
 def _one(spark, name: str, value: str) -> DataFrame:
@@ -62,17 +61,16 @@ def shortest_chain(adjacency: DataFrame, nodes: DataFrame, start: str, goal: str
     if known < len({start, goal}):
         return spark.createDataFrame([], "status string, path array<string>, degree int")
     frontier = _one(spark, "node", start).withColumn("path", F.array("node"))
-    seen = frontier.select("node")
+    before = frontier.limit(0)
     while True:
         hit = frontier.filter(F.col("node") == goal)
         if not hit.isEmpty():
             return hit.select(F.lit("connected").alias("status"), "path", (F.size("path") - 1).alias("degree"))
         step = frontier.join(adjacency, "node").select(F.col("other").alias("node"), F.array_append("path", F.col("other")).alias("path"))
-        fresh = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
-        frontier = materialise(fresh, "level")
+        fresh = step.join(frontier.select("node").union(before.select("node")), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
+        before, frontier = frontier, materialise(fresh, "level")
         if frontier.isEmpty():
             return spark.createDataFrame([("disconnected", None, None)], "status string, path array<string>, degree int")
-        seen = seen.union(frontier.select("node"))
 
 
 def layers(adjacency: DataFrame, start: str, goal: str) -> tuple[DataFrame, int] | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,15 +77,18 @@ def content_id(*columns: str) -> Column:
 
 
 def snapshot_identity(tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, rows, digest): counts and digests that don't depend on the order of rows."""
-    out = None
-    for name in sorted(tables):
-        df = tables[name]
-        row_hash = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")
-        one = df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.sha2(F.coalesce(F.sum(row_hash).cast("string"), F.lit("")), 256).alias("digest"))
-        one = one.select("table", "rows", "digest")
-        out = one if out is None else out.union(one)
-    return out
+    """(table, rows, digest): counts and digests that don't depend on the order of rows.
+
+    A row's text is its columns' by name, as strings, parted by the unit separator, nulls as a NUL; the first 60 bits of the texts'
+    MD5 are summed without rounding, and the digest is the sum's SHA-256. An empty table's is that of 0.
+    """
+    found = []
+    for name, df in sorted(tables.items()):
+        text = F.concat_ws("\x1f", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in sorted(df.columns)])
+        row = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(20,0)")
+        whole = F.coalesce(F.sum(row).cast("string"), F.lit("0"))
+        found.append(df.agg(F.lit(name).alias("table"), F.count("*").alias("rows"), F.sha2(whole, 256).alias("digest")).select("table", "rows", "digest"))
+    return reduce(DataFrame.union, found)
 
 
 def telemetry_summary(events: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
-"""Several sources of the same facts: franchises as of a year, person bridges, differences of memberships."""
+"""Several sources of the same facts: franchises as of a year, differences of memberships, what snapshots keep."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import canonical, dates_corroborate, initial, one_edit, surname, variants
-from linkloom.scratch import materialise
-
 #: Summary rows of a season, not teams.
 SUMMARY_TEAM = r"^\dTM$|^TOT$"
+#: The seasons the other source covers by player, and why it lacks a membership.
+FIRST_SEASON, LAST_SEASON = 1997, 2023
+SHAPES = (
+    "S1-no-per-player-evidence-pre-1997", "S1-pbp-no-event-for-player", "S1-pbp-shows-team-rowset-artifact",
+    "S1-pbp-shows-other-teams-same-season", "S1-ends-2022-23",
+)
 
 
 def as_of(facts: DataFrame, eras: DataFrame) -> DataFrame:
@@ -18,14 +21,12 @@ def as_of(facts: DataFrame, eras: DataFrame) -> DataFrame:
     ``eras`` is (franchise, league, name, abbreviation, first_season, last_season), last open if null. No
     franchise is ``unresolved``, several are ``ambiguous``.
     """
-    e = eras.select("franchise", F.col("league").alias("_league"), F.col("name").alias("_name"), "abbreviation", "first_season", "last_season")
-    hit = (
-        (F.col("league") == F.col("_league")) & ((F.col("name") == F.col("_name")) | (F.col("name") == F.col("abbreviation")))
-        & (F.col("season") >= F.col("first_season")) & (F.col("season") <= F.coalesce("last_season", F.col("season")))
-    )
-    found = facts.join(e, hit, "left").groupBy("fact", "league", "season", "name").agg(
-        F.count_distinct("franchise").alias("n"), F.min("franchise").alias("one")
-    )
+    e = eras.select("franchise", "league", F.explode(F.array_distinct(F.array("name", "abbreviation"))).alias("name"), "first_season", "last_season").distinct()
+    asked = facts.select("league", "season", "name").distinct()
+    # a name's eras are few, so facts meet them by league and name, each season of a name once
+    hit = asked.join(e, ["league", "name"]).filter("season >= first_season and season <= coalesce(last_season, season)")
+    answers = hit.groupBy("league", "season", "name").agg(F.count_distinct("franchise").alias("n"), F.min("franchise").alias("one"))
+    found = facts.select("fact", "league", "season", "name").join(answers, ["league", "season", "name"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     franchise = F.when(F.col("n") == 1, F.col("one")).when(F.col("n") == 0, "unresolved").otherwise("ambiguous")
     return found.select("fact", "league", "season", "name", franchise.alias("franchise"))
 
@@ -41,14 +42,18 @@ def membership_difference(left: DataFrame, right: DataFrame, key: list[str], cut
     return a.join(b, key, "left_anti").select(name("left-only").alias("side"), *key).union(b.join(a, key, "left_anti").select(name("right-only").alias("side"), *key))
 
 
-def difference_shape(diff: DataFrame, other: DataFrame, first_known: int, last_known: int) -> DataFrame:
-    """``diff`` (player, team, season) with why the other source lacks it: out of its years, other teams, or nothing at all."""
-    seen = other.groupBy("player", "season").agg(F.sort_array(F.collect_set("team")).alias("others"))
+def difference_shape(diff: DataFrame, seen: DataFrame) -> DataFrame:
+    """``diff`` (player, team, season) with why the other source lacks the membership, from ``seen`` (player, season, team), all it shows.
+
+    Before its first season it names no players; after its last it shows nothing; between, it has nothing of the player that
+    season, or this very team (so that only the row sets differ), or other teams alone.
+    """
+    shown = seen.groupBy("player", "season").agg(F.collect_set("team").alias("shown"))
     shape = (
-        F.when(F.col("season") < first_known, "before-source").when(F.col("season") > last_known, "after-source")
-        .when(F.col("others").isNotNull(), "other-teams").otherwise("no-event")
+        F.when(F.col("season") > LAST_SEASON, SHAPES[4]).when(F.col("season") < FIRST_SEASON, SHAPES[0]).when(F.col("shown").isNull(), SHAPES[1])
+        .when(F.array_contains("shown", F.col("team")), SHAPES[2]).otherwise(SHAPES[3])
     )
-    return diff.join(seen, ["player", "season"], "left").withColumn("shape", shape).drop("others")
+    return diff.join(shown, ["player", "season"], "left").withColumn("shape", shape).drop("shown")
 
 
 def headline_counts(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -61,60 +66,6 @@ def headline_counts(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def _only(pairs: DataFrame, rank: int, rule: Column | str) -> DataFrame:
-    """(left, right, rank, rule) where a left person has exactly one candidate under a rule."""
-    n = pairs.groupBy("left").agg(F.count_distinct("right").alias("n"), F.min("right").alias("right"))
-    one = n.filter("n = 1").select("left", "right")
-    rule = F.lit(rule) if isinstance(rule, str) else rule
-    return pairs.join(one, ["left", "right"]).select("left", "right", F.lit(rank).alias("rank"), rule.alias("rule")).distinct()
-
-
-def bridge(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left, right, rule): for each person of one source the person of another, by the first rule that names exactly one.
-
-    Both are (id, name, born, first_season, last_season), births nullable. In order: full name and birth;
-    surname and birth; a full name that one person has (told apart by what the births say); initial and
-    surname with careers two seasons apart at most and births that agree in part; the same with surnames
-    of six letters or more one edit apart; a surname that one person has whose birth is unknown; and
-    career within career, unless a near candidate was rejected for its birth. Names match in any variant.
-    Else the rule is ``ambiguous`` if a full name has several persons, or ``no-match``.
-    """
-    def form(df: DataFrame, p: str) -> DataFrame:
-        return materialise(
-            df.select(F.col("id").alias(p), canonical(F.col("name")).alias(f"{p}_name"), F.col("born").alias(f"{p}_born"), F.col("first_season").alias(f"{p}_first"), F.col("last_season").alias(f"{p}_last"))
-            .withColumns({f"{p}_surname": surname(F.col(f"{p}_name")), f"{p}_initial": initial(F.col(f"{p}_name"))}),
-            p,
-        )
-
-    x, y = form(left, "left"), form(right, "right")
-    names = lambda df, p: df.withColumn("form", F.explode(variants(F.col(f"{p}_name"))))
-    full = materialise(names(x, "left").join(names(y, "right"), "form").drop("form").distinct(), "full")
-    last = x.join(y, (F.col("left_surname") == F.col("right_surname")) & (F.col("left_initial") == F.col("right_initial")))
-    born, near = F.col("left_born") == F.col("right_born"), (
-        (F.abs(F.col("left_first") - F.col("right_first")) <= 2) & (F.abs(F.col("left_last") - F.col("right_last")) <= 2)
-    )
-    corroborated = dates_corroborate(F.col("left_born"), F.col("right_born"))
-    unknown = F.col("left_born").isNull() | F.col("right_born").isNull()
-    by_surname = x.join(y, (F.col("left_surname") == F.col("right_surname")))
-    said = F.when(F.col("right_born").isNull(), "name-birth-unknown").when(F.coalesce(~born, F.lit(True)), "name-birth-conflict").otherwise("name")
-    vetoed = last.filter(near & F.coalesce(~corroborated, F.lit(False))).select("left").distinct()
-    spelt = x.join(y, (F.col("left_initial") == F.col("right_initial")) & one_edit(F.col("left_surname"), F.col("right_surname")) & (F.length("left_surname") >= 6))
-    within = (F.col("left_first") >= F.col("right_first")) & (F.col("left_last") <= F.col("right_last"))
-    found = (
-        _only(full.filter(born), 1, "name+birth")
-        .union(_only(by_surname.filter(born), 2, "surname+birth"))
-        .union(_only(full, 3, said))
-        .union(_only(last.filter(near & corroborated), 4, "initial+surname+career"))
-        .union(_only(spelt.filter(near & F.coalesce(corroborated, F.lit(True))), 5, "initial+near-surname+career"))
-        .union(_only(last.filter(unknown & near), 6, "surname-birth-unknown"))
-        .union(_only(by_surname.filter(within).join(vetoed, "left", "left_anti"), 7, "surname+career-span"))
-    )
-    best = found.groupBy("left").agg(F.min(F.struct("rank", "right", "rule")).alias("b")).select("left", "b.right", "b.rule")
-    several = full.groupBy("left").agg(F.count_distinct("right").alias("n")).filter("n > 1").select("left", F.lit(True).alias("several"))
-    out = x.select("left").join(best, "left", "left").join(several, "left", "left")
-    return out.select("left", "right", F.coalesce("rule", F.when(F.col("several"), "ambiguous").otherwise("no-match")).alias("rule"))
-
-
 def appearance_export(memberships: DataFrame, games: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Count rows with exactly one record on either side, and the rest with the reason.
 

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators.intervals import games_inside, meetings
+from linkloom.scratch import materialise
+
 GROUP = ["player", "team", "season"]
 
 # Classes, notes and reasons that readers of the tables compare.
@@ -278,7 +281,8 @@ def capacity_audit(tenures: DataFrame, games: DataFrame, appearances: DataFrame)
     the schedule lacks. More games than both allow with those on the stints' end days is a conflict; more than
     both allow without them leaves the order within a day open.
     """
-    days = games.groupBy("team", "season", "game_id").agg(F.max("day").alias("day"))
+    days = materialise(games.groupBy("team", "season", "game_id").agg(F.max("day").alias("day")), "days")
+    tenures = materialise(tenures.select(*GROUP, "start_day", "end_day", "evidence_class"), "audited")
     usable = tenures.groupBy(*GROUP).agg(
         F.bool_and(F.col("start_day").isNotNull() & F.col("end_day").isNotNull()).alias("dated"), F.bool_or(F.col("evidence_class").isin(DIRECT, CROSS)).alias("sure")
     )
@@ -286,10 +290,12 @@ def capacity_audit(tenures: DataFrame, games: DataFrame, appearances: DataFrame)
     rows = appearances.select(*GROUP, F.col("games").cast("long").alias("played"), F.col("team_games").cast("long").alias("team_games"))
     rows = rows.join(usable.filter("dated and sure").select(*GROUP), GROUP, "left_semi").join(listed, ["team", "season"])
     rows = rows.filter("played is not null and listed > 0 and team_games > 0 and listed <= team_games")
+    rows = materialise(rows, "memberships")
     spans = tenures.select(*GROUP, "start_day", "end_day").join(rows.select(*GROUP), GROUP, "left_semi")
-    met = spans.join(days, ["team", "season"]).filter("start_day <= day and day <= end_day")
-    by_game = met.groupBy(*GROUP, "game_id").agg(F.max((F.col("day") < F.col("end_day")).cast("int")).alias("inside"))
-    capacity = by_game.groupBy(*GROUP).agg(F.sum("inside").alias("capacity"), F.sum(1 - F.col("inside")).alias("departure_games"))
+    keys = ("team", "season")
+    inside = games_inside(days, spans, keys).withColumnRenamed("games", "capacity")
+    reached = games_inside(days, spans.withColumn("end_day", F.col("end_day") + 1), keys).withColumnRenamed("games", "reached")
+    capacity = reached.join(inside, GROUP, "left").withColumn("departure_games", F.col("reached") - F.coalesce("capacity", F.lit(0)))
     zero = F.lit(0)
     joined = rows.join(capacity, GROUP, "left").select(
         *GROUP, "played", "listed", "team_games", F.coalesce("capacity", zero).cast("long").alias("capacity"), (F.col("team_games") - F.col("listed")).alias("missing"),
@@ -324,12 +330,7 @@ def pair_classes(tenures: DataFrame) -> DataFrame:
     First is by team, season, then the two rows' players and days.
     """
     t = tenures.filter("start_day < end_day").select("player", "team", "season", "start_day", "end_day", "evidence_class")
-    a, b = t.alias("a"), t.alias("b")
-    met = a.join(
-        b,
-        (F.col("a.team") == F.col("b.team")) & (F.col("a.season") == F.col("b.season")) & (F.col("a.player") < F.col("b.player"))
-        & (F.col("a.start_day") < F.col("b.end_day")) & (F.col("b.start_day") < F.col("a.end_day")),
-    )
+    met = meetings(t, keys=("team", "season"))
     order = F.struct("a.team", "a.season", "a.start_day", "b.start_day", "a.end_day", "b.end_day")
     mixture = F.array_join(F.array_sort(F.array("a.evidence_class", "b.evidence_class")), "+")
     first = met.groupBy(F.col("a.player").alias("p"), F.col("b.player").alias("q")).agg(F.min_by(mixture, order).alias("mixture"))

@@ -9,14 +9,14 @@ from linkloom.operators import backbone, evidence, intervals, neighbourhood, pat
 from linkloom.scratch import materialise
 from linkloom.sources import tables
 
-START, GOAL = "P000000001", "P000000007"
+START, GOAL = "P000000001", "P000000136"
 
 
 def _witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.coparticipations(tables.appearances(spark, sf_dir))
 
 
-def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.evidence_rows(
         tables.tenures(spark, sf_dir), tables.counts(spark, sf_dir), _witnesses(spark, sf_dir), tables.players(spark, sf_dir)
     )
@@ -35,7 +35,7 @@ def _tenure_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backbone.edge_weights(_rows(spark, sf_dir))
+    return backbone.edge_weights(evidence_rows(spark, sf_dir))
 
 
 def teammate_edges(spark, sf_dir):
@@ -51,11 +51,11 @@ def witness_pairs(spark, sf_dir):
 
 
 def evidence_union(spark, sf_dir):
-    return _rows(spark, sf_dir).select("a", "b", "kind_rank", "team", "season", "game_id", "overlap_days", "minimum_shared_games")
+    return evidence_rows(spark, sf_dir).select("a", "b", "kind_rank", "team", "season", "game_id", "overlap_days", "minimum_shared_games")
 
 
 def edge_evidence(spark, sf_dir):
-    e = evidence.edges(_rows(spark, sf_dir))
+    e = evidence.edges(evidence_rows(spark, sf_dir))
     best = evidence.strongest_evidence(F.col("evidence"))
     return e.select(
         "a", "b", F.size("evidence").alias("entries"), best["team"].alias("strongest_team"), best["kind_rank"].alias("strongest_kind"),
@@ -64,15 +64,29 @@ def edge_evidence(spark, sf_dir):
 
 
 def edge_totals(spark, sf_dir):
-    return evidence.edge_overlap_days(_rows(spark, sf_dir))
+    return evidence.edge_overlap_days(evidence_rows(spark, sf_dir))
+
+
+def _proven(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs that any of the three proofs gives."""
+    return materialise(evidence_rows(spark, sf_dir).select("a", "b").distinct(), "proven")
+
+
+def _links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The adjacency of the proven pairs, written once."""
+    return materialise(evidence.adjacency(_proven(spark, sf_dir)), "links")
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("a", "b", "kind_rank", "team", "season", "game_id", "overlap_days", "minimum_shared_games")
 
 
 def edge_page(spark, sf_dir):
-    return neighbourhood.edge_page(_tenure_edges(spark, sf_dir), 100, 1000)
+    return neighbourhood.edge_page(_proven(spark, sf_dir), 100, 1000)
 
 
 def player_edges(spark, sf_dir):
-    return neighbourhood.edges_of(teammate_edges(spark, sf_dir), START)
+    return _shown(neighbourhood.edges_of(evidence_rows(spark, sf_dir), START))
 
 
 def _first_other(rows: DataFrame) -> str:
@@ -81,21 +95,16 @@ def _first_other(rows: DataFrame) -> str:
 
 
 def edge_lookup(spark, sf_dir):
-    rows = materialise(teammate_edges(spark, sf_dir), "rows")
-    return neighbourhood.edge_between(rows, GOAL, START).union(neighbourhood.edge_between(rows, _first_other(rows), START))
+    rows = materialise(_shown(evidence_rows(spark, sf_dir)), "rows")
+    return neighbourhood.edge_between(rows, GOAL, START).union(neighbourhood.edge_between(rows, _first_other(rows), START)).distinct()
 
 
 def adjacency(spark, sf_dir):
-    return evidence.adjacency(_tenure_edges(spark, sf_dir))
-
-
-def _proven(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs that any of the three proofs gives."""
-    return materialise(_rows(spark, sf_dir).select("a", "b").distinct(), "proven")
+    return evidence.adjacency(_proven(spark, sf_dir))
 
 
 def edge_page_facts(spark, sf_dir):
-    return neighbourhood.edge_page_facts(_tenure_edges(spark, sf_dir), 100, 1000)
+    return neighbourhood.edge_page_facts(_proven(spark, sf_dir), 100, 1000)
 
 
 def degrees(spark, sf_dir):
@@ -113,50 +122,46 @@ def isolated_players(spark, sf_dir):
 
 
 def coverage_counters(spark, sf_dir):
-    return evidence.coverage_counters(_rows(spark, sf_dir), tables.players(spark, sf_dir))
+    return evidence.coverage_counters(evidence_rows(spark, sf_dir), tables.players(spark, sf_dir))
 
 
 def proof_audit(spark, sf_dir):
     """Sound edges would give no row: so the witnesses are left out of the proofs, and some pairs out of the edges."""
-    rows = materialise(_rows(spark, sf_dir), "rows")
+    rows = materialise(evidence_rows(spark, sf_dir), "rows")
     return evidence.proof_audit(evidence.edges(rows).filter("not endswith(a, '3')"), [rows.filter(F.col("kind_rank") == k) for k in (0, 1)])
 
 
 def overlap_records(spark, sf_dir):
     t = tables.tenures(spark, sf_dir)
     records = t.withColumn("record", F.concat_ws(":", "player", "team", F.col("start_day").cast("string")))
-    return intervals.record_overlaps(teammate_edges(spark, sf_dir), records)
+    return intervals.record_overlaps(records)
 
 
 def hop_distances(spark, sf_dir):
-    links = evidence.adjacency(_tenure_edges(spark, sf_dir))
-    return paths.distances(links, spark.createDataFrame([(START,)], "source string")).select("node", "distance")
+    return paths.distances(_links(spark, sf_dir), spark.createDataFrame([(START,)], "source string")).select("node", "distance")
 
 
 def shortest_chain(spark, sf_dir):
-    links = materialise(evidence.adjacency(_tenure_edges(spark, sf_dir)), "links")
-    found = paths.shortest_chain(links, tables.players(spark, sf_dir), START, GOAL)
+    found = paths.shortest_chain(_links(spark, sf_dir), tables.players(spark, sf_dir), START, GOAL)
     return found.select("status", F.concat_ws(">", "path").alias("path"), "degree")
 
 
 def all_shortest_chains(spark, sf_dir):
-    links = materialise(evidence.adjacency(_tenure_edges(spark, sf_dir)), "links")
-    return paths.all_shortest_chains(links, START, GOAL).select(F.concat_ws(">", "path").alias("path"), "degree")
+    return paths.all_shortest_chains(_links(spark, sf_dir), START, GOAL).select(F.concat_ws(">", "path").alias("path"), "degree")
 
 
 def chain_page(spark, sf_dir):
-    links = materialise(evidence.adjacency(_tenure_edges(spark, sf_dir)), "links")
-    page = paths.chain_page(links, tables.players(spark, sf_dir), START, GOAL, limit=5, offset=1)
+    page = paths.chain_page(_links(spark, sf_dir), tables.players(spark, sf_dir), START, GOAL, limit=5, offset=1)
     rows = [(i, ">".join(c), page.total_exact) for i, c in enumerate(page.chains)] if page else []
     return spark.createDataFrame(rows, "place int, path string, total_exact string")
 
 
 def chain_evidence(spark, sf_dir):
-    rows = materialise(teammate_edges(spark, sf_dir), "rows")
+    """The links of every shortest chain with the number of their proofs, of any kind."""
+    rows = materialise(evidence_rows(spark, sf_dir).groupBy("a", "b").agg(F.count("*").alias("evidence")), "rows")
     links = materialise(evidence.adjacency(rows), "links")
     chains = paths.all_shortest_chains(links, START, GOAL).select(F.concat_ws(">", "path").alias("chain"), "path")
-    edge_rows = rows.groupBy("a", "b").agg(F.sum("days").alias("evidence"))
-    return paths.chain_links(chains, edge_rows).withColumnRenamed("evidence", "days")
+    return paths.chain_links(chains, rows).withColumnRenamed("evidence", "proofs")
 
 
 def components(spark, sf_dir):
@@ -177,39 +182,43 @@ def tenure_graph_statistics(spark, sf_dir):
     return statistics.graph_statistics(tables.players(spark, sf_dir), e, evidence.adjacency(e))
 
 
+def union_graph_statistics(spark, sf_dir):
+    e = _proven(spark, sf_dir)
+    return statistics.graph_statistics(tables.players(spark, sf_dir), e, evidence.adjacency(e))
+
+
 def longest_pairs(spark, sf_dir):
-    e = _count_edges(spark, sf_dir)
-    return statistics.pair_distances(_users(spark, sf_dir), evidence.adjacency(e))[1]
+    return statistics.pair_distances(tables.players(spark, sf_dir), _links(spark, sf_dir))[1]
 
 
 def neighbourhood_nodes(spark, sf_dir):
-    e = _tenure_edges(spark, sf_dir)
-    return neighbourhood.neighbourhood(evidence.adjacency(e), e, START, depth=2, limit=200)[0]
+    e = _proven(spark, sf_dir)
+    return neighbourhood.neighbourhood(materialise(evidence.adjacency(e), "links"), e, START, depth=2, limit=200)[0]
 
 
 def neighbourhood_links(spark, sf_dir):
-    e = _tenure_edges(spark, sf_dir)
-    return neighbourhood.neighbourhood(evidence.adjacency(e), e, START, depth=1, limit=60)[1].select("a", "b")
+    e = _proven(spark, sf_dir)
+    return neighbourhood.neighbourhood(materialise(evidence.adjacency(e), "links"), e, START, depth=1, limit=60)[1].select("a", "b")
 
 
 def neighbourhood_facts(spark, sf_dir):
-    e = _tenure_edges(spark, sf_dir)
-    found = [neighbourhood.neighbourhood(evidence.adjacency(e), e, START, depth=1, limit=n)[2].withColumn("asked", F.lit(n)) for n in (1, 200)]
+    e = _proven(spark, sf_dir)
+    links = materialise(evidence.adjacency(e), "links")
+    found = [neighbourhood.neighbourhood(links, e, START, depth=1, limit=n)[2].withColumn("asked", F.lit(n)) for n in (1, 200)]
     return found[0].union(found[1])
 
 
 def next_steps(spark, sf_dir):
     """Of a path of two players, without a target and towards the last player three links away."""
-    e = _tenure_edges(spark, sf_dir)
-    links = materialise(evidence.adjacency(e), "links")
-    path = [START, _first_other(e)]
+    links = _links(spark, sf_dir)
+    path = [START, links.filter((F.col("node") == START) & (F.col("other") > START)).agg(F.min("other")).first()[0]]
     target = paths.distances(links, spark.createDataFrame([(START,)], "source string"), max_depth=3).filter("distance = 3").agg(F.max("node")).first()[0]
     every = neighbourhood.next_steps(links, path).withColumn("target", F.lit(False))
     return every.union(neighbourhood.next_steps(links, path, target).withColumn("target", F.lit(True)))
 
 
 def focus_hops(spark, sf_dir):
-    return neighbourhood.focus_hops(evidence.adjacency(_tenure_edges(spark, sf_dir)), START)
+    return neighbourhood.focus_hops(_links(spark, sf_dir), START)
 
 
 def edge_weights(spark, sf_dir):
@@ -234,12 +243,15 @@ def _records(t: DataFrame) -> DataFrame:
     return t.withColumn("season", (F.floor(F.col("start_day") / 365) + 1946).cast("int"))
 
 
-def filtered_view_edges(spark, sf_dir):
+def view_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edges' evidence built anew from all facts of two seasons: tenures, counts and witnesses."""
     t = tables.tenures(spark, sf_dir)
     kept, counts, seen = neighbourhood.view(t, tables.counts(spark, sf_dir), _witnesses(spark, sf_dir), _records(t), first_season=1994, last_season=1995)
-    rows = evidence.evidence_rows(kept, counts, seen, tables.players(spark, sf_dir))
-    return rows.select("a", "b", "kind_rank", "team", "season", "game_id", "overlap_days", "minimum_shared_games")
+    return evidence.evidence_rows(kept, counts, seen, tables.players(spark, sf_dir))
+
+
+def filtered_view_edges(spark, sf_dir):
+    return _shown(view_rows(spark, sf_dir))
 
 
 def scoped_players(spark, sf_dir):
@@ -269,7 +281,7 @@ QUERIES = {
     for f in (
         teammate_edges, pigeonhole_pairs, witness_pairs, evidence_union, edge_evidence, edge_totals, edge_page, player_edges, edge_lookup, edge_page_facts, adjacency,
         degrees, hubs, isolated_players, coverage_counters, proof_audit, overlap_records, hop_distances, shortest_chain, all_shortest_chains, chain_page,
-        chain_evidence, components, count_graph_statistics, tenure_graph_statistics, longest_pairs, neighbourhood_nodes, neighbourhood_links, neighbourhood_facts, next_steps,
+        chain_evidence, components, count_graph_statistics, tenure_graph_statistics, union_graph_statistics, longest_pairs, neighbourhood_nodes, neighbourhood_links, neighbourhood_facts, next_steps,
         focus_hops, edge_weights, top_links, backbone_edges, landmarks, filtered_view_edges, scoped_players, compared, ring_places,
     )
 }
@@ -310,6 +322,7 @@ EVIDENCE = f"""{DATED}, {COUNTS}, {WITNESSES}, ev AS (
     WHERE a IN (SELECT id FROM players) AND b IN (SELECT id FROM players)
   UNION ALL SELECT a, b, 2, team, season, game_id, NULL, 1 FROM witness WHERE a IN (SELECT id FROM players) AND b IN (SELECT id FROM players)
 )"""
+PROVEN = f"""{EVIDENCE}, pedge AS (SELECT DISTINCT a, b FROM ev), padj AS (SELECT a AS node, b AS other FROM pedge UNION SELECT b, a FROM pedge)"""
 WEIGHED = f"""{EVIDENCE}, bt AS (
   SELECT a, b, team, coalesce(sum(overlap_days), 0) AS days, coalesce(sum(minimum_shared_games) FILTER (kind_rank = 1), 0) AS games,
     bool_or(kind_rank = 2) AS seen FROM ev GROUP BY ALL
@@ -326,16 +339,16 @@ WEIGHED = f"""{EVIDENCE}, bt AS (
     CASE WHEN games = 0 THEN 0.1 ELSE least(greatest(0.15::DOUBLE + 0.85::DOUBLE * ln(1 + games::DOUBLE) / ln(247.0::DOUBLE), 0.1), 1) END,
     CASE WHEN seen THEN 0.15 ELSE 0.1 END)::DOUBLE, 6) AS weight, primary_team FROM total
 )"""
-HOPS = f"""WITH RECURSIVE {DATED}, hop AS (
-  SELECT '{START}' AS node, 0 AS distance UNION SELECT adj.other, distance + 1 FROM hop JOIN adj ON hop.node = adj.node WHERE distance < 7
+HOPS = f"""WITH RECURSIVE {PROVEN}, hop AS (
+  SELECT '{START}' AS node, 0 AS distance UNION SELECT padj.other, distance + 1 FROM hop JOIN padj ON hop.node = padj.node WHERE distance < 7
 ), dist AS (SELECT node, min(distance)::INTEGER AS distance FROM hop GROUP BY node)"""
 CHAINS = f"""{HOPS}, back AS (
   SELECT ['{GOAL}'] AS path, '{GOAL}' AS node, d.distance FROM dist d WHERE d.node = '{GOAL}'
-  UNION ALL SELECT list_prepend(adj.other, path), adj.other, back.distance - 1 FROM back JOIN adj ON back.node = adj.node JOIN dist d ON d.node = adj.other
+  UNION ALL SELECT list_prepend(padj.other, path), padj.other, back.distance - 1 FROM back JOIN padj ON back.node = padj.node JOIN dist d ON d.node = padj.other
   WHERE back.distance > 0 AND d.distance = back.distance - 1
 ), chain AS (SELECT path, (len(path) - 1)::INTEGER AS degree FROM back WHERE distance = 0)"""
 RECORDS = "rec AS (SELECT *, (start_day // 365 + 1946)::INTEGER AS season FROM tenures)"
-DEGREES = f"""{EVIDENCE}, padj AS (SELECT a AS node, b AS other FROM ev UNION SELECT b, a FROM ev), deg AS (
+DEGREES = f"""{PROVEN}, deg AS (
   SELECT id, count(other) AS degree FROM players LEFT JOIN padj ON id = node GROUP BY id
 )"""
 VIEW = f"""{PLAYERS}, {TENURES}, {RECORDS}, {COUNTS}, {WITNESSES}, k AS (SELECT * FROM rec WHERE season BETWEEN 1994 AND 1995), vev AS (
@@ -348,10 +361,20 @@ VIEW = f"""{PLAYERS}, {TENURES}, {RECORDS}, {COUNTS}, {WITNESSES}, k AS (SELECT
 
 
 def _pair_sql(nodes: str, links: str, depth: int) -> str:
-    return f"""hop AS (
-  SELECT id AS source, id AS node, 0 AS distance FROM {nodes} UNION SELECT source, l.other, distance + 1 FROM hop JOIN {links} l ON hop.node = l.node WHERE distance < {depth}
-), far AS (SELECT source AS a, node AS b, min(distance)::INTEGER AS distance FROM hop WHERE source < node GROUP BY ALL
-), comp AS (SELECT source, min(node) AS component FROM hop GROUP BY source)"""
+    """far (a, b, distance) and comp (source, component), a level at a time."""
+    new = [f"new1 AS MATERIALIZED (SELECT node AS a, other AS b FROM {links} WHERE node IN (SELECT id FROM {nodes}) AND other IN (SELECT id FROM {nodes}))"]
+    for d in range(2, depth + 1):
+        gone = f"ANTI JOIN new{d - 1} y ON y.a = x.a AND y.b = x.b" + (f" ANTI JOIN new{d - 2} z ON z.a = x.a AND z.b = x.b" if d > 2 else "")
+        new.append(f"new{d} AS MATERIALIZED (SELECT x.a, x.b FROM (SELECT DISTINCT n.a, l.b FROM new{d - 1} n JOIN new1 l ON n.b = l.a WHERE n.a <> l.b) x {gone})")
+    far = " UNION ALL ".join(f"SELECT a, b, {d} AS distance FROM new{d}" for d in range(1, depth + 1))
+    return f"{', '.join(new)}, every AS ({far}), far AS (SELECT * FROM every WHERE a < b), comp AS (SELECT id AS source, min(least(id, coalesce(b, id))) AS component FROM {nodes} LEFT JOIN every ON a = id GROUP BY id)"
+
+
+def _statistics_sql(ctes: str, nodes: str, links: str, depth: int) -> str:
+    return f"""WITH {ctes}, {_pair_sql(nodes, links, depth)}, h AS (SELECT distance, count(*) AS pairs FROM far GROUP BY distance)
+      SELECT (SELECT count(*) FROM {nodes}) AS players, (SELECT count(DISTINCT component) FROM comp) AS components, coalesce(max(distance), 0)::INTEGER AS diameter,
+        ((SELECT count(*) FROM {nodes}) * ((SELECT count(*) FROM {nodes}) - 1) // 2 - coalesce(sum(pairs), 0))::BIGINT AS unreachable_pairs,
+        string_agg(distance || ':' || pairs, ',' ORDER BY distance) AS histogram FROM h"""
 
 
 SQL = {
@@ -367,11 +390,11 @@ SQL = {
       FROM r WHERE place = 1""",
     "edge_totals": f"""WITH {EVIDENCE}, t AS (SELECT a, b, team, sum(overlap_days) AS days FROM ev GROUP BY ALL)
       SELECT a, b, CASE WHEN count(days) = count(*) THEN sum(days)::BIGINT END AS overlap_days FROM t GROUP BY a, b""",
-    "edge_page": f"WITH {DATED} SELECT a, b FROM edge ORDER BY a, b LIMIT 1000 OFFSET 100",
-    "player_edges": f"WITH {DATED} SELECT * FROM dated WHERE a = '{START}' OR b = '{START}'",
-    "edge_lookup": f"WITH {DATED} SELECT * FROM dated WHERE (a = '{START}' AND b = '{GOAL}') OR (a = '{START}' AND b = (SELECT min(b) FROM dated WHERE a = '{START}'))",
-    "edge_page_facts": f"WITH {DATED} SELECT count(*) AS total, CASE WHEN count(*) > 1100 THEN 1100::BIGINT END AS next_offset FROM edge",
-    "adjacency": f"WITH {DATED} SELECT * FROM adj",
+    "edge_page": f"WITH {PROVEN} SELECT a, b FROM pedge ORDER BY a, b LIMIT 1000 OFFSET 100",
+    "player_edges": f"WITH {EVIDENCE} SELECT * FROM ev WHERE a = '{START}' OR b = '{START}'",
+    "edge_lookup": f"WITH {EVIDENCE} SELECT * FROM ev WHERE (a = '{START}' AND b = '{GOAL}') OR (a = '{START}' AND b = (SELECT min(b) FROM ev WHERE a = '{START}'))",
+    "edge_page_facts": f"WITH {PROVEN} SELECT count(*) AS total, CASE WHEN count(*) > 1100 THEN 1100::BIGINT END AS next_offset FROM pedge",
+    "adjacency": f"WITH {PROVEN} SELECT * FROM padj",
     "degrees": f"WITH {DEGREES} SELECT * FROM deg",
     "hubs": f"WITH {DEGREES} SELECT * FROM deg ORDER BY degree DESC, id LIMIT 10",
     "isolated_players": f"WITH {VIEW} SELECT id FROM players WHERE id NOT IN (SELECT a FROM vev UNION SELECT b FROM vev)",
@@ -390,25 +413,23 @@ SQL = {
       SELECT (n - 2)::INTEGER AS place, array_to_string(path, '>') AS path, total::VARCHAR AS total_exact FROM r WHERE n BETWEEN 2 AND 6""",
     "chain_evidence": f"""{CHAINS}, s AS (SELECT array_to_string(path, '>') AS chain, unnest(range(degree)) AS step, path FROM chain),
       l AS (SELECT chain, step::INTEGER AS step, least(path[step + 1], path[step + 2]) AS a, greatest(path[step + 1], path[step + 2]) AS b FROM s)
-      SELECT chain, step, a, b, sum(days)::BIGINT AS days FROM l JOIN dated USING (a, b) GROUP BY ALL""",
+      SELECT chain, step, a, b, count(*) AS proofs FROM l JOIN ev USING (a, b) GROUP BY ALL""",
     "components": f"""WITH RECURSIVE {DEGREES}, reach AS (
         SELECT id AS node, id AS label FROM players UNION SELECT padj.other, label FROM reach JOIN padj ON reach.node = padj.node WHERE label < padj.other)
       SELECT node, min(label) AS component FROM reach GROUP BY node""",
-    "count_graph_statistics": f"""WITH RECURSIVE {COUNTS}, {_pair_sql('users', 'cadj', 8)},
-      h AS (SELECT distance, count(*) AS pairs FROM far GROUP BY distance)
-      SELECT (SELECT count(*) FROM users) AS players, (SELECT count(DISTINCT component) FROM comp) AS components, coalesce(max(distance), 0)::INTEGER AS diameter,
-        ((SELECT count(*) FROM users) * ((SELECT count(*) FROM users) - 1) // 2 - coalesce(sum(pairs), 0))::BIGINT AS unreachable_pairs,
-        string_agg(distance || ':' || pairs, ',' ORDER BY distance) AS histogram FROM h""",
-    "longest_pairs": f"WITH RECURSIVE {COUNTS}, {_pair_sql('users', 'cadj', 8)} SELECT * FROM far ORDER BY distance DESC, a, b LIMIT 10",
+    "count_graph_statistics": _statistics_sql(COUNTS, "users", "cadj", 8),
+    "tenure_graph_statistics": _statistics_sql(DATED, "players", "adj", 10),
+    "union_graph_statistics": _statistics_sql(PROVEN, "players", "padj", 8),
+    "longest_pairs": f"WITH {PROVEN}, {_pair_sql('players', 'padj', 8)} SELECT * FROM far ORDER BY distance DESC, a, b LIMIT 10",
     "neighbourhood_nodes": f"{HOPS} SELECT node AS id, distance FROM dist WHERE distance <= 2 ORDER BY distance, id LIMIT 200",
     "neighbourhood_links": f"""{HOPS}, n AS (SELECT node FROM dist WHERE distance <= 1 ORDER BY distance, node LIMIT 60)
-      SELECT a, b FROM edge WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n) ORDER BY a, b LIMIT 600""",
-    "neighbourhood_facts": f"""WITH {DATED}, near AS (SELECT other AS id FROM adj WHERE node = '{START}' UNION SELECT '{START}'), n AS (SELECT unnest([1, 200])::INTEGER AS asked),
-      shown AS (SELECT asked, id FROM n, (SELECT id, row_number() OVER (ORDER BY id <> '{START}', id) AS place FROM near) WHERE place <= asked)
-      SELECT asked, (SELECT count(*) FROM near) > asked OR (SELECT count(*) FROM edge WHERE a IN (SELECT id FROM shown s WHERE s.asked = n.asked) AND b IN (SELECT id FROM shown s WHERE s.asked = n.asked)) > 600 AS truncated FROM n""",
-    "next_steps": f"""{HOPS}, x AS (SELECT min(b) AS x FROM edge WHERE a = '{START}'), t AS (SELECT max(node) AS t FROM dist WHERE distance = 3),
-      o AS (SELECT other AS node FROM adj JOIN x ON adj.node = x.x JOIN dist ON dist.node = adj.other AND distance = 2)
-      SELECT node, false AS target FROM o UNION ALL SELECT DISTINCT o.node, true FROM o JOIN adj ON adj.node = o.node JOIN t ON adj.other = t.t""",
+      SELECT a, b FROM pedge WHERE a IN (SELECT node FROM n) AND b IN (SELECT node FROM n) ORDER BY a, b LIMIT 600""",
+    "neighbourhood_facts": f"""WITH {PROVEN}, near AS (SELECT other AS id FROM padj WHERE node = '{START}' UNION SELECT '{START}'), n AS (SELECT unnest([1, 200])::INTEGER AS asked),
+      around AS (SELECT asked, id FROM n, (SELECT id, row_number() OVER (ORDER BY id <> '{START}', id) AS place FROM near) WHERE place <= asked)
+      SELECT asked, (SELECT count(*) FROM near) > asked OR (SELECT count(*) FROM pedge WHERE a IN (SELECT id FROM around s WHERE s.asked = n.asked) AND b IN (SELECT id FROM around s WHERE s.asked = n.asked)) > 600 AS truncated FROM n""",
+    "next_steps": f"""{HOPS}, x AS (SELECT min(b) AS x FROM pedge WHERE a = '{START}'), t AS (SELECT max(node) AS t FROM dist WHERE distance = 3),
+      o AS (SELECT other AS node FROM padj JOIN x ON padj.node = x.x JOIN dist ON dist.node = padj.other AND distance = 2)
+      SELECT node, false AS target FROM o UNION ALL SELECT DISTINCT o.node, true FROM o JOIN padj ON padj.node = o.node JOIN t ON padj.other = t.t""",
     "focus_hops": f"{HOPS} SELECT * FROM dist WHERE distance <= 2",
     "edge_weights": f"WITH {WEIGHED} SELECT a, b, weight, primary_team FROM weighed",
     "top_links": f"""WITH {WEIGHED}, s AS (SELECT a, b, weight, a AS node FROM weighed UNION ALL SELECT a, b, weight, b FROM weighed),

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.plans import graph_queries, tenure_queries, text_queries
+from linkloom.plans import fact_queries, graph_queries, person_queries, service_queries, tenure_queries, text_queries
 
-_PARTS = (graph_queries, tenure_queries, text_queries)
+_PARTS = (graph_queries, fact_queries, tenure_queries, person_queries, service_queries, text_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -134,8 +134,11 @@ def membership_difference(spark, sf_dir):
 
 
 def difference_shape(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
-    return reconcile.difference_shape(a.join(b, ["player", "team", "season"], "left_anti"), b, 1993, 1997)
+    """The sides with a season every ten years; the other source shows every fourth player's teams all the same."""
+    apart = (1994 + (F.col("season") - 1993) * 10).cast("int")
+    a, b = (x.withColumn("season", apart) for x in _sides(spark, sf_dir))
+    seen = b.union(a.filter("player % 4 = 0").select(b.columns))
+    return reconcile.difference_shape(a.join(b, ["player", "team", "season"], "left_anti"), seen)
 
 
 def membership_union(spark, sf_dir):
@@ -201,21 +204,6 @@ def day_arithmetic(spark, sf_dir):
     )
 
 
-def name_bridge(spark, sf_dir):
-    """Customers bridged to the same customers with every third name changed by one letter and every fifth birth unknown."""
-    c = tables.table(spark, sf_dir, "customer")
-    born = F.date_add(F.lit("1950-01-01").cast("date"), (F.col("c_custkey") % 9000).cast("int"))
-    name = lambda k: F.concat(F.translate(F.lpad((k % 97).cast("string"), 3, "0"), "0123456789", "abcdefghij"), F.lit(" "), F.translate(F.lpad(k.cast("string"), 7, "0"), "0123456789", "klmnopqrst"))
-    k = F.col("c_custkey")
-    left = c.select(k.cast("string").alias("id"), name(k).alias("name"), born.alias("born"), (1970 + k % 30).cast("int").alias("first_season"), (1975 + k % 30).cast("int").alias("last_season"))
-    changed = F.when(k % 3 == 0, F.concat(name(k), F.lit("x"))).otherwise(name(k))
-    right = c.select(
-        F.concat(F.lit("r"), k.cast("string")).alias("id"), changed.alias("name"), F.when(k % 5 != 0, born).alias("born"),
-        (1970 + k % 30).cast("int").alias("first_season"), (1976 + k % 30).cast("int").alias("last_season"),
-    )
-    return reconcile.bridge(left, right)
-
-
 def bounded_texts(spark, sf_dir):
     d = tables.table(spark, sf_dir, "documents")
     return d.select("doc_id", text.bounded_text(F.col("text"), 500).alias("short"), text.contains_phrase(F.col("text"), F.lit("the")).alias("has_the"))
@@ -226,7 +214,7 @@ QUERIES = {
     for f in (
         season_windows, anchors, stints, reconstructed_tenures, tenure_coverage, certified_tenures, coverage_gaps, fetch_failures, capacity_audit, appearance_conflicts, pair_classes, active_contracts,
         carried_arrivals, games_inside_stints, membership_difference, difference_shape, membership_union, headline_counts, franchise_as_of, appearance_export,
-        snapshot_join, orphan_lines, ring_buffer, class_examples, day_arithmetic, name_bridge, bounded_texts,
+        snapshot_join, orphan_lines, ring_buffer, class_examples, day_arithmetic, bounded_texts,
     )
 }
 
@@ -350,9 +338,11 @@ SQL = {
     "games_inside_stints": f"""WITH {STINTS}, st AS (SELECT * EXCLUDE (day) FROM stint) SELECT player, s.team, count(DISTINCT game_id) AS games FROM game JOIN st s ON game.team = s.team AND start_day <= day AND day < end_day GROUP BY ALL""",
     "membership_difference": f"""WITH {SIDES} SELECT CASE WHEN season > 1996 THEN 'left-only-after-1996' ELSE 'left-only' END AS side, * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
       UNION ALL SELECT CASE WHEN season > 1996 THEN 'right-only-after-1996' ELSE 'right-only' END, * FROM (SELECT * FROM b EXCEPT SELECT * FROM a)""",
-    "difference_shape": f"""WITH {SIDES}, d AS (SELECT * FROM a EXCEPT SELECT * FROM b)
-      SELECT *, CASE WHEN season < 1993 THEN 'before-source' WHEN season > 1997 THEN 'after-source'
-        WHEN EXISTS (SELECT 1 FROM b WHERE b.player = d.player AND b.season = d.season) THEN 'other-teams' ELSE 'no-event' END AS shape FROM d""",
+    "difference_shape": f"""WITH {SIDES}, p AS (SELECT player, team, 1994 + (season - 1993) * 10 AS season FROM a), q AS (SELECT player, team, 1994 + (season - 1993) * 10 AS season FROM b),
+      d AS (SELECT * FROM p EXCEPT SELECT * FROM q), s AS (SELECT * FROM q UNION SELECT * FROM p WHERE player % 4 = 0)
+      SELECT player, team, season::INTEGER AS season, CASE WHEN season > 2023 THEN 'S1-ends-2022-23' WHEN season < 1997 THEN 'S1-no-per-player-evidence-pre-1997'
+        WHEN EXISTS (FROM s WHERE s.player = d.player AND s.season = d.season AND s.team = d.team) THEN 'S1-pbp-shows-team-rowset-artifact'
+        WHEN EXISTS (FROM s WHERE s.player = d.player AND s.season = d.season) THEN 'S1-pbp-shows-other-teams-same-season' ELSE 'S1-pbp-no-event-for-player' END AS shape FROM d""",
     "membership_union": f"WITH {SIDES} SELECT *, 'base' AS membership_source FROM a UNION ALL SELECT *, 'supplement' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)",
     "headline_counts": f"""WITH {SIDES}, x AS (SELECT DISTINCT player AS id FROM a WHERE season = 1995), y AS (SELECT DISTINCT player AS id FROM b WHERE season = 1996)
       SELECT count(*) FILTER (x.id IS NOT NULL AND y.id IS NOT NULL) AS "both", count(*) FILTER (y.id IS NULL) AS left_only, count(*) FILTER (x.id IS NULL) AS right_only, count(*) AS either

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.functions import text
-from linkloom.operators import evidence, intervals, judgments, layout, neighbourhood, provenance, search, tenure
+from linkloom.operators import backbone, evidence, intervals, judgments, layout, neighbourhood, provenance, search, tenure
+from linkloom.plans.graph_queries import EVIDENCE, START, WEIGHED, evidence_rows
+from linkloom.scratch import materialise
 from linkloom.sources import tables, transactions
 
 
@@ -88,10 +90,37 @@ def transaction_movements(spark, sf_dir):
     return legs.select("page_id", "slug", "name", "depart", "arrive", "scope", "action")
 
 
+#: A sentence of each shape, and what it reports.
+_SAID = (
+    ("The Hawks traded Al Low to the Kings for a pick.", "trade", "nba-roster"),
+    ("The Hawks signed Al Low as a free agent.", "sign", "nba-roster"),
+    ("The Hawks re-signed Al Low.", "resign", "nba-roster"),
+    ("The Hawks waived Al Low.", "waive", "nba-roster"),
+    ("The Hawks released Al Low.", "release", "nba-roster"),
+    ("Al Low was claimed on waivers by the Hawks.", "claim", "nba-roster"),
+    ("The contract expires for Al Low, who was not re-signed.", "contract-expiration", "nba-roster"),
+    ("Al Low did not sign with the Hawks.", "other", "unresolved"),
+    ("The Hawks fired Al Low as head coach.", "coach-fire", "non-roster"),
+    ("The Hawks hired Al Low as Assistant Coach.", "coach-hire", "non-roster"),
+    ("Al Low, head coach, was signed.", "coach-other", "non-roster"),
+    ("The Hawks converted Al Low from a two-way contract to a regular contract.", "contract-conversion", "non-roster"),
+    ("The Hawks sold the player rights to Al Low to the Kings.", "rights-transfer", "non-roster"),
+    ("The Hawks assigned Al Low to the Skyforce of the G-League.", "g-league-assignment", "non-roster"),
+    ("The Hawks recalled Al Low from the D-League.", "g-league-recall", "non-roster"),
+    ("Al Low was transferred to the development league.", "g-league-loan-or-transfer", "non-roster"),
+    ("The Hawks signed Al Low to a contract extension.", "extension", "non-roster"),
+    ("Al Low was selected in the dispersal draft.", "dispersal", "nba-roster"),
+    ("Al Low retired.", "other", "unresolved"),
+    ("The waiver of Al Low ran out.", "claim", "nba-roster"),
+)
+
+
 def event_classes(spark, sf_dir):
-    p = tables.table(spark, sf_dir, "pages")
-    c = transactions.event_class(F.col("html"))
-    return p.select("page_id", c.alias("event_class"), transactions.event_scope(c).alias("event_scope"))
+    """Orders as sentences, one of each shape in turn, half of them in capitals."""
+    said = F.get(F.array(*[F.lit(s) for s, _, _ in _SAID]), (F.col("o_orderkey") % len(_SAID)).cast("int"))
+    o = tables.table(spark, sf_dir, "orders").withColumn("said", F.when(F.col("o_custkey") % 2 == 0, F.upper(said)).otherwise(said))
+    c = transactions.event_class(F.col("said"))
+    return o.select("o_orderkey", c.alias("event_class"), transactions.event_scope(c).alias("event_scope"))
 
 
 def accepted_choices(spark, sf_dir):
@@ -142,7 +171,7 @@ def evidence_pages(spark, sf_dir):
     t = tables.tenures(spark, sf_dir)
     witnesses = evidence.coparticipations(tables.appearances(spark, sf_dir))
     rows = evidence.evidence_rows(t, tables.counts(spark, sf_dir), witnesses, tables.players(spark, sf_dir))
-    overlaps = intervals.record_overlaps(rows.filter("kind_rank = 0"), t.withColumn("record", F.concat_ws(":", "player", F.col("start_day").cast("string"))))
+    overlaps = intervals.record_overlaps(t.withColumn("record", F.concat_ws(":", "player", F.col("start_day").cast("string"))))
     page = provenance.evidence_page(rows, overlaps)
     return page.select("a", "b", "kind_rank", "team", "text", F.coalesce(F.size("overlaps"), F.lit(0)).alias("n_overlaps"))
 
@@ -152,7 +181,7 @@ def content_ids(spark, sf_dir):
 
 
 def snapshot_identity(spark, sf_dir):
-    return provenance.snapshot_identity({n: tables.table(spark, sf_dir, n) for n in ("customer", "part", "orders")}).select("table", "rows")
+    return provenance.snapshot_identity({n: tables.table(spark, sf_dir, n) for n in ("customer", "part", "orders", "nation")})
 
 
 def telemetry_summary(spark, sf_dir):
@@ -188,6 +217,17 @@ def _hits(where: str, kind: str, name: str, score: int, status: str, limit: int)
 
 
 _STATUS = "CASE WHEN (SELECT count(*) FROM h) > 1 THEN 'ambiguous' ELSE '{}' END"
+_COLUMNS = {
+    "customer": "c_acctbal c_custkey c_mktsegment c_name c_nationkey", "nation": "n_name n_nationkey n_regionkey",
+    "orders": "o_custkey o_orderdate o_orderkey o_orderpriority o_orderstatus o_totalprice", "part": "p_brand p_name p_partkey p_retailprice p_size p_type",
+}
+
+
+def _identity_sql(name: str) -> str:
+    text = " || chr(31) || ".join(f"{c}::VARCHAR" for c in _COLUMNS[name].split())
+    return f"SELECT '{name}' AS \"table\", count(*) AS rows, sha256(sum(('0x' || md5({text})[1:15])::BIGINT)::VARCHAR) AS digest FROM {name}"
+
+
 SQL = {
     "search_exact": _hits("name = (SELECT min(p_name) FROM part)", "exact_name", "name", 1000, _STATUS.format("exact_match"), 50),
     "search_alias": _hits("alias = 'Alias 17'", "alias", "alias", 950, _STATUS.format("candidates"), 20),
@@ -215,6 +255,15 @@ SQL = {
       SELECT k AS page_id, 'c' || c AS slug, 'Player & ' || c AS name, CASE WHEN NOT sign THEN 'T' || (k % 30) END AS depart,
         CASE WHEN sign THEN 'T' || (k % 30) ELSE 'T' || ((k + 1) % 30) END AS arrive, 'nba-roster' AS scope, CASE WHEN sign THEN 'sign' ELSE 'trade' END AS action FROM o
       UNION ALL SELECT k, 'c' || (c + 1), 'Player & ' || (c + 1), 'T' || ((k + 1) % 30), 'T' || (k % 30), 'nba-roster', 'trade' FROM o WHERE NOT sign""",
+    "event_classes": f"""SELECT o_orderkey, [{", ".join(f"'{c}'" for _, c, _ in _SAID)}][o_orderkey % {len(_SAID)} + 1] AS event_class,
+      [{", ".join(f"'{s}'" for _, _, s in _SAID)}][o_orderkey % {len(_SAID)} + 1] AS event_scope FROM orders""",
+    "evidence_pages": f"""WITH {EVIDENCE}, n AS (SELECT x.player AS a, y.player AS b, team, count(*)::INTEGER AS n FROM tenures x JOIN tenures y USING (team)
+        WHERE x.player < y.player AND x.start_day < y.end_day AND y.start_day < x.end_day GROUP BY ALL)
+      SELECT e.a, e.b, e.kind_rank, e.team, CASE e.kind_rank WHEN 0 THEN 'Memberships overlap by ' || e.overlap_days || ' overlapping days'
+          WHEN 1 THEN c.a_games || ' and ' || c.b_games || ' of ' || c.team_games || ' games: ' || c.minimum_shared_games || ' shared at least' ELSE 'Both took part in game ' || e.game_id || ' on ' || w.date END AS text,
+        CASE WHEN e.kind_rank = 0 THEN n.n ELSE 0 END AS n_overlaps
+      FROM ev e LEFT JOIN n ON n.a = e.a AND n.b = e.b AND n.team = e.team LEFT JOIN counted c ON e.kind_rank = 1 AND c.a = e.a AND c.b = e.b AND c.team = e.team AND c.season = e.season
+        LEFT JOIN witness w ON e.kind_rank = 2 AND w.a = e.a AND w.b = e.b AND w.team = e.team AND w.season = e.season""",
     "accepted_choices": """WITH e AS (SELECT event_id, (event_id % 101) / 100.0::DOUBLE AS p, (event_id % 7) / 6.0::DOUBLE AS c FROM events),
       s AS (SELECT event_id, c, event_id % 13 <> 0 AS sums, CASE WHEN event_id % 3 = 0 THEN 1 - p ELSE p END AS own FROM e)
       SELECT event_id, CASE WHEN sums AND own >= 0.95::DOUBLE AND c >= 0.95::DOUBLE AND own - (1 - own) >= 0.25::DOUBLE THEN CASE WHEN event_id % 3 = 0 THEN 'o001' ELSE 'o000' END END AS chosen FROM s""",
@@ -233,7 +282,7 @@ SQL = {
       SELECT player, record, (row_number() OVER (PARTITION BY player ORDER BY record))::INTEGER AS place, count(*) OVER (PARTITION BY player) AS total FROM r
       QUALIFY row_number() OVER (PARTITION BY player ORDER BY record) <= 10""",
     "content_ids": """SELECT n_nationkey, sha256('{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}')[1:16] AS content_id FROM nation""",
-    "snapshot_identity": """SELECT 'customer' AS "table", count(*) AS rows FROM customer UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'orders', count(*) FROM orders""",
+    "snapshot_identity": " UNION ALL ".join(_identity_sql(n) for n in ("customer", "nation", "orders", "part")),
     "telemetry_summary": "SELECT event_type AS kind, count(*) AS n, min(ts) AS first, max(ts) AS last, round(avg(value), 6) AS mean_value FROM events GROUP BY 1",
     "evidence_classes": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'unresolved' WHEN o_orderkey % 6 = 0 THEN 'directly-evidenced'
       WHEN (o_orderkey % 2 = 0 OR o_orderkey % 3 = 0) AND o_orderkey % 5 = 0 THEN 'cross-checked' ELSE 'inferred' END AS evidence_class FROM orders""",
@@ -250,11 +299,11 @@ def era_lane_layout(spark, sf_dir):
 
 
 def concentric_layout(spark, sf_dir):
-    edges = intervals.overlap_pairs(tables.tenures(spark, sf_dir))
-    weighted = edges.groupBy("a", "b").agg(F.sum("days").cast("double").alias("weight"), F.min("team").alias("primary_team"))
-    links = evidence.adjacency(edges)
-    hops = neighbourhood.focus_hops(links, "P000000001")
-    found = layout.concentric(_nodes(spark, sf_dir), weighted, links, hops, "P000000001")
+    """Around a player by all three proofs."""
+    rows = materialise(evidence_rows(spark, sf_dir), "rows")
+    weighted = materialise(backbone.edge_weights(rows).withColumn("weight", F.round("weight", 6)), "weighted")
+    links = materialise(evidence.adjacency(rows), "links")
+    found = layout.concentric(_nodes(spark, sf_dir), weighted, links, neighbourhood.focus_hops(links, START), START)
     return found.select("id", "ring", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
@@ -284,6 +333,26 @@ _LANES = """b AS (SELECT 'P' || lpad(c_custkey::VARCHAR, 9, '0') AS id, CASE WHE
   p AS (SELECT id, (year - 1947) * 110.0::DOUBLE + (h % 1000) / 1000.0::DOUBLE * 105.0::DOUBLE AS x, (((h // 1000) % 10000) / 10000.0::DOUBLE - 0.5::DOUBLE) * 5200.0::DOUBLE AS y FROM h)"""
 SQL |= {
     "era_lane_layout": f"WITH {_LANES} SELECT id, round(x, 6) AS x, round(y, 6) AS y FROM p",
+    "concentric_layout": f"""WITH RECURSIVE {WEIGHED}, wadj AS (SELECT a AS node, b AS other FROM weighed UNION SELECT b, a FROM weighed),
+      own AS (SELECT CASE WHEN a = '{START}' THEN b ELSE a END AS id, weight, primary_team AS team FROM weighed WHERE a = '{START}' OR b = '{START}'),
+      hop AS (SELECT '{START}' AS id, 0 AS ring UNION ALL SELECT id, 1 FROM own UNION ALL
+        SELECT DISTINCT other, 2 FROM own JOIN wadj ON node = id WHERE other <> '{START}' AND other NOT IN (SELECT id FROM own)),
+      via AS (SELECT h.id, arg_min(own.team, own.id) AS team FROM hop h JOIN wadj ON wadj.node = h.id JOIN own ON own.id = wadj.other WHERE h.ring = 2 GROUP BY h.id),
+      n AS (SELECT 'P' || lpad(c_custkey::VARCHAR, 9, '0') AS id, CASE WHEN c_custkey % 10 <> 0 THEN 1950 + c_custkey % 60 END AS debut FROM customer),
+      p AS (SELECT n.id, debut, coalesce(ring, 3)::INTEGER AS ring, coalesce(CASE WHEN ring = 1 THEN own.team END, via.team, '~') AS team
+        FROM n LEFT JOIN hop ON hop.id = n.id LEFT JOIN own ON own.id = n.id LEFT JOIN via ON via.id = n.id),
+      k AS (SELECT *, row_number() OVER (PARTITION BY ring, team ORDER BY debut NULLS LAST, id) - 1 AS k, count(*) OVER (PARTITION BY ring, team) AS members,
+        row_number() OVER (PARTITION BY ring ORDER BY team, debut NULLS LAST, id) - 1 AS turn, count(*) OVER (PARTITION BY ring) AS size FROM p),
+      r AS (SELECT own.id, (row_number() OVER (ORDER BY weight DESC, debut NULLS FIRST, own.id) - 1)::DOUBLE / greatest(count(*) OVER () - 1, 1) AS rank FROM own LEFT JOIN n ON n.id = own.id),
+      c AS (SELECT coalesce(team, '') AS team, count(*)::DOUBLE AS links FROM own GROUP BY 1), c2 AS (SELECT *, count(*) OVER () AS n, least(0.055::DOUBLE, 1.0::DOUBLE / count(*) OVER ()) AS gap FROM c),
+      c3 AS (SELECT *, 2 * pi() - gap * n AS room, least(0.18::DOUBLE, (2 * pi() - gap * n) / (2.0::DOUBLE * n)) AS least FROM c2),
+      c4 AS (SELECT *, least + (room - least * n) * links / sum(links) OVER () AS width FROM c3),
+      s AS (SELECT team, width, coalesce(sum(width + gap) OVER (ORDER BY team = '', team ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) - pi() / 2 AS start FROM c4),
+      g AS (SELECT k.*, s.start, s.width, r.rank, k * 0.618033988749895::DOUBLE - floor(k * 0.618033988749895::DOUBLE) AS spiral,
+        CASE ring WHEN 1 THEN 220.0::DOUBLE WHEN 2 THEN 620 ELSE 1300 END AS inside, CASE ring WHEN 1 THEN 460.0::DOUBLE WHEN 2 THEN 1020 ELSE 1900 END AS outside FROM k LEFT JOIN s USING (team) LEFT JOIN r USING (id)),
+      f AS (SELECT *, CASE WHEN ring = 1 THEN inside + coalesce(rank, 0) * (outside - inside) ELSE sqrt(inside * inside + spiral * (outside * outside - inside * inside)) END AS radius,
+        CASE WHEN ring <= 2 AND start IS NOT NULL THEN start + width * (k + 0.5::DOUBLE) / members ELSE 2 * pi() * turn / size END AS angle FROM g)
+      SELECT id, ring, CASE WHEN ring = 0 THEN 0 ELSE round(radius * cos(angle), 4) END AS x, CASE WHEN ring = 0 THEN 0 ELSE round(radius * sin(angle), 4) END AS y FROM f""",
     "path_ring_layout": """WITH n AS (SELECT 'P' || lpad(c_custkey::VARCHAR, 9, '0') AS id FROM customer),
       r AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM n WHERE id NOT IN ('P000000001', 'P000000002')),
       a AS (SELECT id, 150.0::DOUBLE + (k // 12) * 100.0::DOUBLE AS radius, 2 * pi() * (k % 12) / least(n - (k // 12) * 12, 12) - pi() / 2 AS angle FROM r)

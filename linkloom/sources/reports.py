@@ -36,16 +36,20 @@ class Report:
     witnesses: DataFrame
 
 
-def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, ddl: str, multiline: bool = True) -> DataFrame:
     """A CSV with a header, bound by name: extra columns are ignored, missing ones are empty, bad numbers fail.
 
-    A byte-order mark at the head is no part of the first name. ``record_no`` is the file's line number as
-    the reports count it: the header is 1.
+    A byte-order mark at the head is no part of the first name. ``record_no`` is the record's line in its file as the reports count
+    it: the header is 1. With ``multiline`` a field may hold line breaks, and a file is read by one task, as nothing but a read
+    from its head tells where a record begins; without, large files are read in splits, and a split's records are counted on from
+    those of the splits before it. What meets on the driver is a count for each split.
     """
     schema = T.StructType.fromDDL(ddl)
-    raw = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", True).option("encoding", "UTF-8").csv(path)
-    raw = raw.toDF(*[c.removeprefix("﻿") for c in raw.columns])
-    raw = raw.withColumn("record_no", F.monotonically_increasing_id() + 2)
+    raw = spark.read.option("header", True).option("mode", "FAILFAST").option("multiLine", multiline).option("encoding", "UTF-8").csv(path)
+    names = [c.removeprefix("\ufeff") for c in raw.columns]
+    split = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    raw = raw.select("*", split.alias("_split"), F.monotonically_increasing_id().alias("_row")).toDF(*names, "_split", "_row")
+    raw = raw.join(F.broadcast(_split_starts(raw)), "_split").withColumn("record_no", F.col("_row") - F.col("_first") + F.col("_before") + 2)
     have = set(raw.columns)
 
     def field(f: T.StructField):
@@ -59,6 +63,17 @@ def read_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     return raw.select(*[field(f) for f in schema], "record_no")
 
 
+def _split_starts(raw: DataFrame) -> DataFrame:
+    """(_split, _first, _before): the first row id of each split, and how many records of its file come before it."""
+    found = raw.groupBy("_split").agg(F.min("_row").alias("first"), F.count("*").alias("n")).collect()
+    rows, file, before = [], None, 0
+    for r in sorted(found, key=lambda r: (r["_split"]["file"], r["_split"]["at"])):
+        before = before if r["_split"]["file"] == file else 0
+        rows.append((r["_split"], r["first"], before))
+        file, before = r["_split"]["file"], before + r["n"]
+    return raw.sparkSession.createDataFrame(rows, T.StructType([raw.schema["_split"], T.StructField("_first", T.LongType()), T.StructField("_before", T.LongType())]))
+
+
 def _none(df: DataFrame, what: str) -> None:
     bad = df.first()
     if bad is not None:
@@ -152,6 +167,10 @@ def report_coverage(report: Report) -> DataFrame:
     return report.tenures.agg(F.count("*").alias("certified")).join(F.broadcast(classes)).join(F.broadcast(bare)).withColumn("complete", F.lit(False))
 
 
-def write_report(df: DataFrame, path: str, order: list[str]) -> None:
-    """One CSV with a header in a total order."""
-    df.coalesce(1).sortWithinPartitions(*order).write.option("header", True).option("lineSep", "\n").csv(path)
+def write_report(df: DataFrame, path: str, order: list[str], files: int | None = None) -> None:
+    """CSV files with headers whose names are in a total order of the rows: every file's rows come before the next one's.
+
+    Rows are dealt out by ranges of ``order``, so no task holds the table; ``files`` = 1 is for small reports that must be one file.
+    """
+    dealt = df.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order)
+    dealt.write.option("header", True).option("lineSep", "\n").csv(path)

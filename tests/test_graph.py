@@ -1,5 +1,6 @@
 import itertools
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -46,20 +47,34 @@ def test_statistics_of_the_small_roster(roster):
     histogram, longest = statistics.pair_distances(players, links)
     first = [tuple(x) for x in longest.collect()]
     assert len(first) == 10 and first[0] == ("C", "E", 3) and all("D" not in x for x in first)
-    by_joins, far = statistics.pair_distances(players, links, most_edges=0)
-    assert sorted(map(tuple, by_joins.collect())) == sorted(map(tuple, histogram.collect()))
-    assert [tuple(x) for x in far.collect()] == first
+    assert sorted(map(tuple, histogram.collect())) == [(1, 5), (2, 3), (3, 2)]
+    assert [x.count() for x in statistics.pair_distances(players, links.limit(0))] == [0, 0]
     hubs = statistics.hubs(evidence.degrees(edges, players)).collect()
     assert [tuple(h) for h in hubs] == [("B", 3), ("A", 2), ("C", 2), ("C2", 2), ("E", 1), ("D", 0)]
 
 
-def test_statistics_of_more_than_one_word_of_sources(spark):
-    n = 150
-    players = spark.createDataFrame([(f"n{i:03d}",) for i in range(n)], "id string")
-    edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(n - 1)], "a string, b string")
-    histogram, longest = statistics.pair_distances(players, evidence.adjacency(edges))
-    assert {r["distance"]: r["pairs"] for r in histogram.collect()} == {d: n - d for d in range(1, n)}
-    assert [tuple(r) for r in longest.limit(2).collect()] == [("n000", "n149", 149), ("n000", "n148", 148)]
+@pytest.mark.parametrize("words", [1, 16])
+def test_statistics_of_more_than_one_row_of_sources(spark, monkeypatch, words):
+    monkeypatch.setattr(statistics, "WORDS", words)
+    monkeypatch.setattr(statistics, "_SOURCES", 64 * words)
+    rng, n = random.Random(7), 150
+    edges = {tuple(sorted(rng.sample(range(n), 2))) for _ in range(170)} | {(i, i + 1) for i in range(140, 147)}
+    far = {}
+    near = {i: {y if x == i else x for x, y in edges if i in (x, y)} for i in range(n)}
+    for i in range(n):
+        seen, level, d = {i}, {i}, 0
+        while level:
+            d += 1
+            level = {k for j in level for k in near[j]} - seen
+            seen |= level
+            far |= {(i, j): d for j in level if i < j}
+    name = lambda i: f"n{i:03d}"
+    players = spark.createDataFrame([(name(i),) for i in range(n)], "id string")
+    rows = spark.createDataFrame([(name(a), name(b)) for a, b in edges] + [("other", name(0))], "a string, b string")
+    histogram, longest = statistics.pair_distances(players, evidence.adjacency(rows), top=25)
+    assert {r["distance"]: r["pairs"] for r in histogram.collect()} == dict(Counter(far.values()))
+    want = sorted((-d, a, b) for (a, b), d in far.items())[:25]
+    assert [tuple(r) for r in longest.collect()] == [(name(a), name(b), -d) for d, a, b in want]
 
 
 def test_chains(spark, roster):

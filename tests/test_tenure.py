@@ -200,20 +200,6 @@ def test_as_of_needs_exactly_one(spark):
     assert {r["fact"]: r["franchise"] for r in reconcile.as_of(facts, eras).collect()} == {1: "F1", 2: "ambiguous", 3: "F2", 4: "unresolved"}
 
 
-PERSON = "id string, name string, born date, first_season int, last_season int"
-
-
-def test_bridge_rules(spark):
-    from datetime import date
-
-    d = date(1950, 1, 2)
-    left = [("1", "José Calderón", d, 2000, 2005), ("2", "Herbert Hill", date(1984, 5, 5), 2008, 2008), ("3", "Johnny Kerr", None, 1955, 1966), ("4", "John Smith", d, 1, 2), ("5", "Bob Jones Jr.", d, 1, 2), ("6", "Nobody Atall", None, 1, 2)]
-    right = [("c", "Jose Calderon", d, 2000, 2005), ("h", "Armond Hill", date(1953, 3, 31), 1977, 1984), ("k", "Red Kerr", date(1932, 7, 17), 1954, 1967), ("s1", "John Smith", None, 30, 40), ("s2", "John Smith", None, 50, 60), ("j", "Bob Jones", d, 1, 2)]
-    got = {r["left"]: (r["right"], r["rule"]) for r in reconcile.bridge(spark.createDataFrame(left, PERSON), spark.createDataFrame(right, PERSON)).collect()}
-    assert got["1"] == ("c", "name+birth") and got["2"] == (None, "no-match") and got["3"] == ("k", "surname+career-span")
-    assert got["4"] == (None, "ambiguous") and got["5"] == ("j", "name+birth") and got["6"] == (None, "no-match")
-
-
 def test_export_reasons(spark):
     m = spark.createDataFrame([("a", "T", 1, 5, "r1"), ("b", "T", 1, 5, "r2"), ("b", "T", 1, 6, "r3"), ("c", "U", 1, 5, "r4"), ("d", "T", 1, 99, "r5")], "player string, team string, season int, games int, record string")
     g = spark.createDataFrame([("T", 1, 82, "g1")], "team string, season int, team_games int, record string")
