@@ -65,11 +65,20 @@ class Segmenter:
         return -math.log(self.total) - length * math.log(10)
 
     def split(self, run: str) -> list[str]:
+        """The best split, of equals the one whose last word is longest. A known word beats its letters as an unknown one, so
+        only known words' lengths and the best place for an unknown one to begin are tried at each letter."""
+        step, lengths = math.log(10), sorted({len(w) for w in self.log_p})
         best, back = [0.0], [0]
+        least, start = 0.0, 0  # the best of best[at] + at * step, and the first place that has it
         for end in range(1, len(run) + 1):
-            score, at = max((best[at] + self.log_p.get(run[at:end], self._unknown(end - at)), -at) for at in range(end))
+            score, at = max(
+                [(best[start] + self._unknown(end - start), -start)]
+                + [(best[end - n] + self.log_p[w], n - end) for n in lengths if n <= end and (w := run[end - n : end]) in self.log_p]
+            )
             best.append(score)
             back.append(-at)
+            if score + end * step > least:
+                least, start = score + end * step, end
         words, end = [], len(run)
         while end:
             words.append(run[back[end] : end])
@@ -80,15 +89,23 @@ class Segmenter:
 def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
     """(run, words) for each distinct ``run`` of letters, split by the unigram model of ``counts`` (word, n).
 
-    Only what a run holds is looked up: its substrings, no longer than the longest word, meet the counts in a join, so
-    the vocabulary stays a table however large it grows.
+    Only what a run holds is looked up, in joins, so the vocabulary stays a table however large it grows. A word of 2^k letters or
+    more, but no 2^(k+1), is met by its first 2^k letters: from each letter of a run the beginnings of 1, 2, 4, ... letters are looked up among
+    those, and only the lengths of words found so are looked for. So a run of n letters asks for n log n beginnings.
     """
-    total, longest = counts.agg(F.sum("n"), F.max(F.char_length("word"))).first()
-    starts = runs.select("run", F.explode(F.sequence(F.lit(1), F.char_length("run"))).alias("start"))
-    lengths = F.sequence(F.lit(1), F.least(F.char_length("run") - F.col("start") + 1, F.lit(longest or 1)))
-    parts = starts.select("run", "start", F.explode(lengths).alias("length"))
-    parts = parts.select("run", F.substring("run", F.col("start"), F.col("length")).alias("word")).distinct()
-    known = parts.join(counts, "word").groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))
+    total = counts.agg(F.sum("n")).first()[0]
+    doubled = lambda size: F.transform(F.sequence(F.lit(0), F.length(F.bin(size)) - 1), lambda k: F.pow(F.lit(2), k).cast("int"))
+    begin = lambda word, at: F.xxhash64(F.substring(word, at, F.col("power")), F.col("power"))
+    top = F.pow(F.lit(2), F.length(F.bin(F.char_length("word"))) - 1).cast("int")
+    begins = counts.withColumn("power", top).select(begin("word", F.lit(1)).alias("h"), F.char_length("word").alias("length")).distinct()
+    named = runs.select("run", F.md5("run").alias("key"), F.char_length("run").alias("size"))
+    starts = named.select("key", "run", "size", F.explode(F.sequence(F.lit(1), F.col("size"))).alias("start"))
+    # the rest of the run first: what begins there is then read from its head
+    rests = starts.select("key", "start", "size", F.substring("run", F.col("start"), F.col("size")).alias("rest"))
+    asked = rests.select("key", "start", "size", "rest", F.explode(doubled(F.col("size") - F.col("start") + 1)).alias("power"))
+    met = asked.select("key", "start", "size", begin("rest", F.lit(1)).alias("h")).join(begins, "h").filter("length <= size - start + 1")
+    parts = met.select("key", "start", "length").join(named, "key").select("key", F.substring("run", F.col("start"), F.col("length")).alias("word")).distinct()
+    known = parts.join(counts, "word").groupBy("key").agg(F.collect_list(F.struct("word", "n")).alias("known"))
 
     @F.pandas_udf("array<string>")
     def split(run: pd.Series, words: pd.Series) -> pd.Series:
@@ -97,7 +114,7 @@ def split_runs(runs: DataFrame, counts: DataFrame) -> DataFrame:
             made.append(Segmenter({w["word"]: w["n"] for w in found} if found is not None else {}, total or 0).split(r))
         return pd.Series(made, dtype=object)
 
-    return runs.join(known, "run", "left").select("run", split("run", "known").alias("words"))
+    return named.join(known, "key", "left").select("run", split("run", "known").alias("words"))
 
 
 def host_tokens(hosts: DataFrame, counts: DataFrame) -> DataFrame:
