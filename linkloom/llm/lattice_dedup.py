@@ -84,8 +84,9 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, scale: f
     return out
 
 
-def _unit(vectors: pd.Series) -> np.ndarray:
-    x = np.stack(vectors.to_numpy()).astype(np.float64)
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one. Each is brought to a largest component of one first, as squares of very small or large ones leave a double's range."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -101,7 +102,7 @@ def _codes(vector: Column, tables: int, probes: int, scale: float) -> Column:
         out = pd.Series([None] * len(vectors), dtype=object)
         lengths = vectors.map(len)
         for _, part in vectors.groupby(lengths, sort=False):
-            for at, row in zip(part.index, cells(_unit(part), tables, probes, scale).reshape(len(part), -1), strict=True):
+            for at, row in zip(part.index, cells(_unit(np.stack(part.to_numpy()).astype(np.float64)), tables, probes, scale).reshape(len(part), -1), strict=True):
                 out[at] = row
         return out
 
@@ -196,7 +197,7 @@ def cell_links(members: DataFrame, least: float, tables: int, probes: int, scale
                 if upto - at < 2:
                     continue
                 x = flat[offsets[at] : offsets[upto]].reshape(upto - at, -1).astype(np.float64)
-                group = {n: v[at:upto] for n, v in col.items()} | {"unit": x / np.linalg.norm(x, axis=1, keepdims=True)}
+                group = {n: v[at:upto] for n, v in col.items()} | {"unit": _unit(x)}
                 if (found := compare(int(col["table"][at]), int(col["cell"][at]), group)) is not None:
                     out.append(found)
             if out:
@@ -220,8 +221,9 @@ def near_duplicates(
     Vectors link when their labels are equal and not null, their lengths are equal and their cosine is
     ``least`` or more. Vectors that are null, empty, zero or hold null or non-finite components link
     with nothing, nor do rows without a label or an id. Equal vectors of a label are one node that
-    counts its copies, so copies aren't paired; repeated rows are copies. Other columns aren't read; an
-    empty table gives no rows.
+    counts its copies, so copies aren't paired; repeated rows are copies. Rows of one id with different vectors under
+    one label are one node that links as each of them does. Components may be of any finite size. Other columns
+    aren't read; an empty table gives no rows.
     """
     rows = vectors.select(
         "vec_id", "label", F.col("embedding").alias("vector"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")
