@@ -23,6 +23,7 @@ UNDETERMINED = "und"
 #: A letter is what Unicode has in category L: no digit, fraction, circled or Roman numeral.
 _LETTER = regex.compile(r"\p{L}")
 _SLICE = 1 << 18
+_ENTRIES = 1 << 18
 _PRIME = np.uint32(0x01000193)
 
 
@@ -91,18 +92,37 @@ def train(
     return LanguageModel(languages, np.log(smooth / smooth.sum(0)), np.log(prior / prior.sum()))
 
 
-def score_text(model: LanguageModel, text: str | None) -> tuple[str, float]:
-    """The likeliest language of a whole text and its posterior; ``und`` and 0 without a letter."""
-    if text is None or not _LETTER.search(text):
-        return UNDETERMINED, 0.0
-    total = model.prior.copy()
-    for h in hashed_ngrams(text, len(model.log_prob)):
-        if len(h) < 4096:
-            total += model.log_prob.take(h, axis=0).sum(0)
-        else:
-            total += np.bincount(h, minlength=len(model.log_prob)) @ model.log_prob
-    best = int(total.argmax())
-    return model.languages[best], float(1 / np.exp(total - total[best]).sum())
+def score_texts(model: LanguageModel, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The likeliest language of each whole text and its posterior; ``und`` and 0 without a letter.
+
+    The n-grams of many texts are the entries of a sparse matrix, a row a text: their log-probabilities are taken together and
+    summed row by row, ``_ENTRIES`` entries at a time, so a long text is scored in parts and short ones in one go.
+    """
+    totals = np.tile(model.prior, (len(texts), 1))
+    lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
+    held: list[tuple[int, np.ndarray]] = []
+
+    def add() -> None:
+        sizes = np.array([len(h) for _, h in held])
+        log_p = model.log_prob.take(np.concatenate([h for _, h in held]), axis=0)
+        np.add.at(totals, [i for i, _ in held], np.add.reduceat(log_p, np.cumsum(sizes) - sizes, axis=0))
+        held.clear()
+
+    entries = 0
+    for i in np.flatnonzero(lettered):
+        for h in hashed_ngrams(texts[i], len(model.log_prob)):
+            if len(h):
+                held.append((i, h))
+                entries += len(h)
+            if entries >= _ENTRIES:
+                add()
+                entries = 0
+    if held:
+        add()
+    best = totals.argmax(1)
+    sure = 1 / np.exp(totals - totals.max(1, keepdims=True)).sum(1)
+    named = [model.languages[b] if ok else UNDETERMINED for b, ok in zip(best, lettered, strict=True)]
+    return named, np.where(lettered, sure, 0.0)
 
 
 def predict(docs: DataFrame, model: LanguageModel | None, text: Column) -> DataFrame:
@@ -113,7 +133,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, text: Column) -> DataF
 
     @F.pandas_udf("lang string, score double")
     def score(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([score_text(held.value, t) for t in texts], columns=["lang", "score"])
+        lang, sure = score_texts(held.value, texts.tolist())
+        return pd.DataFrame({"lang": lang, "score": sure})
 
     return (
         docs.withColumn("_language", score(text))
