@@ -204,7 +204,10 @@ def read_captures(path: str, spark: SparkSession, with_payload: bool = True) ->
     origins = joined.filter("kind = 'response'").select(
         F.col("record_id").alias("refers_to"), F.col("metadata.page_id").alias("refers_to_page"), F.col("payload_bytes").alias("first_bytes")
     )
-    whole = joined.join(origins, "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "first_bytes"))
+    # only revisits refer to a record, so only they meet the responses
+    first = joined.filter("kind = 'response'").withColumn("refers_to_page", F.lit(None).cast(origins.schema["refers_to_page"].dataType))
+    again = joined.filter("kind <> 'response'").join(origins, "refers_to", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "first_bytes"))
+    whole = first.unionByName(again.drop("first_bytes"))
     if with_payload:
         payloads = read_records(files).filter("kind = 'response'").select("record_id", "payload")
         whole = whole.join(payloads, "record_id", "left")
