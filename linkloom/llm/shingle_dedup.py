@@ -9,17 +9,17 @@ the whole shingle sets have the similarity. Texts of one shingle set are one nod
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.hashing import run_hashes
-from linkloom.llm.simhash import RADIUS, fingerprint_links, rows_of
+from linkloom.llm.simhash import RADIUS, fingerprint_links, rows_of, star
 from linkloom.operators.components import connected_components
 from linkloom.scratch import materialise
 
@@ -27,8 +27,9 @@ WORDS = 5
 LEAST = (4, 5)
 BANDS = 24
 BAND_ROWS = 5
-BATCH_ROWS = 256
+TILE = 1 << 17
 _ROWS = 2048
+_COLUMNS = 2048
 _SLICE = 1 << 16
 _FACTORS = np.random.default_rng(42).integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32) | np.uint32(1)
 _SALTS = np.random.default_rng(43).integers(0, 1 << 32, BANDS * BAND_ROWS, np.uint32)
@@ -76,29 +77,15 @@ def similar(a: np.ndarray, b: np.ndarray, least: tuple[int, int] = LEAST) -> boo
     return least[1] * common >= least[0] * (len(a) + len(b) - common)
 
 
-def _sets(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(node, shingles) for each node of the pairs: its sorted set as packed 64-bit integers."""
+def _sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(node, shingles) for each node of ``nodes``: its sorted set as packed 64-bit integers."""
 
     @F.pandas_udf("binary")
     def packed(column: pd.Series) -> pd.Series:
         return pd.Series([shingle_set(t, words).tobytes() for t in column], dtype=object)
 
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    own = texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    with _small_batches(pairs.sparkSession):
-        return materialise(own.select("node", packed("text").alias("shingles")), "shingles")
-
-
-@contextmanager
-def _small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Arrow batches of few rows, as each may hold the sets of two very long texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, rows)
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+    own = texts.join(nodes.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    return materialise(own.select("node", packed("text").alias("shingles")), "shingles")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -109,12 +96,83 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
             sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"], batch["y"], strict=True))
             yield batch.loc[[similar(x, y) for x, y in sets], ["a", "b"]]
 
-    own = _sets(pairs, texts, words)
+    own = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, words)
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
         own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
-    with _small_batches(pairs.sparkSession):
-        return materialise(both.mapInPandas(compare, "a long, b long"), "verified")
+    return materialise(both.mapInPandas(compare, "a long, b long"), "verified")
+
+
+def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many members the sets of ``left`` and ``right`` (places in ``sets``) have in common, by products of 0-1 matrices of few columns at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    met = times[column] > 1
+    owner, column = owner[met], shared[column[met]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    n = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, n, _COLUMNS):
+        lo, hi = np.searchsorted(column, (at, at + _COLUMNS))
+        has = np.zeros((len(sets), min(_COLUMNS, n - at)), np.float32)
+        has[owner[lo:hi], column[lo:hi] - at] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def _tile_links(apart: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(a, b): links that join the nodes of each band as all pairs of different components that are similar do.
+
+    ``apart`` is (band, node, size, root, main). A band's rows outside its main component and those inside are dealt to tiles of about
+    ``TILE`` shingles, and each outer tile meets every tile. What is similar between two tiles is counted on the whole sets, and
+    reduced to one link from each node to the least it reaches there: no row stands for a pair.
+    """
+    odd = F.col("root") != F.col("main")
+    tiles = apart.groupBy("band").agg(
+        F.ceil(F.sum(F.when(odd, F.col("size"))) / TILE).cast("int").alias("outer"), F.ceil(F.coalesce(F.sum(F.when(~odd, F.col("size"))), F.lit(0)) / TILE).cast("int").alias("inner")
+    )
+    tile = F.when(odd, F.pmod(F.xxhash64("node", "band"), F.col("outer"))).otherwise(F.col("outer") + F.pmod(F.xxhash64("node", "band"), F.greatest("inner", F.lit(1)))).cast("int")
+    placed = apart.join(tiles, "band").withColumns({"tile": tile, "odd": odd})
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("odd"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1))
+    dealt = placed.withColumn("other", other).select("band", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "node", "root")
+    sets = _sets(apart, texts, words)
+    ordered = dealt.join(sets, "node").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
+
+    def links(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
+        x, y = rows[0][1], rows[0][2]
+        tile, node, root = (np.array([r[k] for r in rows], np.int64) for k in (3, 4, 5))
+        left, right = np.flatnonzero(tile == x), np.flatnonzero(tile == y)
+        if len(rows) < 2 or not len(left) or not len(right):
+            return None
+        sets = [np.frombuffer(r[6], np.uint64) for r in rows]
+        sizes = np.array([len(s) for s in sets], np.float64)
+        common = common_counts(sets, left, right).astype(np.float64)
+        near = LEAST[1] * common >= LEAST[0] * (sizes[left][:, None] + sizes[right][None] - common)
+        i, j = np.nonzero(near & (root[left][:, None] != root[right][None]))
+        if not len(i):
+            return None
+        least = star(len(rows), left[i], right[j], node)
+        moved = np.flatnonzero(least != np.arange(len(rows)))
+        return node[moved], node[least[moved]]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple] = []
+        for batch in itertools.chain(batches, [None]):
+            found = []
+            for row in batch.itertuples(index=False, name=None) if batch is not None else [None]:
+                if held and (row is None or row[:3] != held[0][:3]):
+                    if (pair := links(held)) is not None:
+                        found.append(pair)
+                    held = []
+                if row is not None:
+                    held.append(row)
+            if found:
+                yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
+
+    columns = ordered.select("band", "x", "y", "tile", "node", "root", "shingles")
+    return materialise(columns.mapInPandas(compare, "a long, b long"), "tile_links")
 
 
 def _in_reach(pairs: DataFrame) -> DataFrame:
@@ -145,8 +203,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Candidates are met twice. First SimHash tiles give the texts within ``radius`` bits, and each text of a band meets
     the band's smallest node; this joins most of a large group by few comparisons. Then those of a band that are not in
-    its largest component meet all of the band that are in another one. So what is linked is what all pairs of
-    a band would link. Null and wordless texts are one set and link to nothing else. An empty table gives no rows.
+    its largest component meet all of the band in tiles. So what is linked is what all pairs of a band would link. Null and wordless texts are one set and link to nothing else. An empty table gives no rows.
     """
 
     @F.pandas_udf("node long, size int, print long, bands array<long>")
@@ -158,8 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return pd.DataFrame(rows, columns=["node", "size", "print", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    with _small_batches(docs.sparkSession):
-        rows = materialise(rows.select("id", "text", signed("text").alias("s")).select("id", "text", "s.*"), "signed")
+    rows = materialise(rows.select("id", "text", signed("text").alias("s")).select("id", "text", "s.*"), "signed")
     first = [F.first(c).alias(c) for c in ("size", "print", "bands")]
     nodes = materialise(rows.groupBy("node").agg(F.min("id").alias("least"), *first), "nodes")
     keyed = nodes.select("node", "size", F.explode("bands").alias("band"))
@@ -172,10 +228,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = met.select("band", "node", "size").join(_labelled(nodes, links), "node")
     roots = apart.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     apart = materialise(apart.join(roots.filter("roots > 1").select("band", "main"), "band"), "apart")
-    left, right = (apart.select("band", "main", *[F.col(c).alias(f"{e}{c}") for c in ("node", "size", "root")]) for e in ("a_", "b_"))
-    rest = left.filter("a_root <> main").join(right.drop("main"), "band").filter("a_root <> b_root and (b_root = main or a_node < b_node)")
-    rest = materialise(_in_reach(rest.withColumnsRenamed({"a_node": "a", "b_node": "b"})), "rest")
-    links = materialise(links.union(_verified(rest, texts, words)), "links")
+    links = materialise(links.union(_tile_links(apart, texts, words)), "links")
     return nodes.select("node", "least").join(_labelled(nodes, links), "node").select("least", "root")
 
 
