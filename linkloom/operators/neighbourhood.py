@@ -119,12 +119,50 @@ def emphasised(nodes: DataFrame, eras: set[int], franchise: str | None = None, s
 
     Eras are 1940 to 2010, the last open-ended; an unknown debut counts only when all are enabled.
     """
-    decade = F.least(F.floor((F.col("debut") - 1940) / 10), F.lit(7)) * 10 + 1940
+    decade = F.when(F.col("debut").isNotNull(), F.least(F.floor((F.col("debut") - 1940) / 10), F.lit(7)) * 10 + 1940)
     in_era = F.coalesce(decade.isin(*sorted(eras)) if eras else F.lit(False), F.lit(set(ERAS) <= eras))
     of = F.lit(True) if franchise is None else F.array_contains("teams", franchise) | F.coalesce(F.col("id") == F.lit(selected), F.lit(False))
     return nodes.withColumn("emphasised", in_era & of)
 
 
+def visible(
+    nodes: DataFrame, hops: DataFrame, ego: bool = False, edge: tuple[str, str] | None = None, path: list[str] | None = None,
+    walk: list[str] | None = None, walk_next: DataFrame | None = None,
+) -> DataFrame:
+    """``nodes`` (id) with ``visible``: what a walk, then the whole network, then an edge, a path or a player's direct links leave in view.
+
+    On a walk its players and next steps (node) are; else all without ``ego``; else the ends of the chosen edge; else the path's; else
+    those at most one link off by ``hops`` (node, distance).
+    """
+    if walk:
+        ahead = nodes.sparkSession.createDataFrame([], "node string") if walk_next is None else walk_next.select("node")
+        shown = ahead.distinct().withColumn("ahead", F.lit(True))
+        joined = nodes.join(shown, nodes["id"] == shown["node"], "left")
+        return joined.withColumn("visible", F.col("id").isin(walk) | F.coalesce("ahead", F.lit(False))).drop("node", "ahead")
+    if not ego:
+        return nodes.withColumn("visible", F.lit(True))
+    if edge is not None or path:
+        return nodes.withColumn("visible", F.col("id").isin(list(edge if edge is not None else path)))
+    near = hops.filter("distance <= 1").select(F.col("node").alias("near")).distinct()
+    joined = nodes.join(near, nodes["id"] == near["near"], "left")
+    return joined.withColumn("visible", F.col("near").isNotNull()).drop("near")
+
+
+def filter_status(nodes: DataFrame, eras: set[int], franchise: str | None = None) -> DataFrame:
+    """One row (loaded, matching, visible, eras, franchise) of nodes with ``emphasised`` and ``visible``; the eras in words."""
+    named = ", ".join(f"{e}s{'+' if e == ERAS[-1] else ''}" for e in ERAS if e in eras)
+    said = "All eras emphasized" if set(ERAS) <= eras else f"Debut eras: {named}" if named else "No eras emphasized"
+    counts = nodes.agg(F.count("*").alias("loaded"), F.count_if("emphasised").alias("matching"), F.count_if("visible").alias("visible"))
+    return counts.select("*", F.lit(said).alias("eras"), F.lit(franchise or "all").alias("franchise"))
+
+
+def walk_to(links: DataFrame, walk: list[str], node: str, target: str | None = None) -> list[str]:
+    """The walk that choosing ``node`` makes of ``walk``: rewound to it where it is on the walk, one longer where it is a next step, else unchanged."""
+    if node in walk:
+        return walk[: walk.index(node) + 1]
+    return [*walk, node] if not next_steps(links, walk, target).filter(F.col("node") == node).isEmpty() else walk
+
+
 def compare(nodes: DataFrame, degree_rows: DataFrame, x: str, y: str) -> DataFrame:
     """One row: both players' degrees and the teams they share, in the order of the first's."""
     rows = nodes.filter(F.col("id").isin(x, y)).join(degree_rows, "id")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.operators import audit, evidence, facts, layout, paths, phrases
+from linkloom.operators import audit, evidence, facts, layout, neighbourhood, paths, phrases
 from linkloom.operators.order import positions
 from linkloom.plans.graph_queries import CHAINS, GOAL, HOPS, PROVEN, START, VIEW, WEIGHED, evidence_rows, view_rows
 from linkloom.scratch import materialise
@@ -131,6 +133,19 @@ def team_candidates(spark, sf_dir):
     return found.withColumn("teams", F.array_join("teams", ","))
 
 
+def filter_status(spark, sf_dir):
+    """Players of some eras and a team, and those in view of the whole network, a player, a path and a walk."""
+    links = materialise(evidence.adjacency(_rows(spark, sf_dir)), "links")
+    hops = materialise(neighbourhood.focus_hops(links, START, 1), "hops")
+    eras = {1950, 1970, 2000, 2010}
+    nodes = _context(spark, sf_dir).select("id", F.col("first_season").alias("debut"), "teams")
+    marked = neighbourhood.emphasised(nodes, eras, "T3", START)
+    ahead = links.filter(F.col("node") == GOAL).select(F.col("other").alias("node"))
+    views = {"whole": {}, "player": {"ego": True}, "path": {"ego": True, "path": [START, GOAL]}, "edge": {"ego": True, "edge": (START, "P000000002"), "path": [GOAL]}, "walk": {"walk": [GOAL], "walk_next": ahead}}
+    shown = [neighbourhood.filter_status(neighbourhood.visible(marked, hops, **v), eras, "T3").withColumn("view", F.lit(name)) for name, v in views.items()]
+    return reduce(DataFrame.union, shown)
+
+
 def nearest_edges(spark, sf_dir):
     """Clicks beside every player's place on the links of all proofs, laid out by debut."""
     k = F.col("c_custkey")
@@ -146,7 +161,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         node_facts, link_facts, network_links, connection_links, graph_summary, player_listing, neighbours_in_view, connect_in_view, link_audit, audit_counts,
-        resolved_pointers, phrase_lookup, team_candidates, nearest_edges,
+        resolved_pointers, phrase_lookup, team_candidates, nearest_edges, filter_status,
     )
 }
 
@@ -227,6 +242,11 @@ SQL = {
     "resolved_pointers": """WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) + 1 AS line FROM customer)
       SELECT o_orderkey, o_custkey, c_custkey AS source_c_custkey, c_name AS source_c_name, line IS NOT NULL AS resolved
       FROM orders LEFT JOIN c ON line = o_custkey + 2 AND o_orderkey % 11 <> 0 AND o_orderkey % 13 <> 0 AND o_orderkey % 17 <> 0""",
+    "filter_status": f"""WITH {PROVEN}, {_CONTEXT}, m AS (SELECT id, (least((first_season - 1940) // 10, 7) * 10 + 1940) IN (1950, 1970, 2000, 2010) AND (list_contains(string_split(teams, ','), 'T3') OR id = '{START}') AS own FROM context),
+      v AS (SELECT id, own, 'whole' AS view, true AS seen FROM m UNION ALL SELECT id, own, 'player', id = '{START}' OR id IN (SELECT other FROM padj WHERE node = '{START}') FROM m
+        UNION ALL SELECT id, own, 'path', id IN ('{START}', '{GOAL}') FROM m UNION ALL SELECT id, own, 'edge', id IN ('{START}', 'P000000002') FROM m
+        UNION ALL SELECT id, own, 'walk', id = '{GOAL}' OR id IN (SELECT other FROM padj WHERE node = '{GOAL}') FROM m)
+      SELECT count(*) AS loaded, count(*) FILTER (own) AS matching, count(*) FILTER (seen) AS visible, 'Debut eras: 1950s, 1970s, 2000s, 2010s+' AS eras, 'T3' AS franchise, view FROM v GROUP BY view""",
     "nearest_edges": f"""WITH {PROVEN}, h AS (SELECT id, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, 11), lambda i: ord(id[i])::BIGINT)), lambda x, y: (xor(x, y) * 16777619) % 4294967296) AS h,
         CASE WHEN id[2:]::INTEGER % 10 <> 0 THEN 1950 + id[2:]::INTEGER % 60 ELSE 1980 END AS year FROM players),
       n AS (SELECT id, (year - 1947) * 110.0::DOUBLE + (h % 1000) / 1000.0::DOUBLE * 105.0::DOUBLE AS x, (((h // 1000) % 10000) / 10000.0::DOUBLE - 0.5::DOUBLE) * 5200.0::DOUBLE AS y FROM h),

@@ -43,6 +43,12 @@ _RIGHTS = r"\b(?:player|draft|reserve) rights\b|\bright[s]? to\b"
 _EXPIRY = r"\bcontract expires\b"
 _NOT_RESIGNED = r"\bnot re[- ]?signed\b"
 _TURN = r"\bfor\s*$"
+_NOT_SIGNED = r"\bnot (?:re[- ]?signed|sign|signed)\b"
+_COACH = r"\b(?:head|assistant)\s*coach\b"
+_LEAGUE = r"\b(?:g[- ]?league|d[- ]?league|development(?:al)? league)\b"
+_CONVERTED, _REGULAR, _TWO_WAY = r"\bconverted\b", "regular contract", r"\btwo[- ]way contract\b"
+_SOLD = r"\b(?:sold|purchased|bought|renounced)\b"
+_LOANED, _ASSIGNED, _RECALLED = r"\b(?:loaned|loan|transferred)\b", r"\bassigned\b", r"\brecalled\b"
 
 
 def _pieces(page: str):
@@ -141,19 +147,19 @@ def event_class(text: Column, coach_only: Column | None = None) -> Column:
     """What a sentence reports, by the first rule that fits; words match whole."""
     low = F.lower(text)
     has = lambda p: low.rlike(p)
-    of_coach = has(r"\b(?:head|assistant)\s*coach\b") | (coach_only if coach_only is not None else F.lit(False))
-    league = has(r"\b(?:g[- ]?league|d[- ]?league|development(?:al)? league)\b")
+    of_coach = has(_COACH) | (coach_only if coach_only is not None else F.lit(False))
+    league = has(_LEAGUE)
     out = (
         F.when(has(_EXPIRY), "contract-expiration")
-        .when(has(r"\bnot (?:re[- ]?signed|sign|signed)\b"), "other")
+        .when(has(_NOT_SIGNED), "other")
         .when(of_coach & low.contains("fired"), "coach-fire")
         .when(of_coach & low.contains("hired"), "coach-hire")
         .when(of_coach, "coach-other")
-        .when(has(r"\bconverted\b") & low.contains("regular contract") & has(r"\btwo[- ]way contract\b"), "contract-conversion")
-        .when(has(_RIGHTS) & has(r"\b(?:sold|purchased|bought|renounced)\b"), "rights-transfer")
-        .when(league & has(r"\b(?:loaned|loan|transferred)\b"), "g-league-loan-or-transfer")
-        .when(has(r"\bassigned\b"), "g-league-assignment")
-        .when(has(r"\brecalled\b"), "g-league-recall")
+        .when(has(_CONVERTED) & low.contains(_REGULAR) & has(_TWO_WAY), "contract-conversion")
+        .when(has(_RIGHTS) & has(_SOLD), "rights-transfer")
+        .when(league & has(_LOANED), "g-league-loan-or-transfer")
+        .when(has(_ASSIGNED), "g-league-assignment")
+        .when(has(_RECALLED), "g-league-recall")
     )
     for name, words in EVENT_WORDS:
         out = out.when(has(r"\b(?:" + "|".join(words) + r")\b"), name)

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import audit, facts, layout, page_ranking, phrases
+from linkloom.operators import audit, facts, layout, neighbourhood, page_ranking, phrases
 from linkloom.sources import incremental, reports
 from linkloom.streaming import rings
 
@@ -258,3 +258,17 @@ def test_a_log_is_not_doubled(spark, tmp_path):
     assert sorted((r["run"], r["kind"], r["n"]) for r in got) == [("r1", "failure", 2), ("r1", "request", 1), ("r2", "failure", 2), ("r2", "request", 1)]
     with pytest.raises(ValueError):
         incremental.append_log(rows.drop("kind"), path, "r3")
+
+
+def test_visibility_and_walks(spark):
+    nodes = spark.createDataFrame([(x, d) for x, d in zip("abcde", (1955, 1975, None, 2015, 1948), strict=True)], "id string, debut int").withColumn("teams", F.array(F.lit("T")))
+    pairs = [("a", "b"), ("b", "c"), ("c", "d")]
+    links = spark.createDataFrame(pairs + [(y, x) for x, y in pairs], "node string, other string")
+    hops = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "node string, distance int")
+    see = lambda **v: {r["id"] for r in neighbourhood.visible(nodes, hops, **v).filter("visible").collect()}
+    assert see() == set("abcde") and see(ego=True) == {"a", "b"} and see(ego=True, path=["a", "d"]) == {"a", "d"} and see(ego=True, path=["a"], edge=("c", "d")) == {"c", "d"}
+    assert see(ego=True, edge=("c", "d"), walk=["a"], walk_next=spark.createDataFrame([("b",)], "node string")) == {"a", "b"} and see(walk=["e"]) == {"e"}
+    assert neighbourhood.walk_to(links, ["a", "b"], "c") == ["a", "b", "c"] and neighbourhood.walk_to(links, ["a", "b", "c"], "a") == ["a"] and neighbourhood.walk_to(links, ["a", "b"], "d") == ["a", "b"]
+    marked = neighbourhood.visible(neighbourhood.emphasised(nodes, {1950, 2010}), hops, ego=True)
+    assert tuple(neighbourhood.filter_status(marked, {1950, 2010}).first()) == (5, 2, 2, "Debut eras: 1950s, 2010s+", "all")
+    assert neighbourhood.filter_status(marked, set(neighbourhood.ERAS)).first()["eras"] == "All eras emphasized" and neighbourhood.filter_status(marked, set(), "T").first()["eras"] == "No eras emphasized"
