@@ -88,17 +88,16 @@ def _sets(nodes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return materialise(own.select("node", packed("text").alias("shingles")), "shingles")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets are similar. ``texts`` has a text for each node."""
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes whose shingle sets are similar; ``sets`` are the nodes' (node, shingles)."""
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"], batch["y"], strict=True))
-            yield batch.loc[[similar(x, y) for x, y in sets], ["a", "b"]]
+            own = ((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(batch["x"], batch["y"], strict=True))
+            yield batch.loc[[similar(x, y) for x, y in own], ["a", "b"]]
 
-    own = _sets(pairs.select(F.explode(F.array("a", "b")).alias("node")), texts, words)
-    both = pairs.join(own.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
-        own.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b"
     )
     return materialise(both.mapInPandas(compare, "a long, b long"), "verified")
 
@@ -122,10 +121,10 @@ def common_counts(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -
     return out
 
 
-def _tile_links(apart: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+def _tile_links(apart: DataFrame, sets: DataFrame) -> DataFrame:
     """(a, b): links that join the nodes of each band as all pairs of different components that are similar do.
 
-    ``apart`` is (band, node, size, root, main). A band's rows outside its main component and those inside are dealt to tiles of about
+    ``apart`` is (band, node, size, root, main), ``sets`` (node, shingles). A band's rows outside its main component and those inside are dealt to tiles of about
     ``TILE`` shingles, and each outer tile meets every tile. What is similar between two tiles is counted on the whole sets, and
     reduced to one link from each node to the least it reaches there: no row stands for a pair.
     """
@@ -137,7 +136,6 @@ def _tile_links(apart: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     placed = apart.join(tiles, "band").withColumns({"tile": tile, "odd": odd})
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("odd"), F.col("outer") + F.col("inner")).otherwise(F.col("outer")) - 1))
     dealt = placed.withColumn("other", other).select("band", F.least("tile", "other").alias("x"), F.greatest("tile", "other").alias("y"), "tile", "node", "root")
-    sets = _sets(apart, texts, words)
     ordered = dealt.join(sets, "node").repartition("band", "x", "y").sortWithinPartitions("band", "x", "y")
 
     def links(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray] | None:
@@ -224,11 +222,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = rows.select("node", "text")
     stars = met.select(F.col("node").alias("a"), "b", F.col("size").alias("a_size"), "b_size")
     stars = stars.union(_print_pairs(nodes.filter("size > 0").select("node", "size", "print"), radius))
-    links = _verified(materialise(_in_reach(stars), "stars"), texts, words)
+    stars = materialise(_in_reach(stars), "stars")
+    # one reading of the texts serves both comparisons
+    sets = _sets(met.select("node").union(stars.select(F.explode(F.array("a", "b")))), texts, words)
+    links = _verified(stars, sets)
     apart = met.select("band", "node", "size").join(_labelled(nodes, links), "node")
     roots = apart.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     apart = materialise(apart.join(roots.filter("roots > 1").select("band", "main"), "band"), "apart")
-    links = materialise(links.union(_tile_links(apart, texts, words)), "links")
+    links = materialise(links.union(_tile_links(apart, sets)), "links")
     return nodes.select("node", "least").join(_labelled(nodes, links), "node").select("least", "root")
 
 
