@@ -130,21 +130,24 @@ def earlier_windows(docs: DataFrame, window: int = WINDOW, seed: int = SEED) ->
     """(id, mark, own): for each document (id, mark, text) the windows that also start in one of smaller id, as (first, bits) with a bit for each window from first."""
     spark = docs.sparkSession
     found, seeds_path = write_table(seeds(docs, window, seed), "seeds")
-    anchors = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
+    # what a hot key meets is written first, so that the join has an exchange of its own, whose large partitions Spark can split
+    common = found.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low < high").select("anchor")
+    anchors, anchors_path = write_table(common, "anchors")
     shared, shared_path = write_table(found.join(anchors, "anchor"), "shared_seeds")
     remove(spark, seeds_path)
     first = F.min(F.struct("id", "mark", "first", "span")).alias("rep")
     classes, classes_path = write_table(shared.groupBy("anchor", "a", "b").agg(first), "classes")
     several = classes.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     keys, keys_path = write_table(_window_keys(classes.join(several, "anchor"), docs, window), "window_keys")
-    lowest = keys.groupBy("x", "y").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").drop("high")
+    met = keys.groupBy("x", "y").agg(F.min("least").alias("low"), F.max("least").alias("high")).filter("low < high").drop("high")
+    lowest, lowest_path = write_table(met, "lowest")
     late = keys.join(lowest, ["x", "y"]).filter("low < least")
     bits = late.groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, k)")).alias("bits"))
-    known = classes.select("a", "b", F.col("rep.id").alias("least")).join(bits, ["a", "b"], "left")
+    known, known_path = write_table(classes.select("a", "b", F.col("rep.id").alias("least")).join(bits, ["a", "b"], "left"), "known")
     all_bits = F.expr("shiftleft(1L, span) - 1")
     told = shared.join(known, ["a", "b"]).withColumn("bits", F.when(F.col("id") > F.col("least"), all_bits).otherwise(F.col("bits"))).filter("bits <> 0")
     own = materialise(told.groupBy("id", "mark").agg(F.collect_set(F.struct("first", "bits")).alias("own")), "earlier")
-    for path in (shared_path, classes_path, keys_path):
+    for path in (anchors_path, shared_path, classes_path, keys_path, lowest_path, known_path):
         remove(spark, path)
     return own
 
