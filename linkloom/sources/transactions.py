@@ -44,7 +44,7 @@ _EXPIRY = r"\bcontract expires\b"
 _NOT_RESIGNED = r"\bnot re[- ]?signed\b"
 _TURN = r"\bfor\s*$"
 _NOT_SIGNED = r"\bnot (?:re[- ]?signed|sign|signed)\b"
-_COACH = r"\b(?:head|assistant)\s*coach\b"
+_COACH_SAID = r"\b(?:head|assistant)\s*coach\b"
 _LEAGUE = r"\b(?:g[- ]?league|d[- ]?league|development(?:al)? league)\b"
 _CONVERTED, _REGULAR, _TWO_WAY = r"\bconverted\b", "regular contract", r"\btwo[- ]way contract\b"
 _SOLD = r"\b(?:sold|purchased|bought|renounced)\b"
@@ -147,7 +147,7 @@ def event_class(text: Column, coach_only: Column | None = None) -> Column:
     """What a sentence reports, by the first rule that fits; words match whole."""
     low = F.lower(text)
     has = lambda p: low.rlike(p)
-    of_coach = has(_COACH) | (coach_only if coach_only is not None else F.lit(False))
+    of_coach = has(_COACH_SAID) | (coach_only if coach_only is not None else F.lit(False))
     league = has(_LEAGUE)
     out = (
         F.when(has(_EXPIRY), "contract-expiration")

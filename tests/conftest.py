@@ -16,7 +16,6 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.codegen.wholeStage", "false")  # compiling takes longer than running on tables this small
-        .config("spark.sql.codegen.factoryMode", "NO_CODEGEN")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
     )
