@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.paths import distances
+from linkloom.operators.proof_groups import ProofGroups
 from linkloom.scratch import materialise
 
 MOST_LINKS = 600
@@ -29,8 +30,13 @@ def edge_between(edge_rows: DataFrame, x: str, y: str) -> DataFrame:
 
 def edge_page_facts(edge_rows: DataFrame, offset: int = 0, limit: int = 1000) -> DataFrame:
     """One row (total, next_offset) for ``edge_page``; next_offset is null on the last page."""
+    return page_facts(edge_rows.agg(F.count("*").alias("total")), offset, limit)
+
+
+def page_facts(size: DataFrame, offset: int, limit: int) -> DataFrame:
+    """``edge_page_facts`` of edges that were counted, ``size`` (total)."""
     end = F.lit(offset + limit).cast("long")
-    return edge_rows.agg(F.count("*").alias("total")).select("total", F.when(F.col("total") > end, end).alias("next_offset"))
+    return size.select("total", F.when(F.col("total") > end, end).alias("next_offset"))
 
 
 def neighbourhood(
@@ -78,9 +84,10 @@ def next_steps(links: DataFrame, path: list[str], target: str | None = None) ->
     return found.select("node").distinct()
 
 
-def focus_hops(links: DataFrame, focus: str, hops: int = 2) -> DataFrame:
+def focus_hops(links: DataFrame | ProofGroups, focus: str, hops: int = 2) -> DataFrame:
     """(node, distance) up to ``hops`` links from ``focus``."""
-    return distances(links, links.sparkSession.createDataFrame([(focus,)], "source string"), max_depth=hops).select("node", "distance")
+    spark = (links.asks if isinstance(links, ProofGroups) else links).sparkSession
+    return distances(links, spark.createDataFrame([(focus,)], "source string"), max_depth=hops).select("node", "distance")
 
 
 def view(

@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.operators import proof_groups
+from linkloom.operators.proof_groups import ProofGroups
 from linkloom.scratch import materialise
 
 LIMB = 10**9
@@ -23,7 +25,18 @@ MOST_PAGE = 500
 U64 = 2**64 - 1
 
 
-def distances(adjacency: DataFrame, sources: DataFrame, max_depth: int | None = None, goal: str | None = None) -> DataFrame:
+def _step(adjacency: DataFrame | ProofGroups, frontier: DataFrame) -> DataFrame:
+    """``frontier`` (node, ...) with ``other`` for ``node``; a node itself may be among those it leads to."""
+    if isinstance(adjacency, ProofGroups):
+        return proof_groups.step(adjacency, frontier)
+    return frontier.join(adjacency, "node").drop("node")
+
+
+def _spark(adjacency: DataFrame | ProofGroups):
+    return (adjacency.asks if isinstance(adjacency, ProofGroups) else adjacency).sparkSession
+
+
+def distances(adjacency: DataFrame | ProofGroups, sources: DataFrame, max_depth: int | None = None, goal: str | None = None) -> DataFrame:
     """(source, node, distance) for every node that links reach from each of ``sources`` (source).
 
     ``goal`` ends the search after the level in which every source has reached it.
@@ -34,7 +47,7 @@ def distances(adjacency: DataFrame, sources: DataFrame, max_depth: int | None =
     wanted = frontier.count() if goal is not None else 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        step = frontier.join(adjacency, "node").select("source", F.col("other").alias("node")).distinct()
+        step = _step(adjacency, frontier).select("source", F.col("other").alias("node")).distinct()
         before, frontier = frontier, materialise(step.join(frontier.union(before), ["source", "node"], "left_anti"), "level")
         if frontier.isEmpty():
             break
@@ -50,13 +63,22 @@ def _one(spark, name: str, value: str) -> DataFrame:
     return spark.createDataFrame([(value,)], f"{name} string")
 
 
-def shortest_chain(adjacency: DataFrame, nodes: DataFrame, start: str, goal: str) -> DataFrame:
+def _least(adjacency: DataFrame | ProofGroups, frontier: DataFrame) -> DataFrame:
+    """(node, path) one link on from ``frontier`` (node, path): for each node the least path at least."""
+    append = F.array_append("path", F.col("other")).alias("path")
+    if not isinstance(adjacency, ProofGroups):
+        return frontier.join(adjacency, "node").select(F.col("other").alias("node"), append)
+    best = frontier.join(adjacency.asks, "node").groupBy("kind", "grp").agg(F.min("path").alias("path"))
+    return best.join(adjacency.members, ["kind", "grp"]).select(F.col("other").alias("node"), append)
+
+
+def shortest_chain(adjacency: DataFrame | ProofGroups, nodes: DataFrame, start: str, goal: str) -> DataFrame:
     """One row (status, path, degree): the shortest chain, of equals the first by its ids in order.
 
     No row if either id is unknown to ``nodes`` (id); a node's chain to itself is that node alone; status
     is ``connected`` or ``disconnected`` (path and degree null).
     """
-    spark = adjacency.sparkSession
+    spark = _spark(adjacency)
     known = nodes.filter(F.col("id").isin(start, goal)).select("id").distinct().count()
     if known < len({start, goal}):
         return spark.createDataFrame([], "status string, path array<string>, degree int")
@@ -66,29 +88,39 @@ def shortest_chain(adjacency: DataFrame, nodes: DataFrame, start: str, goal: str
         hit = frontier.filter(F.col("node") == goal)
         if not hit.isEmpty():
             return hit.select(F.lit("connected").alias("status"), "path", (F.size("path") - 1).alias("degree"))
-        step = frontier.join(adjacency, "node").select(F.col("other").alias("node"), F.array_append("path", F.col("other")).alias("path"))
+        # a path by way of a group's least path is least for all its members
+        step = _least(adjacency, frontier)
         fresh = step.join(frontier.select("node").union(before.select("node")), "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         before, frontier = frontier, materialise(fresh, "level")
         if frontier.isEmpty():
             return spark.createDataFrame([("disconnected", None, None)], "status string, path array<string>, degree int")
 
 
-def layers(adjacency: DataFrame, start: str, goal: str) -> tuple[DataFrame, int] | None:
+def layers(adjacency: DataFrame | ProofGroups, start: str, goal: str) -> tuple[DataFrame, int] | None:
     """The links that shortest chains use, (node, other, left) with ``left`` links to go from node; None if none."""
-    spark = adjacency.sparkSession
+    spark = _spark(adjacency)
     back = distances(adjacency, _one(spark, "source", goal), goal=start).select("node", "distance")
     found = back.filter(F.col("node") == start).first()
     if found is None:
         return None
+    if isinstance(adjacency, ProofGroups):
+        # only what the chains from the start come to: its links one nearer to the goal, and theirs
+        here, parts = _one(spark, "node", start), []
+        for left in range(found["distance"], 0, -1):
+            nearer = back.filter(F.col("distance") == left - 1).select(F.col("node").alias("other"))
+            part = materialise(proof_groups.links_of(adjacency, here).join(nearer, "other", "left_semi").select("node", "other", F.lit(left).alias("left")), "dag")
+            parts.append(part)
+            here = part.select(F.col("other").alias("node")).distinct()
+        return reduce(DataFrame.union, parts), found["distance"]
     left = back.withColumnRenamed("distance", "left")
     after = back.select(F.col("node").alias("other"), F.col("distance").alias("after"))
     dag = adjacency.join(left, "node").join(after, "other").filter("after = left - 1").filter(F.col("left") <= found["distance"])
     return materialise(dag.select("node", "other", "left"), "dag"), found["distance"]
 
 
-def all_shortest_chains(adjacency: DataFrame, start: str, goal: str) -> DataFrame:
+def all_shortest_chains(adjacency: DataFrame | ProofGroups, start: str, goal: str) -> DataFrame:
     """(path, degree) of every shortest chain; no rows if there is none. For pages of many, see ``chain_page``."""
-    spark = adjacency.sparkSession
+    spark = _spark(adjacency)
     paths = _one(spark, "node", start).withColumn("path", F.array("node"))
     if start != goal:
         found = layers(adjacency, start, goal)
@@ -164,7 +196,7 @@ class ChainPage:
     next_cursor: str | None
 
 
-def chain_page(adjacency: DataFrame, nodes: DataFrame, start: str, goal: str, limit: int, offset: int | None = None, cursor: str | None = None) -> ChainPage | None:
+def chain_page(adjacency: DataFrame | ProofGroups, nodes: DataFrame, start: str, goal: str, limit: int, offset: int | None = None, cursor: str | None = None) -> ChainPage | None:
     """The chains of rank ``offset`` (or ``cursor``) on, in order of their ids; None for an unknown id."""
     if not 1 <= limit <= MOST_PAGE:
         raise ValueError(f"limit must be from 1 to {MOST_PAGE}")
