@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.operators import backbone, evidence, neighbourhood, paths
+from linkloom.operators.proof_groups import ProofGroups
 
 #: How a career is told, and how sure an answer is.
 SEASONS, FIXTURE_DAYS, NO_TENURE = "%d–%d seasons", "Synthetic fixture days %d–%d", "Synthetic fixture; no roster tenure"
@@ -78,14 +81,14 @@ def player_listing(players: DataFrame, context: DataFrame | None = None) -> Data
     return players.select("id", "name", none.alias("aliases"), none.alias("teams"), F.lit(None).cast("int").alias("first_season"), F.lit(None).cast("int").alias("last_season"))
 
 
-def connection(links: DataFrame, nodes: DataFrame, rows: DataFrame, start: str, goal: str, reports: bool) -> DataFrame:
+def connection(links: DataFrame | ProofGroups, nodes: DataFrame, rows: DataFrame | Callable[[list[str]], DataFrame], start: str, goal: str, reports: bool) -> DataFrame:
     """A row for each link of the shortest chain, or one row that tells why there is none.
 
     (result, place, from, to, team, overlap_days, minimum_shared_games, context, degree, certainty, missing). ``links`` is the adjacency,
-    ``nodes`` (id), ``rows`` the evidence. The context of a link is the description of its strongest proof, with a hint where that has days.
+    ``nodes`` (id), ``rows`` the evidence, or what gives that of the players of a path. The context of a link is the description of its strongest proof, with a hint where that has days.
     Disconnected players are so for certain only without reports; an unknown player is named, the first if both are.
     """
-    spark = links.sparkSession
+    spark = nodes.sparkSession
     have = {r["id"] for r in nodes.filter(F.col("id").isin(start, goal)).select("id").distinct().collect()}
     columns = "result string, place int, `from` string, `to` string, team string, overlap_days long, minimum_shared_games int, context string, degree int, certainty string, missing string"
     alone = lambda result, degree, certainty, missing: spark.createDataFrame([(result, *[None] * 7, degree, certainty, missing)], columns)
@@ -99,7 +102,8 @@ def connection(links: DataFrame, nodes: DataFrame, rows: DataFrame, start: str,
         return alone(CONNECTED, 0, None, None)
     steps = spark.createDataFrame([(k, x, y, min(x, y), max(x, y)) for k, (x, y) in enumerate(zip(path, path[1:]))], "place int, `from` string, `to` string, a string, b string")
     best = evidence.strongest_evidence(F.col("evidence"))
-    told = evidence.edges(rows.join(F.broadcast(steps.select("a", "b")), ["a", "b"], "left_semi")).withColumn("best", best)
+    known = rows(path) if callable(rows) else rows
+    told = evidence.edges(known.join(F.broadcast(steps.select("a", "b")), ["a", "b"], "left_semi")).withColumn("best", best)
     text = evidence.describe(F.col("best.overlap_days"), F.col("best.minimum_shared_games"))
     return steps.join(told, ["a", "b"], "left").select(
         F.lit(CONNECTED).alias("result"), "place", "from", "to", "best.team", "best.overlap_days", "best.minimum_shared_games",
@@ -113,13 +117,16 @@ def certainty(filtered: bool, reports: bool) -> tuple[str, str]:
     return (FILTERED if filtered else UNRESOLVED if reports else VERIFIED_FIXTURE), (FILTERED if filtered else WHOLE)
 
 
-def connect(rows: DataFrame, nodes: DataFrame, start: str, goal: str, reports: bool, view_rows: DataFrame | None = None) -> DataFrame:
+def connect(
+    rows: DataFrame | ProofGroups, nodes: DataFrame, start: str, goal: str, reports: bool, view_rows: DataFrame | ProofGroups | None = None,
+) -> DataFrame:
     """One row (result, path, degree, certainty, scope, unfiltered_degree) of the shortest chain, in the view where there is one.
 
-    ``rows`` and ``view_rows`` (a, b, ...) are evidence. The unfiltered degree is told for views alone; unknown players give no row.
+    ``rows`` and ``view_rows`` are evidence (a, b, ...) or the groups that prove it. The unfiltered degree is told for views alone; unknown players give no row.
     """
-    def chain(own: DataFrame, name: str) -> DataFrame:
-        found = paths.shortest_chain(evidence.adjacency(own.select("a", "b").distinct()), nodes, start, goal)
+    def chain(own: DataFrame | ProofGroups, name: str) -> DataFrame:
+        links = own if isinstance(own, ProofGroups) else evidence.adjacency(own.select("a", "b").distinct())
+        found = paths.shortest_chain(links, nodes, start, goal)
         return found.select(F.lit(1).alias("k"), F.col("status").alias("result"), "path", F.col("degree").alias(name))
 
     sure, scope = certainty(view_rows is not None, reports)
