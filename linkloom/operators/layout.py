@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.neighbourhood import ring_places
+from linkloom.operators.proof_groups import ProofGroups
 
 #: Fixed values of the placement.
 UNKNOWN_DEBUT, FIRST_YEAR, YEAR_WIDTH, JITTER, LANE_HEIGHT = 1980, 1947, 110.0, 105.0, 5200.0
@@ -50,16 +51,21 @@ def sectors(weighted: DataFrame, focus: str) -> DataFrame:
     return sized.withColumn("start", before).select("team", "start", (F.col("start") + F.col("width")).alias("end"))
 
 
-def focus_groups(weighted: DataFrame, links: DataFrame, hops: DataFrame, focus: str) -> DataFrame:
+def focus_groups(weighted: DataFrame, links: DataFrame | ProofGroups, hops: DataFrame, focus: str) -> DataFrame:
     """(id, team): a neighbour's team is its link's; two links away it is that of the first neighbour by id."""
     own = weighted.filter((F.col("a") == focus) | (F.col("b") == focus))
     first = own.select(F.when(F.col("a") == focus, F.col("b")).otherwise(F.col("a")).alias("id"), F.col("primary_team").alias("team"))
+    if isinstance(links, ProofGroups):
+        # of those who ask a group the first by id speaks for it
+        asked = first.withColumnRenamed("id", "node").join(links.asks, "node").groupBy("kind", "grp").agg(F.min(F.struct("node", "team")).alias("via"))
+        met = asked.join(links.members, ["kind", "grp"]).groupBy(F.col("other").alias("id")).agg(F.min("via").alias("via"))
+        return first.union(met.join(hops.filter("distance = 2").select(F.col("node").alias("id")), "id", "left_semi").select("id", "via.team"))
     second = hops.filter("distance = 2").select(F.col("node").alias("id")).join(links.select(F.col("node").alias("id"), F.col("other").alias("via")), "id")
     inherited = second.join(first.withColumnRenamed("id", "via"), "via").groupBy("id").agg(F.min_by("team", "via").alias("team"))
     return first.union(inherited)
 
 
-def concentric(nodes: DataFrame, weighted: DataFrame, links: DataFrame, hops: DataFrame, focus: str) -> DataFrame:
+def concentric(nodes: DataFrame, weighted: DataFrame, links: DataFrame | ProofGroups, hops: DataFrame, focus: str) -> DataFrame:
     """(id, ring, x, y): the focus in the middle, others on rings 1, 2 and 3 (all further ones).
 
     Within a ring nodes stand by team sector; on the first the heaviest links are innermost, on the

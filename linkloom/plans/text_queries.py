@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import text
 from linkloom.operators import backbone, evidence, intervals, judgments, layout, neighbourhood, provenance, search, tenure
-from linkloom.plans.graph_queries import EVIDENCE, START, WEIGHED, evidence_rows
+from linkloom.plans.graph_queries import EVIDENCE, START, WEIGHED, evidence_of, evidence_rows, groups
 from linkloom.scratch import materialise
 from linkloom.sources import tables, transactions
 
@@ -300,9 +300,8 @@ def era_lane_layout(spark, sf_dir):
 
 def concentric_layout(spark, sf_dir):
     """Around a player by all three proofs."""
-    rows = materialise(evidence_rows(spark, sf_dir), "rows")
-    weighted = materialise(backbone.edge_weights(rows).withColumn("weight", F.round("weight", 6)), "weighted")
-    links = materialise(evidence.adjacency(rows), "links")
+    weighted = materialise(backbone.edge_weights(evidence_of(spark, sf_dir, START)).withColumn("weight", F.round("weight", 6)), "weighted")
+    links = groups(spark, sf_dir)
     found = layout.concentric(_nodes(spark, sf_dir), weighted, links, neighbourhood.focus_hops(links, START), START)
     return found.select("id", "ring", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
