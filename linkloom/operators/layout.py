@@ -5,17 +5,21 @@ Everything is column and window expressions; distances come from the path operat
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.neighbourhood import ring_places
 from linkloom.operators.proof_groups import ProofGroups
+from linkloom.scratch import materialise
 
 #: Fixed values of the placement.
 UNKNOWN_DEBUT, FIRST_YEAR, YEAR_WIDTH, JITTER, LANE_HEIGHT = 1980, 1947, 110.0, 105.0, 5200.0
 RINGS = {1: (220.0, 460.0), 2: (620.0, 1020.0), 3: (1300.0, 1900.0)}
 GOLDEN = 0.618033988749895
 STEP, RING_START, RING_STEP, RING_SIZE = 170.0, 150.0, 100.0, 12
+_MOST_HALVINGS = 20
 TIERS = (("macro", 0.25, 1.1, 0.13), ("meso", 0.75, 1.8, 0.4), ("micro", None, 2.3, 0.5))
 
 
@@ -145,15 +149,39 @@ def to_world(x: Column, y: Column, camera: tuple[float, float, float], width: fl
 def nearest_node(points: DataFrame, clicks: DataFrame, reach: float = 80.0) -> DataFrame:
     """(click, id, distance): the nearest point within ``reach`` of each click, of equals the first by id.
 
-    Points and clicks meet in grid cells as wide as the reach; a click looks into its own and the eight around.
+    Points and clicks meet in grid cells; a click looks into its own and the eight around. The first cells are so small that a point
+    or so lies in each on the whole; a click that finds nothing as near as a cell is wide looks again in cells twice as wide, up to the
+    reach. So crowded places cost no more than empty ones. Points of one place are one point, clicks of one place one click.
     """
-    cell = lambda c: F.floor(F.col(c) / reach)
-    p = points.select("id", F.col("x").alias("px"), F.col("y").alias("py"), cell("x").alias("gx"), cell("y").alias("gy"))
+    p = points.filter("x is not null and y is not null").groupBy("x", "y").agg(F.min("id").alias("id")).select("id", F.col("x").alias("px"), F.col("y").alias("py"))
+    p = materialise(p, "points")
+    spots = clicks.select("x", "y").filter("x is not null and y is not null").distinct()
+    box = p.agg(F.count("*").alias("n"), *[f(c).alias(f"{n}_{c}") for c in ("px", "py") for n, f in (("low", F.min), ("high", F.max))]).first()
+    open_ = materialise(spots, "clicks")
+    if not box["n"]:
+        return clicks.select("click", F.lit(None).cast(points.schema["id"].dataType).alias("id"), F.lit(None).cast("double").alias("distance")).limit(0)
+    area = max(box["high_px"] - box["low_px"], 1e-9) * max(box["high_py"] - box["low_py"], 1e-9)
+    halvings = min(max(int(math.log2(max(reach / math.sqrt(area / box["n"]), 1.0))), 0), _MOST_HALVINGS)
+    found: DataFrame | None = None
+    for k in range(halvings, -1, -1):
+        wide = reach / 2**k
+        best = materialise(_nearest_in(p, open_, wide), "near")
+        # what is nearer than a cell is wide can't be beaten from outside the nine cells
+        sure = best if k == 0 else best.filter(F.col("distance") < wide * (1 - 1e-9))
+        found = sure if found is None else found.union(sure)
+        if k:
+            open_ = materialise(open_.join(sure, ["x", "y"], "left_anti"), "clicks")
+    return clicks.select("click", "x", "y").join(found, ["x", "y"]).groupBy("click").agg(F.min(F.struct("distance", "id")).alias("b")).select("click", "b.id", "b.distance")
+
+
+def _nearest_in(p: DataFrame, spots: DataFrame, wide: float) -> DataFrame:
+    """(x, y, id, distance): for each spot the nearest point within ``wide``, if any, by cells of that width."""
+    cell = lambda c: F.floor(F.col(c) / wide)
     around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    c = clicks.select("click", "x", "y", F.explode(around).alias("d")).select("click", "x", "y", (cell("x") + F.col("d.i")).alias("gx"), (cell("y") + F.col("d.j")).alias("gy"))
-    met = c.join(p, ["gx", "gy"]).withColumn("distance", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).filter(F.col("distance") <= reach)
-    best = met.groupBy("click").agg(F.min(F.struct("distance", "id")).alias("b"))
-    return best.select("click", "b.id", "b.distance")
+    placed = p.withColumns({"gx": cell("px"), "gy": cell("py")})
+    asked = spots.select("x", "y", F.explode(around).alias("d")).select("x", "y", (cell("x") + F.col("d.i")).alias("gx"), (cell("y") + F.col("d.j")).alias("gy"))
+    met = asked.join(placed, ["gx", "gy"]).withColumn("distance", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).filter(F.col("distance") <= wide)
+    return met.groupBy("x", "y").agg(F.min(F.struct("distance", "id")).alias("b")).select("x", "y", "b.id", "b.distance")
 
 
 def _cells_of(low: Column, high: Column, cell: float) -> Column:

@@ -37,3 +37,33 @@ def test_links_stay_few_where_pairs_are_many(spark):
     """Sixty players of one season are 1,770 pairs, of which a forest and three links each are kept."""
     c = spark.createDataFrame([(f"p{i:02d}", "A", 1, 5 + i % 2, 6) for i in range(60)], "player string, team string, season int, games int, team_games int")
     assert strong_links.counted_links(c).count() < 60 * 4
+
+
+def test_nearest_nodes_of_a_crowd_are_sought_in_small_cells(spark, monkeypatch):
+    from linkloom.operators import layout
+
+    rng = random.Random(3)
+    # a crowd within one cell as wide as the reach, a pair of one place, and some far away
+    points = [(f"n{i:03d}", rng.uniform(0, 20), rng.uniform(0, 20)) for i in range(300)] + [("z", 5.0, 5.0), ("y", 5.0, 5.0), ("far", 70.0, 0.0), ("farther", 900.0, 0.0)]
+    clicks = [(f"c{i}", rng.uniform(-90, 120), rng.uniform(-90, 120)) for i in range(200)] + [("on", 5.0, 5.0), ("again", 5.0, 5.0), ("none", None, 1.0), ("edge", 900.0, 80.0)]
+    widths, real = [], layout._nearest_in
+    monkeypatch.setattr(layout, "_nearest_in", lambda p, s, wide: widths.append(wide) or real(p, s, wide))
+    got = layout.nearest_node(spark.createDataFrame(points, "id string, x double, y double"), spark.createDataFrame(clicks, "click string, x double, y double"))
+    want = {}
+    for c, x, y in clicks:
+        near = [] if x is None else sorted(((x - px) ** 2 + (y - py) ** 2, i) for i, px, py in points)
+        if near and near[0][0] <= 6400:
+            want[c] = near[0][1]
+    assert {r["click"]: r["id"] for r in got.collect()} == want
+    assert widths[0] < 80.0 and widths[-1] == 80.0
+
+
+def test_equal_texts_are_looked_up_once(spark):
+    from linkloom.operators import phrases
+
+    texts = spark.createDataFrame([(i, "The Hawks and kings" if i % 2 else "the HAWKS") for i in range(50)] + [(1, "of Kings")], "id int, text string")
+    once, found = phrases._looked_up(texts, spark.createDataFrame([("h", "hawks"), ("k", "Kings")], "phrase_id string, phrase string"))
+    assert once.count() == 3 and found.count() == 4
+    teams = spark.createDataFrame([("h", "hawks"), ("k", "Kings")], "id string, name string")
+    got = {r["id"]: r["teams"] for r in phrases.team_candidates(texts, teams, spark.createDataFrame([], "name string, abbreviation string, team string")).collect()}
+    assert got == {i: ["h", "k"] if i % 2 else ["h"] for i in range(50)}
