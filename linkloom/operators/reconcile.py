@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +38,18 @@ def without_summaries(rows: DataFrame, team: str = "team") -> DataFrame:
     return rows.filter(~F.coalesce(F.col(team).rlike(SUMMARY_TEAM), F.lit(False)))
 
 
-def membership_difference(left: DataFrame, right: DataFrame, key: list[str], cut: int | None = None) -> DataFrame:
-    """(side, key...): what only one of two membership sets has; seasons after ``cut`` are told apart."""
-    a, b = left.select(*key).distinct(), right.select(*key).distinct()
+def membership_difference(left: DataFrame, right: DataFrame, key: list[str], cut: int | None = None, parts: int | None = None) -> DataFrame:
+    """(side, key...): what only one of two membership sets has; seasons after ``cut`` are told apart.
+
+    A membership with a null in its key is like no other. Both sets meet in one grouping; ``parts`` says into how many parts it is dealt.
+    """
     name = lambda side: F.lit(side) if cut is None else F.when(F.col("season") > cut, f"{side}-after-{cut}").otherwise(side)
-    return a.join(b, key, "left_anti").select(name("left-only").alias("side"), *key).union(b.join(a, key, "left_anti").select(name("right-only").alias("side"), *key))
+    both = left.select(*key, F.lit(1).alias("mark")).union(right.select(*key, F.lit(2).alias("mark")))
+    both = both if parts is None else both.repartition(parts, *key)
+    alone = reduce(or_, [F.col(k).isNull() for k in key])
+    marks = both.groupBy(*key).agg(F.bit_or("mark").alias("marks")).filter((F.col("marks") < 3) | alone)
+    told = marks.select(*key, F.explode(F.when(F.col("marks") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array("marks"))).alias("mark"))
+    return told.select(F.when(F.col("mark") == 1, name("left-only")).otherwise(name("right-only")).alias("side"), *key)
 
 
 def difference_shape(diff: DataFrame, seen: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from linkloom.functions import days, text
 from linkloom.operators import intervals, reconcile, tenure
+from linkloom.operators.order import parts_for
 from linkloom.sources import tables
 
 
@@ -60,11 +61,16 @@ def _appearances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hours.groupBy("player", "team", "season").agg(F.count_distinct("game_id").alias("games")).join(team_games, ["team", "season"])
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _sides(spark: SparkSession, sf_dir: str, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides' memberships; where ``parts`` are given, dealt into so many and with repeats, which a grouping may take out."""
     o = tables.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     li = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_shipdate")
+    if parts is not None:
+        li, o = li.repartition(parts, "l_orderkey"), o.repartition(parts, "o_orderkey")
     joined = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    side = lambda d: joined.select(F.col("o_custkey").alias("player"), F.col("l_suppkey").alias("team"), F.year(d).alias("season")).distinct()
+    side = lambda d: joined.select(F.col("o_custkey").alias("player"), F.col("l_suppkey").alias("team"), F.year(d).alias("season"))
+    if parts is None:
+        return side("o_orderdate").distinct(), side("l_shipdate").distinct()
     return side("o_orderdate"), side("l_shipdate")
 
 
@@ -129,8 +135,9 @@ def games_inside_stints(spark, sf_dir):
 
 
 def membership_difference(spark, sf_dir):
-    a, b = _sides(spark, sf_dir)
-    return reconcile.membership_difference(a, b, ["player", "team", "season"], cut=1996)
+    parts = parts_for(tables.table(spark, sf_dir, "lineitem").count(), spark)
+    a, b = _sides(spark, sf_dir, parts)
+    return reconcile.membership_difference(a, b, ["player", "team", "season"], cut=1996, parts=parts)
 
 
 def difference_shape(spark, sf_dir):
