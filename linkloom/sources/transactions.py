@@ -13,6 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.operators.order import parts_for
+
+PART_PAGES = 1 << 15
 ITEM = "li int, paragraph int, item int, kind string, text string, slug string, from_team string, to_team string"
 _TAG = re.compile(r"<(/?)([a-zA-Z]+)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<!--.*?-->|<![^>]*>", re.S)
 _ATTRIBUTE = re.compile(r"([\w-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -131,7 +134,9 @@ def page_items(pages: DataFrame, mark: str = "transactions_link") -> DataFrame:
         names = [f.split()[0] for f in ITEM.split(", ")]
         return texts.map(lambda t: [dict(zip(names, row, strict=True)) for row in list_items(t, mark)])
 
-    rows = pages.select("page_id", F.explode(items("html")).alias("i")).select("page_id", "i.*")
+    # a page's items stay in one small task for every window, here and in ``movements``
+    parts = parts_for(pages.count(), pages.sparkSession, PART_PAGES)
+    rows = pages.select("page_id", F.explode(items("html")).alias("i")).select("page_id", "i.*").repartition(parts, "page_id")
     date = F.first(F.when(F.col("kind") == "date", F.col("text")), ignorenulls=True).over(Window.partitionBy("page_id", "li"))
     return rows.withColumn("date_text", date).filter("kind <> 'date'")
 
