@@ -36,6 +36,11 @@ _LATE_YEAR = 2024
 _SUFFIX_PATTERN = r" (?:jr|sr|ii|iii|iv|v)(?= |$)"
 
 
+def _table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once; it is joined by sorting, as what grows with the persons must not pass through the driver."""
+    return materialise(df, name).hint("merge")
+
+
 def _forms(people: DataFrame) -> DataFrame:
     """(id, form, last, initial, words): every variant of every name of a person, once."""
     named = people.select("id", F.explode("names").alias("name")).select("id", F.explode(variants(F.col("name"))).alias("form")).distinct()
@@ -74,14 +79,15 @@ def bridge(left: DataFrame, right: DataFrame) -> DataFrame:
     had a whole career within the person's own, unless an initial and surname near in birth were turned down. Then a name of
     several persons is ambiguous. Rows without an id or names match nothing; equal ids are one person.
     """
-    people = materialise(left.filter("id is not null"), "people")
-    forms = materialise(_forms(people).withColumnRenamed("id", "left"), "forms")
+    right = right.hint("merge")
+    people = _table(left.filter("id is not null"), "people")
+    forms = _table(_forms(people).withColumnRenamed("id", "left"), "forms")
     spans = people.groupBy(F.col("id").alias("left")).agg(*[F.min(c).alias(c) for c in ("born", "first_season", "last_season")])
-    own = materialise(forms.join(spans, "left"), "own_forms")
+    own = _table(forms.join(spans, "left"), "own_forms")
     known = right.filter("id is not null").groupBy("id").agg(*[F.min(c).alias(c) for c in ("born", "first_season", "last_season")], F.max(F.coalesce("other_league_only", F.lit(False))).alias("other"))
-    every = materialise(_forms(right.filter("id is not null")).join(known, "id"), "right_forms")
+    every = _table(_forms(right.filter("id is not null")).join(known, "id"), "right_forms")
     held, other = every.filter("not other"), every.filter("other")
-    by_name = materialise(held.groupBy("form").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("born").alias("their_born")), "by_name")
+    by_name = _table(held.groupBy("form").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("born").alias("their_born")), "by_name")
     by_birth = _index(held.filter("born is not null"), "form", "born")
     dated = own.filter("born is not null")
     full = own.join(by_name, "form")
@@ -97,7 +103,7 @@ def bridge(left: DataFrame, right: DataFrame) -> DataFrame:
     near, probes = _near_births(held, dated)
     found.append(_decided(near, 4, RULES[5]))
     found.append(_decided(_near_surnames(held, dated), 5, RULES[6]))
-    surnames = materialise(_index(held, "last"), "surnames")
+    surnames = _table(_index(held, "last"), "surnames")
     unknown = _index(held.filter("born is null"), "form")
     found.append(_decided(own.join(unknown, "form").join(surnames.filter("low = high").select("last"), "last").filter("words > 1"), 6, RULES[7]))
     short = own.filter(f"words > 1 and first_letters <= 2 and length(last) >= {INITIAL_LETTERS}")
@@ -117,13 +123,13 @@ def _near_births(held: DataFrame, dated: DataFrame) -> tuple[DataFrame, DataFram
     """Hits of initial and surname with a birth near and agreeing in part, and all (left) whose initial and surname have a birth near."""
     year, day = F.year("born"), F.date_format("born", "MMdd")
     theirs = held.filter("born is not null and words > 0").select("id", "initial", "last", year.alias("year"), day.alias("day"))
-    by_year = materialise(_index(theirs, "initial", "last", "year"), "by_year")
+    by_year = _table(_index(theirs, "initial", "last", "year"), "by_year")
     by_day = _index(theirs, "initial", "last", "year", "day")
     probe = dated.filter("words > 1").select("left", "form", "initial", "last", day.alias("day"), year.alias("own_year"), F.explode(F.array(*[year + d for d in range(-YEARS, YEARS + 1)])).alias("year"))
     same = probe.filter("year = own_year").join(by_year, ["initial", "last", "year"]).select("left", "form", "low", "high")
     shifted = probe.filter("year <> own_year").join(by_day, ["initial", "last", "year", "day"]).select("left", "form", "low", "high")
     any_near = probe.join(by_year.select("initial", "last", "year"), ["initial", "last", "year"]).select("left", "form").distinct()
-    return materialise(same.union(shifted), "near"), any_near
+    return _table(same.union(shifted), "near"), any_near
 
 
 def _near_surnames(held: DataFrame, dated: DataFrame) -> DataFrame:
@@ -150,7 +156,7 @@ def _by_initials(right: DataFrame, known: DataFrame) -> DataFrame:
 
 def _careers(held: DataFrame, own: DataFrame, surnames: DataFrame, probes: DataFrame, near: DataFrame) -> DataFrame:
     """The career rule. Careers of one surname and seasons are one row on either side."""
-    turned_down = probes.join(near.select("left", "form").distinct(), ["left", "form"], "left_anti").select("left").distinct()
+    turned_down = probes.join(near.select("left", "form").distinct(), ["left", "form"], "left_anti").select("left").distinct().hint("merge")
     spans = _index(held.filter("first_season is not null"), "last", "first_season", "last_season").join(surnames.filter("low < high").select("last"), "last")
     theirs = spans.select("last", F.col("first_season").alias("a"), F.col("last_season").alias("b"), "low", "high")
     mine = own.filter("words > 1 and first_season is not null and last_season is not null").select("left", "last", "first_season", "last_season")
@@ -203,13 +209,14 @@ def third_source(people: DataFrame, third: DataFrame, bridged: DataFrame) -> Dat
     bridged id that the third source has comes first; else a name that one person there has, by what the births say; else the one
     among several with the same birth. Several without are ambiguous, persons without a candidate have no row.
     """
+    people, third = people.hint("merge"), third.hint("merge")
     via = bridged.filter("right is not null").join(third.select(F.col("id").alias("left")).distinct(), "left").groupBy(F.col("right").alias("id")).agg(F.min("left").alias("third"))
     births = third.groupBy("id").agg(F.min("born").alias("born"))
     named = _forms(third).join(births, "id")
     by_name = named.groupBy("form").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.min("born").alias("theirs"))
-    by_birth = named.filter("born is not null").groupBy("form", "born").agg(F.min("id").alias("b_low"), F.max("id").alias("b_high"))
+    by_birth = named.filter("born is not null").groupBy("form", "born").agg(F.min("id").alias("b_low"), F.max("id").alias("b_high")).hint("merge")
     own = people.groupBy("id").agg(F.min("born").alias("born"))
-    asked = materialise(_forms(people).select("id", "form").join(own, "id").join(via.select("id"), "id", "left_anti"), "asked")
+    asked = _table(_forms(people).select("id", "form").join(own, "id").join(via.select("id"), "id", "left_anti"), "asked")
     hits = asked.join(by_name, "form").join(by_birth, ["form", "born"], "left").groupBy("id").agg(
         F.min("low").alias("low"), F.max("high").alias("high"), F.min("born").alias("born"), F.min("theirs").alias("theirs"), F.min("b_low").alias("b_low"), F.max("b_high").alias("b_high")
     )
