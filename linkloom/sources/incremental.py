@@ -35,9 +35,9 @@ def update(pages: DataFrame, store: str, parse: Callable[[DataFrame], DataFrame]
     broke off is mended by the next.
     """
     spark = pages.sparkSession
-    digest = F.sha2(F.coalesce("html", F.lit("")), 256).alias("digest")
+    digest = F.unhex(F.sha2(F.coalesce("html", F.lit("")), 256)).alias("digest")
     bucket = F.pmod(F.xxhash64("page_id"), F.lit(buckets)).cast("int").alias("bucket")
-    now = pages.filter("page_id is not null").select("page_id", digest, bucket).groupBy("page_id", "bucket").agg(F.min("digest").alias("digest"))
+    now = pages.filter("page_id is not null").select("page_id", digest).groupBy("page_id").agg(F.min("digest").alias("digest")).withColumn("bucket", bucket)
     manifest, rows_path = f"{store}/manifest", f"{store}/rows"
     was = spark.read.parquet(manifest) if _there(spark, manifest) else now.limit(0)
     old = was.select(F.col("page_id").alias("old_id"), F.col("digest").alias("old_digest"), F.col("bucket").alias("old_bucket")).filter("old_id is not null")
@@ -50,8 +50,9 @@ def update(pages: DataFrame, store: str, parse: Callable[[DataFrame], DataFrame]
     counts = {k: counts.get(k, 0) for k in ("parsed", "kept", "removed")}
     if counts["parsed"] or counts["removed"] or not _there(spark, manifest):
         touched = compared.filter("state <> 'kept'").select("bucket").distinct()
-        fresh = compared.filter("state = 'parsed'").select("page_id", "digest")
-        changed = pages.withColumn("digest", digest).join(fresh, ["page_id", "digest"], "left_semi").dropDuplicates(["page_id"]).drop("digest")
+        # both dealt by page alone, so that the page's rows are told apart where they meet
+        fresh = compared.filter("state = 'parsed'").select("page_id", "digest").repartition("page_id")
+        changed = pages.withColumn("digest", digest).repartition("page_id").join(fresh, ["page_id", "digest"], "left_semi").dropDuplicates(["page_id"]).drop("digest")
         parsed = parse(changed)
         rows = parsed.withColumn("bucket", bucket)
         if _there(spark, rows_path):
@@ -64,7 +65,7 @@ def update(pages: DataFrame, store: str, parse: Callable[[DataFrame], DataFrame]
         bare = none.select(*[F.lit(None).cast(f.dataType).alias(f.name) if f.name != "bucket" else F.col("bucket") for f in rows.schema])
         _replace(materialise(rows.unionByName(bare), "store_rows"), rows_path)
         listed = compared.filter("state <> 'removed'").join(touched, "bucket", "left_semi").select("page_id", "digest", "bucket")
-        empty = none.select(F.lit(None).cast(listed.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("digest"), "bucket")
+        empty = none.select(F.lit(None).cast(listed.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("binary").alias("digest"), "bucket")
         _replace(materialise(listed.unionByName(empty), "store_manifest"), manifest)
     return counts
 
