@@ -17,13 +17,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators.order import before, positions
+from linkloom.operators.order import before, before_all, positions
 from linkloom.scratch import materialise
 
 SEGMENT = 256
 BLOCK = 4096
 FAN_IN = 64
 CHUNK = 512
+RUN = 512
 LEAD = 6
 GROUP = 100
 _DIGEST = 32
@@ -208,11 +209,11 @@ def trie_nodes(lengths: DataFrame, turns: DataFrame, segment: int = SEGMENT, blo
     n = rows.count()
     ahead = rows.select((F.col("i") - 1).alias("i"), F.col("v").alias("next_v"))
     rows = rows.join(ahead, "i", "left").withColumn("next_v", F.coalesce("next_v", F.lit(-1).cast("long")))
-    read = materialise(before(turns, ["conv_id"], "d", "chars", "upto").select("conv_id", "d", (F.coalesce("upto", F.lit(0)) + F.col("chars")).alias("upto")), "read")
+    read = materialise(before(turns, ["conv_id"], "d", "chars", "upto", levels=1).select("conv_id", "d", (F.coalesce("upto", F.lit(0)) + F.col("chars")).alias("upto")), "read")
     common = rows.join(read.select("conv_id", F.col("d").alias("v"), F.col("upto").alias("shared")), ["conv_id", "v"], "left")
     common = common.withColumns({"shared": F.coalesce("shared", F.lit(0).cast("long")), "leaf": (F.col("next_v") < F.col("n_turns")).cast("long"), "start": F.when(F.col("v") < F.col("n_turns"), F.col("i"))})
     common = materialise(common, "common")
-    summed = before(before(before(common, [], "i", "leaf", "leaves"), [], "i", "shared", "shares"), [], "i", "start", "prior", "last")
+    summed = before_all(common, [], "i", {"leaves": ("leaf", "sum"), "shares": ("shared", "sum"), "prior": ("start", "last")}, RUN)
     zero = F.lit(0).cast("long")
     rows = materialise(
         summed.select(

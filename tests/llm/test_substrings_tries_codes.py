@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from linkloom.llm import code_compression, prefix_trie, substring_dedup
+from linkloom.scratch import materialise
 
 # ---- substring dedup
 
@@ -140,6 +141,20 @@ def test_trie_equals_a_walked_trie(spark, cut):
     assert sorted(map(tuple, got)) == _trie(rows)
 
 
+def test_a_trie_is_planned_in_small_steps(spark, monkeypatch):
+    """The driver holds each step's plan, and again at each of its stages."""
+    exchanges = {}
+
+    def noted(df, name):
+        exchanges[name] = df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+        return materialise(df, name)
+
+    monkeypatch.setattr(prefix_trie, "materialise", noted)
+    rows = [(c, t, "user", f"{c % 3} {t}") for c in range(6) for t in range(3)]
+    assert sorted(map(tuple, prefix_trie.prefix_trie(_chats(spark, rows)).collect())) == _trie(rows)
+    assert exchanges["rows"] <= 20 and max(exchanges.values()) <= 30, exchanges
+
+
 def test_small_tries(spark):
     for rows in ([], [(250, 1, "u", "t")], [(c, 0, "u", "") for c in range(3)], [(None, 0, "u", "x")]):
         assert sorted(map(tuple, prefix_trie.prefix_trie(_chats(spark, rows)).collect())) == _trie(rows)

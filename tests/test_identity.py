@@ -171,6 +171,17 @@ def test_places_and_running_values(spark):
         assert r["next"] == min((p for g, p, _ in rows if g == "a" and p > r["p"]), default=None)
 
 
+def test_several_running_values_go_by_the_same_windows(spark):
+    rng = random.Random(4)
+    rows = [(p, rng.choice([None, 1, 2, 3]), p if p % 7 == 0 else None) for p in range(300)]
+    table = spark.createDataFrame(rows, "p long, x long, y long")
+    both = order.before_all(table, [], "p", {"sum": ("x", "sum"), "last": ("y", "last")}, span=5, levels=2)
+    for r in both.collect():
+        assert (r["sum"] or 0) == sum(x or 0 for p, x, _ in rows if p < r["p"]) and r["last"] == max((y for p, _, y in rows if y is not None and p < r["p"]), default=None)
+    windows = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("Window ")
+    assert windows(both) == windows(order.before(table, [], "p", "x", "sum", span=5, levels=2))
+
+
 def test_person_queries_run(spark):
     for name, query in person_queries.QUERIES.items():
         assert query(spark, "/root/testdata/sf0.001").count() > 0, name
