@@ -185,6 +185,16 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (node, root) after further links of nodes: only the roots that these join are searched again."""
+    if links.isEmpty():
+        return labels
+    end = lambda e: labels.select(F.col("node").alias(e), F.col("root").alias(f"{e}_root"))
+    met = links.join(end("a"), "a").join(end("b"), "b")
+    found = connected_components(met, "a_root", "b_root").withColumnsRenamed({"node": "root", "component": "least_root"})
+    return labels.join(found, "root", "left").select("node", F.coalesce("least_root", "root").alias("root"))
+
+
 def _print_pairs(nodes: DataFrame, radius: int) -> DataFrame:
     """Pairs that SimHash finds: nodes of one fingerprint with the least of them, and the least of linked fingerprints."""
     by_print = materialise(nodes.groupBy("print").agg(F.min(F.struct("node", "size")).alias("first")), "prints")
@@ -225,12 +235,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = materialise(_in_reach(stars), "stars")
     # one reading of the texts serves both comparisons
     sets = _sets(met.select("node").union(stars.select(F.explode(F.array("a", "b")))), texts, words)
-    links = _verified(stars, sets)
-    apart = met.select("band", "node", "size").join(_labelled(nodes, links), "node")
+    labels = materialise(_labelled(nodes, _verified(stars, sets)), "labels")
+    apart = met.select("band", "node", "size").join(labels, "node")
     roots = apart.groupBy("band", "root").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots"))
     apart = materialise(apart.join(roots.filter("roots > 1").select("band", "main"), "band"), "apart")
-    links = materialise(links.union(_tile_links(apart, sets)), "links")
-    return nodes.select("node", "least").join(_labelled(nodes, links), "node").select("least", "root")
+    return nodes.select("node", "least").join(_joined(labels, _tile_links(apart, sets)), "node").select("least", "root")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -49,6 +49,14 @@ def test_similar_texts_are_grouped_as_all_pairs_are(spark, monkeypatch, tile):
     assert kept == sorted(set(_groups(texts)))
 
 
+def test_further_links_join_roots_alone(spark, monkeypatch):
+    labels = spark.createDataFrame([(n, r) for n, r in ((1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 6))], "node long, root long")
+    links = spark.createDataFrame([(2, 4), (6, 4), (1, 2)], "a long, b long")
+    assert {tuple(r) for r in shingle_dedup._joined(labels, links).collect()} == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5), (6, 1)}
+    monkeypatch.delattr(shingle_dedup, "connected_components")
+    assert {tuple(r) for r in shingle_dedup._joined(labels, links.limit(0)).collect()} == {tuple(r) for r in labels.collect()}
+
+
 def test_common_members_are_counted_exactly(monkeypatch):
     monkeypatch.setattr(shingle_dedup, "_COLUMNS", 7)
     rng = np.random.default_rng(1)

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.operators import backbone, evidence, intervals, neighbourhood, paths, statistics
+from linkloom.operators import backbone, components, evidence, intervals, neighbourhood, paths, statistics
 from linkloom.operators.components import connected_components
 
 TENURES = [
@@ -267,6 +267,14 @@ def test_components_with_chains_stars_and_repeats(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).collect() == []
 
 
+def test_a_round_of_components_is_a_small_plan(spark):
+    """The driver holds a round's plan again at each of its stages."""
+    edges = spark.createDataFrame([(2, 1), (3, 2), (9, 3)], "u long, v long")
+    round_ = components._stars(edges)
+    assert round_._jdf.queryExecution().executedPlan().toString().count("Exchange ") <= 9
+    assert {tuple(r) for r in round_.collect()} == {(2, 1), (3, 1), (9, 2)}
+
+
 def test_view_keeps_tenures_with_a_record_in_the_range(spark):
     rec = spark.createDataFrame([("a", "RED", 2000, 1, 5), ("b", "RED", 2000, 2, 6), ("a", "BLUE", 2001, 10, 15), ("a", "RED", 2002, 20, 25)], "player string, team string, season int, start_day int, end_day int")
     t = rec.drop("season")
