@@ -2,8 +2,7 @@
 
 A conversation's turns are formatted one by one and laid end to end. Every assistant turn is an example
 of its own: its text is the trainable target and all that stands before it is its context. An example is
-kept as the end of its prefix of the conversation's text and the span of its target, so a conversation's
-text is written once however many examples it gives.
+written with its whole context, its own part and the span of its target, and the loss is read back from what is written.
 
 The template: ``<s>`` begins a conversation; ``[SYS] text [/SYS]``, ``[INST] text [/INST]`` and `` text</s>``
 are the turns of system, user and assistant, ``[TURN role] text [/TURN]`` those of any other role. In
@@ -91,22 +90,26 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
 
 def examples(formatted: DataFrame) -> DataFrame:
-    """(conv_id, place, context_end, target_start, target_end, end, own), a row for each assistant turn.
+    """(conv_id, place, context, own, context_end, target_start, target_end, end), a row for each assistant turn.
 
-    The example's text is the conversation's up to ``end``; only target_start to target_end is trained.
-    Its context is the conversation's text up to ``context_end``, ``own`` is what follows, with the target. Only the columns of
+    The example's text is ``context``, the whole text of the conversation before the turn, and ``own``, the turn's part with the target:
+    the conversation's text up to ``end``, of which only target_start to target_end is trained. So a conversation's text is written as often
+    as turns of the assistant follow it, by one task, which holds the conversation's text once and streams its examples. Only the columns of
     ``format_turns`` are read, so others can't clash; an empty table gives no rows.
     """
-    return formatted.filter("target_start is not null").select(
-        "conv_id", "place", F.col("start").alias("context_end"), "target_start", "target_end", (F.col("start") + F.col("chars")).alias("end"),
-        F.col("segment").alias("own"),
+    earlier = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    turns = formatted.select("conv_id", "place", "segment", "start", "chars", "target_start", "target_end").withColumn("context", F.collect_list("segment").over(earlier))
+    return turns.filter("target_start is not null").select(
+        "conv_id", "place", F.concat_ws("", "context").alias("context"), F.col("segment").alias("own"), F.col("start").alias("context_end"),
+        "target_start", "target_end", (F.col("start") + F.col("chars")).alias("end"),
     )
 
 
 def read_targets(made: DataFrame) -> DataFrame:
-    """The rows of ``examples`` with ``target``, the text under the loss mask, read back from the example's own part."""
-    span = F.substring(F.col("own"), (F.col("target_start") - F.col("context_end") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int"))
-    return made.withColumn("target", unescape(span))
+    """The rows of ``examples`` with ``target``, the text under the loss mask, and ``example_chars``, both read back from the example's text."""
+    text = F.concat("context", "own")
+    span = F.substring(text, (F.col("target_start") + 1).cast("int"), (F.col("target_end") - F.col("target_start")).cast("int"))
+    return made.withColumns({"target": unescape(span), "example_chars": F.char_length(text).cast("long")})
 
 
 def read_turns(formatted: DataFrame) -> DataFrame:
@@ -137,7 +140,7 @@ def conversation_digests(formatted: DataFrame, made: DataFrame | None = None) ->
     none = lambda kind: F.lit(None).cast(kind)
     turns = read_turns(formatted).select("conv_id", "place", "role", "text", none("string").alias("target"), "chars")
     targets = read_targets(examples(formatted) if made is None else made)
-    turns = turns.union(targets.select("conv_id", "place", none("string"), none("string"), "target", "end"))
+    turns = turns.union(targets.select("conv_id", "place", none("string"), none("string"), "target", "example_chars"))
     id_type = formatted.schema["conv_id"].dataType.simpleString()
 
     def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

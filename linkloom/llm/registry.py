@@ -52,7 +52,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = materialise(chat_format.format_turns(chat_format.with_probe(_table(spark, sf_dir, "conversations"))), "chats")
-    return chat_format.conversation_digests(turns, materialise(chat_format.examples(turns), "examples"))
+    return chat_format.conversation_digests(turns, materialise(chat_format.examples(turns), "examples", "zstd"))
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

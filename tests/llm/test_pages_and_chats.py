@@ -283,3 +283,21 @@ def test_loss_is_read_from_written_examples(spark):
     fewer = {r["conv_id"]: r for r in chat_format.conversation_digests(formatted, made.filter("conv_id <> 99")).collect()}
     assert (whole[99]["n_examples"], fewer[99]["n_examples"], fewer[99]["loss_chars"]) == (1500, 0, 0)
     assert fewer[99]["turns_sha256"] == whole[99]["turns_sha256"]
+
+
+def test_examples_are_written_with_their_whole_context(spark):
+    df = spark.createDataFrame([(*r, None, None) for r in _chat_rows()], CHATS)
+    formatted = chat_format.format_turns(df).cache()
+    made = chat_format.examples(formatted).cache()
+    text = {}
+    for r in sorted(formatted.collect(), key=lambda r: r["place"]):
+        text[r["conv_id"]] = text.get(r["conv_id"], "") + r["segment"]
+    rows = made.collect()
+    assert len(rows) == formatted.filter("target_start is not null").count()
+    assert all(r["context"] == text[r["conv_id"]][: r["context_end"]] and r["context"] + r["own"] == text[r["conv_id"]][: r["end"]] for r in rows)
+    # what is read back comes from the written text: one character less before it moves the target
+    moved = {r["place"]: r for r in chat_format.read_targets(made.withColumn("context", F.expr("substring(context, 2)"))).collect()}
+    for r in chat_format.read_targets(made).filter("conv_id = 99").collect():
+        full = r["context"] + r["own"]
+        assert r["target"] == full[r["target_start"] : r["target_end"]] and r["example_chars"] == len(full)
+        assert moved[r["place"]]["target"] == full[r["target_start"] + 1 : r["target_end"] + 1]
