@@ -68,7 +68,12 @@ def on_path(a: Column, b: Column, path: list[str]) -> Column:
 
 def graph_summary(edge_rows: DataFrame, players: DataFrame, offset: int = 0, limit: int = 1000) -> DataFrame:
     """One row (players, total_edges, offset, limit, next_offset, complete) of a page of edges."""
-    page = neighbourhood.edge_page_facts(edge_rows, offset, limit).select(F.lit(1).alias("k"), F.col("total").alias("total_edges"), "next_offset")
+    return summary_of(edge_rows.agg(F.count("*").alias("total")), players, offset, limit)
+
+
+def summary_of(size: DataFrame, players: DataFrame, offset: int, limit: int) -> DataFrame:
+    """``graph_summary`` of edges that were counted, ``size`` (total)."""
+    page = neighbourhood.page_facts(size, offset, limit).select(F.lit(1).alias("k"), F.col("total").alias("total_edges"), "next_offset")
     size = players.agg(F.count_distinct("id").alias("players")).select(F.lit(1).alias("k"), "players")
     return size.join(page, "k").select("players", "total_edges", F.lit(offset).alias("offset"), F.lit(limit).alias("limit"), "next_offset")
 

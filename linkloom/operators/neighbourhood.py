@@ -6,17 +6,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.paths import distances
-from linkloom.operators.proof_groups import ProofGroups
+from linkloom.operators.proof_groups import ProofGroups, first_links, links_among, links_of
 from linkloom.scratch import materialise
 
 MOST_LINKS = 600
 ERAS = (1940, 1950, 1960, 1970, 1980, 1990, 2000, 2010)
 
 
-def edge_page(edge_rows: DataFrame, offset: int = 0, limit: int = 1000) -> DataFrame:
-    """A page of edges in (a, b) order; limit from 1 to 5000."""
+def edge_page(edge_rows: DataFrame | ProofGroups, offset: int = 0, limit: int = 1000) -> DataFrame:
+    """A page of edges in (a, b) order; limit from 1 to 5000. Of groups only the links of the first players up to the page are made."""
     if offset < 0 or not 1 <= limit <= 5000:
         raise ValueError("offset must not be negative, limit must be from 1 to 5000")
+    if isinstance(edge_rows, ProofGroups):
+        edge_rows = first_links(edge_rows, offset + limit)
     return edge_rows.orderBy("a", "b").offset(offset).limit(limit)
 
 
@@ -40,45 +42,60 @@ def page_facts(size: DataFrame, offset: int, limit: int) -> DataFrame:
 
 
 def neighbourhood(
-    links: DataFrame, edge_rows: DataFrame, player: str, depth: int = 1, limit: int = 60, path: list[str] | None = None
+    links: DataFrame | ProofGroups, edge_rows: DataFrame | None, player: str, depth: int = 1, limit: int = 60, path: list[str] | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(id, distance) of the nearest nodes, (a, b, on_path) of the links among them, and one row (truncated).
 
     ``depth`` 1 or 2, ``limit`` 1 to 200 nodes by distance and id; the player and those of ``path`` are there in any case,
     without a distance if they are further off. Of the links the first 600 by (a, b) and those along ``path`` are
-    given. ``truncated`` says whether a node within reach or a link is missing.
+    given. ``truncated`` says whether a node within reach or a link is missing. With ``links`` as groups ``edge_rows`` isn't needed.
     """
     if depth not in (1, 2) or not 1 <= limit <= 200:
         raise ValueError("depth must be 1 or 2, limit from 1 to 200")
-    spark = links.sparkSession
+    spark = _spark(links)
     near = distances(links, spark.createDataFrame([(player,)], "source string"), max_depth=depth).select(F.col("node").alias("id"), "distance")
     named = spark.createDataFrame([(p,) for p in sorted({player, *(path or [])})], "id string")
     ids = materialise(near.orderBy("distance", "id").limit(limit).select("id").union(named).distinct(), "near")
     on_path = F.lit(False)
     for a, b in {tuple(sorted(p)) for p in zip(path or [], (path or [])[1:])}:
         on_path = on_path | ((F.col("a") == a) & (F.col("b") == b))
-    inside = edge_rows.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+    if isinstance(links, ProofGroups):
+        inside = links_among(links, ids.withColumnRenamed("id", "node"))
+    else:
+        inside = edge_rows.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
     marked = materialise(inside.select("a", "b", on_path.alias("on_path")), "inside")
     shown = marked.orderBy("a", "b").limit(MOST_LINKS).union(marked.filter("on_path")).distinct()
     lost = near.join(ids, "id", "left_anti").select(F.lit(1).alias("x")).union(marked.join(shown, ["a", "b"], "left_anti").select(F.lit(1)))
     return ids.join(near, "id", "left"), shown, lost.agg((F.count("*") > 0).alias("truncated"))
 
 
-def next_steps(links: DataFrame, path: list[str], target: str | None = None) -> DataFrame:
+def _spark(links: DataFrame | ProofGroups):
+    return (links.asks if isinstance(links, ProofGroups) else links).sparkSession
+
+
+def links_from(links: DataFrame | ProofGroups, *nodes: str) -> DataFrame:
+    """(node, other): the links of some players."""
+    if isinstance(links, ProofGroups):
+        return links_of(links, _spark(links).createDataFrame([(n,) for n in nodes], "node string"))
+    return links.filter(F.col("node").isin(*nodes))
+
+
+def next_steps(links: DataFrame | ProofGroups, path: list[str], target: str | None = None) -> DataFrame:
     """(node) that can extend ``path`` and keep it a shortest chain from its first node, without shortcuts.
 
     A candidate is one link from the end, as far from the first node as the path is long, not on the
     path, and not linked to an earlier node of it; with a target it lies on a shortest chain to it.
     """
-    spark = links.sparkSession
+    spark = _spark(links)
     one = lambda x: spark.createDataFrame([(x,)], "source string")
     root = distances(links, one(path[0]), max_depth=len(path)).select("node", F.col("distance").alias("from_root"))
-    found = links.filter(F.col("node") == path[-1]).select(F.col("other").alias("node")).join(root, "node").filter(F.col("from_root") == len(path))
+    found = links_from(links, path[-1]).select(F.col("other").alias("node")).join(root, "node").filter(F.col("from_root") == len(path))
     found = found.filter(~F.col("node").isin(path))
-    earlier = links.filter(F.col("node").isin(path[:-1])).select(F.col("other").alias("node"))
-    found = found.join(earlier, "node", "left_anti")
+    if path[:-1]:
+        found = found.join(links_from(links, *path[:-1]).select(F.col("other").alias("node")), "node", "left_anti")
     if target is not None:
-        to = distances(links, one(target)).select("node", F.col("distance").alias("to_target"))
+        # whoever is on the way is nearer to the target than the path's first node
+        to = distances(links, one(target), goal=path[0]).select("node", F.col("distance").alias("to_target"))
         whole = to.filter(F.col("node") == path[0]).select(F.col("to_target").alias("whole"))
         found = found.join(to, "node").join(whole, F.col("to_target") + len(path) == F.col("whole"), "left_semi")
     return found.select("node").distinct()
@@ -86,7 +103,7 @@ def next_steps(links: DataFrame, path: list[str], target: str | None = None) ->
 
 def focus_hops(links: DataFrame | ProofGroups, focus: str, hops: int = 2) -> DataFrame:
     """(node, distance) up to ``hops`` links from ``focus``."""
-    spark = (links.asks if isinstance(links, ProofGroups) else links).sparkSession
+    spark = _spark(links)
     return distances(links, spark.createDataFrame([(focus,)], "source string"), max_depth=hops).select("node", "distance")
 
 
