@@ -129,10 +129,13 @@ def view(
 
 
 def scoped_players(tenures: DataFrame, records: DataFrame, counts: DataFrame, witnesses: DataFrame) -> DataFrame:
-    """(id, teams, first_season, last_season) as a view's facts have them."""
+    """(id, teams, first_season, last_season) as a view's facts have them; ``witnesses`` are pairs (a, b, team, season) or whom they name (player, team, season)."""
     kept = records.join(tenures, ["player", "team", "start_day", "end_day"], "left_semi").select("player", "team", "season")
     rows = kept.union(counts.select("player", "team", "season"))
-    rows = rows.union(witnesses.select(F.col("a").alias("player"), "team", "season")).union(witnesses.select("b", "team", "season"))
+    if "player" in witnesses.columns:
+        rows = rows.union(witnesses.select("player", "team", "season"))
+    else:
+        rows = rows.union(witnesses.select(F.col("a").alias("player"), "team", "season")).union(witnesses.select("b", "team", "season"))
     return rows.groupBy(F.col("player").alias("id")).agg(
         F.sort_array(F.collect_set("team")).alias("teams"), F.min("season").alias("first_season"), F.max("season").alias("last_season")
     )
