@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.operators import evidence, neighbourhood
+from linkloom.sources import play_by_play
 from tests.test_proof_groups import _facts
 
 
@@ -16,3 +17,15 @@ def test_players_of_witnesses_without_their_pairs(spark):
     assert sorted(got.collect()) == sorted(want.collect())
     named = pairs.select(F.col("a").alias("player"), "team", "season").union(pairs.select("b", "team", "season")).distinct()
     assert sorted(evidence.witnessed_players(seen).collect()) == sorted(named.collect())
+
+
+def test_sources_of_witnesses_are_carried_along(spark):
+    seen = _facts(spark)[2]
+    parts = seen.withColumn("source", F.concat("player", "game_id")).union(seen.limit(9).withColumn("source", F.lit("again"))).union(seen.limit(3).withColumn("source", F.lit(None)))
+    got = play_by_play.export_witnesses(parts)
+    own = lambda p: parts.distinct().select(F.col("player").alias(p), "team", "season", "game_id", "date", F.col("source").alias(f"{p}_source"))
+    key = ["team", "season", "game_id", "date"]
+    want = evidence.coparticipations(parts).join(own("a"), ["a", *key]).join(own("b"), ["b", *key]).select(*got.columns)
+    text = lambda df: sorted(map(str, df.collect()))
+    assert text(got) == text(want) and got.filter("a_source is null or b_source is null").count() > 0
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == evidence.coparticipations(parts)._jdf.queryExecution().optimizedPlan().toString().count("Join")
