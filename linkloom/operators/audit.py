@@ -29,17 +29,39 @@ def audit_links(edges: DataFrame, adjacency: DataFrame, proofs: list[DataFrame],
     known = players.select(F.col("id").alias("known")).filter("known is not null").distinct()
     pairs = pairs.join(known.withColumn("has_a", F.lit(True)), F.col("a") == F.col("known"), "left").drop("known")
     pairs = pairs.join(known.withColumn("has_b", F.lit(True)), F.col("b") == F.col("known"), "left").drop("known")
+    found = _faults(pairs, F.col("has_a").isNull() | F.col("has_b").isNull())
+    wrong = edges.filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("disordered").alias("fault"))
+    return found.union(wrong).distinct()
+
+
+def tags(admitted: Column, forward: Column, backward: Column, proven: Column, linked: Column, apart: Column) -> Column:
+    """What is known of a pair a < b, for ``audit_pairs``: an edge, in the adjacency from a to b and from b to a, proven, known to be linked, to be not."""
+    bit = lambda said, mask: F.when(said, F.lit(mask)).otherwise(F.lit(0)).cast("long")
+    said = ((admitted, _ADMITTED), (forward, _FORWARD), (backward, _BACKWARD), (proven, _PROVEN), (linked, _LINKED), (apart, _APART))
+    return reduce(lambda x, y: x.bitwiseOR(y), [bit(*s) for s in said])
+
+
+def audit_pairs(pairs: DataFrame, strangers: DataFrame) -> DataFrame:
+    """The faults of ``audit_links`` for pairs that are there once each, (a, b, tags) with a < b; no pair meets another.
+
+    ``strangers`` (id) are those among the pairs' players who aren't known, few if any.
+    """
+    who = strangers.select("id").distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(who.select(F.col("id").alias(f"stranger_{end}")), F.col(end) == F.col(f"stranger_{end}"), "left")
+    return _faults(pairs, F.col("stranger_a").isNotNull() | F.col("stranger_b").isNotNull())
+
+
+def _faults(pairs: DataFrame, unknown: Column) -> DataFrame:
     has = lambda bit: F.col("tags").bitwiseAND(F.lit(bit)) != 0
     both = has(_FORWARD) & has(_BACKWARD)
     faults: list[tuple[str, Column]] = [
         ("unsupported", has(_ADMITTED) & ~has(_PROVEN)), ("missing-proved", has(_PROVEN) & ~has(_ADMITTED)), ("one-way", has(_ADMITTED) & ~both & (F.col("a") != F.col("b"))),
         ("stray-link", (has(_FORWARD) | has(_BACKWARD)) & ~has(_ADMITTED)), ("missing-known", has(_LINKED) & ~has(_ADMITTED)), ("forbidden", has(_APART) & has(_ADMITTED)),
-        ("self-link", F.col("a") == F.col("b")), ("unknown-player", F.col("has_a").isNull() | F.col("has_b").isNull()),
+        ("self-link", F.col("a") == F.col("b")), ("unknown-player", unknown),
     ]
     named = F.filter(F.array(*[F.when(c, name) for name, c in faults]), lambda f: f.isNotNull())
-    found = pairs.select("a", "b", F.explode(named).alias("fault"))
-    wrong = edges.filter("a > b").select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit("disordered").alias("fault"))
-    return found.union(wrong).distinct()
+    return pairs.select("a", "b", F.explode(named).alias("fault"))
 
 
 def audit_summary(edges: DataFrame, kinds: dict[str, DataFrame], faults: DataFrame, players: DataFrame) -> DataFrame:

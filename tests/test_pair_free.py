@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from linkloom.operators import evidence, neighbourhood
+from linkloom.operators import audit, evidence, neighbourhood
 from linkloom.sources import play_by_play
 from tests.test_proof_groups import _facts
 
@@ -29,3 +29,15 @@ def test_sources_of_witnesses_are_carried_along(spark):
     text = lambda df: sorted(map(str, df.collect()))
     assert text(got) == text(want) and got.filter("a_source is null or b_source is null").count() > 0
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") == evidence.coparticipations(parts)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+
+
+def test_faults_of_pairs_that_are_there_once(spark):
+    rows = [("a", "b", 0), ("a", "c", 1), ("b", "c", 3), ("b", "x", 7), ("c", "d", 15), ("d", "e", 31), ("e", "f", 63), ("f", "g", 48), ("f", "h", 9)]
+    pairs = spark.createDataFrame(rows, "a string, b string, t int")
+    has = lambda k: F.col("t").bitwiseAND(F.lit(1 << k)) != 0
+    players = spark.createDataFrame([(p,) for p in "abcdefgh"], "id string")
+    got = audit.audit_pairs(pairs.select("a", "b", audit.tags(*[has(k) for k in range(6)]).alias("tags")), spark.createDataFrame([("x",)], "id string"))
+    some = lambda k: pairs.filter(has(k)).select("a", "b")
+    ways = some(1).select(F.col("a").alias("node"), F.col("b").alias("other")).union(some(2).select("b", "a"))
+    want = audit.audit_links(some(0), ways, [some(3)], some(4), some(5), players)
+    assert sorted(got.filter("not (a = 'a' and b = 'b')").collect()) == sorted(want.collect()) and got.count() > 5
