@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linkloom.operators import audit, evidence, neighbourhood
+from linkloom.plans import graph_queries
 from linkloom.sources import play_by_play
 from tests.test_proof_groups import _facts
 
@@ -41,3 +42,14 @@ def test_faults_of_pairs_that_are_there_once(spark):
     ways = some(1).select(F.col("a").alias("node"), F.col("b").alias("other")).union(some(2).select("b", "a"))
     want = audit.audit_links(some(0), ways, [some(3)], some(4), some(5), players)
     assert sorted(got.filter("not (a = 'a' and b = 'b')").collect()) == sorted(want.collect()) and got.count() > 5
+
+
+def test_a_views_witnesses_come_from_its_own_games(spark, monkeypatch):
+    met, seasons = evidence.coparticipations, set()
+
+    def watched(appearances, *more):
+        seasons.update(r["season"] for r in appearances.select("season").distinct().collect())
+        return met(appearances, *more)
+
+    monkeypatch.setattr(evidence, "coparticipations", watched)
+    assert graph_queries.filtered_view_edges(spark, "/root/testdata/sf0.001").columns and seasons == {1994, 1995}
